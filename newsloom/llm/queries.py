@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import knn
+from newsloom.llm import knn, mixing, tokens
 from newsloom.session import table
 
 
@@ -16,8 +16,28 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.neighbour_pairs(p1_neighbours(spark, sf_dir))
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_corpus(spark, table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> mixing.Mixture:
+    sizes = mixing.token_sizes(spark, table(spark, sf_dir, "documents"))
+    return mixing.mix_sources(spark, sizes, table(spark, sf_dir, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir).records
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir).shares(spark)
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_neighbours": p1_neighbours,
+    "p7_ids": p7_ids,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
 }
 ORACLES: dict[str, str] = {}
