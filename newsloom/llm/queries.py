@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import knn, mixing, tokens
+from newsloom.llm import knn, mixing, spans, tokens
 from newsloom.session import table
 
 
@@ -33,11 +33,21 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).shares(spark)
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_spans(spark, table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_report(p9_found(spark, sf_dir), table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_neighbours": p1_neighbours,
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_shared": p9_shared,
 }
 ORACLES: dict[str, str] = {}
