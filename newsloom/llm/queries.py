@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from newsloom.llm import knn, mixing, spans, tokens
+from newsloom.llm import knn, mixing, pieces, spans, tokens
 from newsloom.session import table
 
 
@@ -16,6 +17,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.neighbour_pairs(p1_neighbours(spark, sf_dir))
 
 
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    articles = pieces.split_oversized(table(spark, sf_dir, "articles"), "id", "text").select(F.lit("article").alias("item_kind"), "*")
+    chunks = pieces.split_oversized(table(spark, sf_dir, "chunks"), "id", "content").select(F.lit("chunk").alias("item_kind"), "*")
+    return articles.unionByName(chunks)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_pieces(spark, sf_dir).where("seq = 0").select("item_kind", "item_id", "cut_level")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(spark, table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -44,6 +55,8 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_neighbours": p1_neighbours,
+    "p2_found": p2_found,
+    "p2_pieces": p2_pieces,
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
