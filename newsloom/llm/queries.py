@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import knn, mixing, pieces, spans, tokens
+from newsloom.llm import history, knn, mixing, pieces, spans, tokens
 from newsloom.session import table
 
 
@@ -27,6 +27,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_pieces(spark, sf_dir).where("seq = 0").select("item_kind", "item_id", "cut_level")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    past = history.History(spark)
+    history.accept_archive(past, table(spark, sf_dir, "docs"), "doc_id", "file_sha256")
+    return history.run_batches(past, table(spark, sf_dir, "audit_documents"), "batch_no", "record_no", "content_sha256", "document_url")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(spark, table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -57,6 +63,7 @@ QUERIES = {
     "p1_neighbours": p1_neighbours,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p5_found": p5_found,
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
