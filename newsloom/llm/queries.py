@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import history, knn, mixing, pieces, spans, tokens
+from newsloom.llm import history, knn, mixing, names, pieces, spans, tokens
 from newsloom.session import table
 
 
@@ -27,6 +27,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_pieces(spark, sf_dir).where("seq = 0").select("item_kind", "item_id", "cut_level")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roster = table(spark, sf_dir, "station_records")
+    open_ = F.trim(F.coalesce("canonical_station_id", F.lit(""))) == ""
+    aliases = table(spark, sf_dir, "station_aliases").where(open_).select(F.lit("alias").alias("record_kind"), F.col("alias").alias("record_key"), F.col("alias").alias("name"))
+    docs = table(spark, sf_dir, "docs").where(open_).select(F.lit("doc").alias("record_kind"), F.col("doc_id").alias("record_key"), F.col("station_name").alias("name"))
+    typed = aliases.unionByName(docs)
+    linked = typed.join(names.resolve_names(spark, typed, "name", roster), "name").select("record_kind", "record_key", "station_id")
+    return linked.unionByName(names.roster_variants(spark, roster).select(F.lit("station").alias("record_kind"), "record_key", "station_id"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     past = history.History(spark)
     history.accept_archive(past, table(spark, sf_dir, "docs"), "doc_id", "file_sha256")
@@ -63,6 +73,7 @@ QUERIES = {
     "p1_neighbours": p1_neighbours,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p3_found": p3_found,
     "p5_found": p5_found,
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
