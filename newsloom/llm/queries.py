@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import history, knn, mixing, names, pieces, spans, tokens
+from newsloom.llm import history, knn, mixing, names, pieces, scans, spans, tokens
 from newsloom.session import table
 
 
@@ -37,6 +37,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.unionByName(names.roster_variants(spark, roster).select(F.lit("station").alias("record_kind"), "record_key", "station_id"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.noise_lines(scans.page_noise(spark, table(spark, sf_dir, "docs"), "doc_id", "content_text")[0])
+
+
+def p4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.readable_paragraphs(*scans.page_noise(spark, table(spark, sf_dir, "docs"), "doc_id", "content_text"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     past = history.History(spark)
     history.accept_archive(past, table(spark, sf_dir, "docs"), "doc_id", "file_sha256")
@@ -74,6 +82,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_paragraphs": p4_paragraphs,
     "p5_found": p5_found,
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
