@@ -78,7 +78,7 @@ def greedy_stories(items: DataFrame, pos: str, set_col: str, jaccard: float = 0.
             out.append((p, story))
         return pd.DataFrame(out, columns=["pos", "story"])
 
-    return items.select(pos, set_col).groupBy(F.lit(0)).applyInPandas(fold, "pos long, story long")
+    return items.select(pos, set_col, F.lit(0).alias("_all")).groupBy("_all").applyInPandas(fold, "pos long, story long")
 
 
 def prefix_length(n: int, jaccard: float) -> int:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-CORE_MODULES = ("newsloom.plans.timestamp_queries",)
+CORE_MODULES = tuple(f"newsloom.plans.{m}_queries" for m in ("timestamp", "text", "retrieval", "domain", "state"))
 EXTRA_PACKAGE = "newsloom.llm"
 
 
