@@ -345,7 +345,8 @@ def resolve_names(spark: SparkSession, names: DataFrame, name_col: str, roster:
     def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = index.value
         for pdf in batches:
-            yield pd.DataFrame({"name": pdf["name"], "station_id": [found.resolve(n) for n in pdf["name"]]})
+            if len(pdf):
+                yield pd.DataFrame({"name": pdf["name"], "station_id": [found.resolve(n) for n in pdf["name"]]})
 
     distinct = names.where(F.col(name_col).isNotNull()).select(F.col(name_col).alias("name")).distinct()
     return distinct.mapInPandas(resolve, "name string, station_id string").where("station_id is not null")

@@ -91,4 +91,18 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_shared": p9_shared,
 }
-ORACLES: dict[str, str] = {}
+#: Brute force in SQL, for the small tables of the correctness check.
+ORACLES: dict[str, str] = {
+    "p1_found": """
+WITH p AS (SELECT id, TRY_CAST(TRY_CAST(embedding_json AS JSON) AS DOUBLE[]) AS v FROM chunks),
+u AS (SELECT id, v FROM p WHERE len(v) = 64 AND NOT list_contains(list_transform(v, lambda x: x IS NULL), true) AND list_sum(list_transform(v, lambda x: abs(x))) > 0),
+s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS c FROM u a JOIN u b ON a.id <> b.id),
+k AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY round(c, 9) DESC, b) AS r FROM s WHERE c >= 0.85) WHERE r <= 5)
+SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM k""",
+    "p9_found": """
+WITH w AS (SELECT doc_id, p, hash(substring(text, p + 1, 160)) AS h FROM (SELECT doc_id, text, unnest(range(0, length(text) - 159)) AS p FROM documents WHERE length(text) >= 160)),
+s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+m AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM w SEMI JOIN s USING (h)),
+g AS (SELECT doc_id, p, sum(CASE WHEN q IS NULL OR p > q + 160 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM m)
+SELECT doc_id, CAST(min(p) AS INTEGER) AS start_pos, CAST(max(p) + 160 AS INTEGER) AS end_pos FROM g GROUP BY doc_id, run""",
+}

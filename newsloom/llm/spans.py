@@ -168,7 +168,8 @@ def sketch_repeats(spark: SparkSession, rows: DataFrame, least: int, bits: int)
                 more = np.unpackbits(np.frombuffer(twice, np.uint8))[: len(at)]
                 total[at] = np.minimum(total[at] + 1 + more, 2)
         out = [(r, b, np.packbits(t > 1).tobytes()) for (r, b), t in held.items() if (t > 1).any()]
-        yield pd.DataFrame(out, columns=["row", "block", "bits"])
+        if out:
+            yield pd.DataFrame(out, columns=["row", "block", "bits"])
 
     parts = rows.select("text").mapInPandas(sketch, "row int, block int, cells binary, twice binary")
     merged = parts.repartition("row", "block").mapInPandas(merge, "row int, block int, bits binary")
