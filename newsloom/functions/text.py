@@ -27,7 +27,7 @@ def any_of(conditions: Sequence[Column]) -> Column:
 
 def collapse(c: Column | str) -> Column:
     """Runs of white space become one blank, none at the ends."""
-    return F.trim(F.regexp_replace(col(c), r"[\s ]+", " "))
+    return F.trim(F.regexp_replace(col(c), r"[\s\u00A0]+", " "))
 
 
 def query_text(c: Column | str, collapse_spaces: bool = False) -> Column:

@@ -63,7 +63,8 @@ def chunk_texts(df: DataFrame, id_col: str, text_col: str, cutter=window_chunks,
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(i, k, c) for i, t in zip(pdf.iloc[:, 0], pdf.iloc[:, 1]) for k, c in enumerate(cutter(t, **options))]
-            yield pd.DataFrame(rows, columns=[id_col, "chunk_index", "content"])
+            if rows:
+                yield pd.DataFrame(rows, columns=[id_col, "chunk_index", "content"])
 
     kind = dict(df.dtypes)[id_col]
     return df.where(F.col(text_col).isNotNull()).select(id_col, text_col).mapInPandas(cut, f"{id_col} {kind}, chunk_index int, content string")

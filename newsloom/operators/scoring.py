@@ -83,7 +83,7 @@ def risk_scan(docs: DataFrame, group: str, order: Sequence[str], title: str, tex
     (group, title, label) only the first document in the order counts.
     """
     used = [p for p in patterns if not (strict and p.soft)]
-    at = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(p.label).alias("label"), F.lit(p.soft).alias("soft"), F.regexp_instr(F.lower(F.col(text)), F.lit(p.pattern)).alias("at")) for i, p in enumerate(used)])
+    at = F.array(*[F.struct(F.lit(i).alias("pattern_pos"), F.lit(p.label).alias("label"), F.lit(p.soft).alias("soft"), F.regexp_instr(F.lower(F.col(text)), F.lit(p.pattern)).alias("at")) for i, p in enumerate(used)])
     hits = docs.select(group, *order, title, text, F.explode(F.filter(at, lambda x: x["at"] > 0)).alias("h")).select(group, *order, title, text, "h.*")
     start = F.greatest(F.col("at") - before, F.lit(1))
     hits = hits.withColumn("context", F.substring(F.lower(F.col(text)), start, F.col("at") - start + after)).drop(text)
@@ -92,16 +92,16 @@ def risk_scan(docs: DataFrame, group: str, order: Sequence[str], title: str, tex
     hits = hits.withColumn("tier", F.when(stock | calm, "watchlist").otherwise("higher")).withColumn("snippet", F.trim(F.regexp_replace(F.substring("context", 1, 240), r"\s+", " ")))
     key = F.struct(*[F.col(o) for o in order])
     # The same title may be archived twice: its first document in the order speaks for it.
-    firsts = hits.groupBy(group, title, "label").agg(F.min_by(F.struct(*order, "pos", "tier", "snippet"), key).alias("x")).select(group, title, "label", "x.*")
+    firsts = hits.groupBy(group, title, "label").agg(F.min_by(F.struct(*order, "pattern_pos", "tier", "snippet"), key).alias("x")).select(group, title, "label", "x.*")
     doc = [group, *order]
-    stop = F.min("pos") if on_soft_hit == "break" else F.min(F.when(F.col("tier") == "higher", F.col("pos")))
+    stop = F.min("pattern_pos") if on_soft_hit == "break" else F.min(F.when(F.col("tier") == "higher", F.col("pattern_pos")))
     ends = firsts.groupBy(*doc).agg(stop.alias("_stop"))
-    return firsts.join(ends, doc).where(F.col("_stop").isNull() | (F.col("pos") <= F.col("_stop"))).drop("_stop")
+    return firsts.join(ends, doc).where(F.col("_stop").isNull() | (F.col("pattern_pos") <= F.col("_stop"))).drop("_stop")
 
 
 def risk_rollup(hits: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
     """One row a group: its first higher hit, else its first on the watchlist, with counts of both."""
-    rank = F.struct((F.col("tier") != "higher").cast("int"), *order, "pos")
+    rank = F.struct((F.col("tier") != "higher").cast("int"), *order, "pattern_pos")
     return hits.groupBy(group).agg(
         F.min_by("tier", rank).alias("tier"), F.min_by("label", rank).alias("label"), F.min_by("title", rank).alias("title"),
         F.count_if(F.col("tier") == "higher").alias("higher_hits"), F.count_if(F.col("tier") == "watchlist").alias("watchlist_hits"),

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class Catalog:
@@ -20,3 +21,8 @@ class Catalog:
             return f
 
         return add
+
+
+def rows_as(name: str) -> Column:
+    """The number of rows; made when a query is built, as columns need a session."""
+    return F.count(F.lit(1)).alias(name)

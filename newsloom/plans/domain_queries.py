@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text, urls
 from newsloom.operators import dedupe, entities, joins, ranking, reports, scoring, similarity, state
-from newsloom.plans.catalog import Catalog
+from newsloom.plans.catalog import Catalog, rows_as
 from newsloom.session import table
 
 C = Catalog()
 _KEY = r"""regexp_replace(lower(regexp_extract(trim({c}), '^[A-Za-z]+://([^/?#:]*)', 1)), '^www\.', '') || regexp_replace(regexp_extract(trim({c}), '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '')"""
-N = F.count(F.lit(1))
 
 
 # -- entities -------------------------------------------------------------------------------------
@@ -62,7 +61,7 @@ def station_validation(spark: SparkSession, d: str) -> DataFrame:
 @C.query("""SELECT CASE WHEN NOT enabled THEN 'disabled entry' WHEN length(trim(coalesce(page_url,''))) = 0 THEN 'enabled without page_url' END AS reason, count(*) AS n FROM station_records WHERE NOT enabled OR length(trim(coalesce(page_url,''))) = 0 GROUP BY 1""")
 def skip_reasons(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "station_records").select(entities.skip_reason(F.col("enabled"), F.col("page_url")).alias("reason"))
-    return rows.where("reason is not null").groupBy("reason").agg(N.alias("n"))
+    return rows.where("reason is not null").groupBy("reason").agg(rows_as("n"))
 
 
 @C.query("""SELECT station_id, station_name FROM station_records WHERE length(trim(coalesce(page_url,''))) = 0""")
@@ -93,13 +92,13 @@ def cascade_match(spark: SparkSession, d: str) -> DataFrame:
 
 @C.query(f"SELECT coalesce(matched_by, 'none') AS matched_by, count(*) AS n FROM ({_CASCADE}) GROUP BY 1")
 def matched_by_hist(spark: SparkSession, d: str) -> DataFrame:
-    return _cascade(spark, d).groupBy(F.coalesce("matched_by", F.lit("none")).alias("matched_by")).agg(N.alias("n"))
+    return _cascade(spark, d).groupBy(F.coalesce("matched_by", F.lit("none")).alias("matched_by")).agg(rows_as("n"))
 
 
 @C.query("""SELECT source_call_sign, count(*) AS n, min(item_id) AS first_item FROM public_files_items WHERE source_call_sign IS NOT NULL AND len(coalesce(matched_call_signs, [])) = 0 GROUP BY 1 ORDER BY n DESC, first_item LIMIT 15""")
 def top_unmatched(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "public_files_items").where(F.col("source_call_sign").isNotNull() & (F.coalesce(F.size("matched_call_signs"), F.lit(0)) <= 0))
-    per = rows.groupBy("source_call_sign").agg(N.alias("n"), F.min("item_id").alias("first_item"))
+    per = rows.groupBy("source_call_sign").agg(rows_as("n"), F.min("item_id").alias("first_item"))
     return ranking.top_k(per, [F.desc("n"), F.asc("first_item")], 15)
 
 
@@ -131,7 +130,7 @@ def keyword_categories(spark: SparkSession, d: str) -> DataFrame:
 @C.query("SELECT category, count(*) AS n, min(item_id) AS first_item FROM (SELECT item_id, unnest(list_filter([%s], lambda x: x IS NOT NULL)) AS category FROM feed_items) GROUP BY category" % ", ".join("CASE WHEN %s THEN '%s' END" % (" OR ".join(f"contains(lower(title), '{k}')" for k in ks), n) for n, ks in _CATS))
 def alert_fanout(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "feed_items").select("item_id", F.explode(scoring.categories(F.col("title"), _CATS)).alias("category"))
-    return rows.groupBy("category").agg(N.alias("n"), F.min("item_id").alias("first_item"))
+    return rows.groupBy("category").agg(rows_as("n"), F.min("item_id").alias("first_item"))
 
 
 @C.query(rf"""WITH p AS (SELECT id, {_KEY.format(c='url')} AS page, regexp_replace(regexp_extract(trim(url), '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS path FROM articles),
@@ -154,7 +153,7 @@ def content_dedupe(spark: SparkSession, d: str) -> DataFrame:
 @C.query("""SELECT sha, count(DISTINCT source_kind) AS kinds, count(*) AS copies FROM (SELECT source_kind, lower(regexp_replace(trim(file_sha256), '^(?i)sha256:', '')) AS sha FROM docs WHERE file_sha256 IS NOT NULL) GROUP BY sha HAVING count(*) > 1""")
 def cross_source_dedupe(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "docs").where("file_sha256 is not null").select("source_kind", F.lower(F.regexp_replace(F.trim("file_sha256"), "^(?i)sha256:", "")).alias("sha"))
-    return docs.groupBy("sha").agg(F.countDistinct("source_kind").alias("kinds"), N.alias("copies")).where("copies > 1")
+    return docs.groupBy("sha").agg(F.countDistinct("source_kind").alias("kinds"), rows_as("copies")).where("copies > 1")
 
 
 @C.query("""SELECT DISTINCT feed_title, title, published FROM feed_items""")
@@ -212,7 +211,7 @@ def feed_score(spark: SparkSession, d: str) -> DataFrame:
 
 @C.query(f"SELECT bucket, count(*) AS n, CAST(sum(score) AS BIGINT) AS total FROM ({_SCORE}) GROUP BY bucket")
 def feed_buckets(spark: SparkSession, d: str) -> DataFrame:
-    return _feed_scores(spark, d).groupBy("bucket").agg(N.alias("n"), F.sum("score").alias("total"))
+    return _feed_scores(spark, d).groupBy("bucket").agg(rows_as("n"), F.sum("score").alias("total"))
 
 
 @C.query(f"SELECT item_id, score FROM ({_SCORE}) WHERE bucket <> 'low' ORDER BY score DESC, item_id LIMIT 100")
@@ -222,7 +221,7 @@ def feed_ranked(spark: SparkSession, d: str) -> DataFrame:
 
 @C.query(f"SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(reasons, ',')) AS reason FROM ({_SCORE}) WHERE reasons <> '') GROUP BY reason")
 def feed_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return _feed_scores(spark, d).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(N.alias("n"))
+    return _feed_scores(spark, d).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(rows_as("n"))
 
 
 _SW = ("a", "an", "and", "the", "of", "for", "in", "on", "to", "what", "means")
@@ -268,7 +267,7 @@ def docket_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @C.query("""SELECT min(filing_id) AS filing_id, trim(link) AS link, count(*) AS copies FROM ecfs_items WHERE link IS NOT NULL GROUP BY trim(link)""")
 def docket_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "ecfs_items").where("link is not null").groupBy(F.trim("link").alias("link")).agg(F.min("filing_id").alias("filing_id"), N.alias("copies"))
+    return table(spark, d, "ecfs_items").where("link is not null").groupBy(F.trim("link").alias("link")).agg(F.min("filing_id").alias("filing_id"), rows_as("copies"))
 
 
 @C.query("""SELECT item_id FROM public_files_items WHERE (contains(lower(title), 'transmitter') OR contains(lower(title), 'license') OR contains(lower(title), 'tower')) AND NOT contains(lower(title), 'draft')""")
@@ -290,7 +289,7 @@ _KIND = "CASE WHEN contains(lower(title),'single audit') OR contains(lower(title
 @C.query(f"SELECT kind, file_ext, count(*) AS n FROM (SELECT {_KIND} AS kind, file_ext FROM audit_documents) GROUP BY kind, file_ext")
 def doc_kinds(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "audit_documents").select(scoring.ordered_label(F.col("title"), _KINDS, "other").alias("kind"), "file_ext")
-    return rows.groupBy("kind", "file_ext").agg(N.alias("n"))
+    return rows.groupBy("kind", "file_ext").agg(rows_as("n"))
 
 
 @C.query(f"""WITH k AS (SELECT record_no, station_id, CASE {_KIND} WHEN 'audited_financial' THEN 0 WHEN 'financial_statement' THEN 1 WHEN 'annual_report' THEN 2 ELSE 3 END AS kr, coalesce(try_cast(regexp_extract(title, '(20[0-9][0-9])', 1) AS INTEGER), 0) AS y FROM audit_documents)
@@ -387,7 +386,7 @@ def year_coverage(spark: SparkSession, d: str) -> DataFrame:
 @C.query("""SELECT canonical_station_id, report_year, count(*) AS n, round(max(file_mtime), 3) AS newest, arg_min(doc_id, (file_mtime, doc_id)) AS first_doc FROM docs WHERE canonical_station_id <> '' AND file_mtime IS NOT NULL GROUP BY 1, 2""")
 def timeline(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "docs").where("canonical_station_id <> '' and file_mtime is not null")
-    return rows.groupBy("canonical_station_id", "report_year").agg(N.alias("n"), F.round(F.max("file_mtime"), 3).alias("newest"), F.min_by("doc_id", F.struct("file_mtime", "doc_id")).alias("first_doc"))
+    return rows.groupBy("canonical_station_id", "report_year").agg(rows_as("n"), F.round(F.max("file_mtime"), 3).alias("newest"), F.min_by("doc_id", F.struct("file_mtime", "doc_id")).alias("first_doc"))
 
 
 @C.query("""WITH l AS (SELECT canonical_station_id AS s, title, doc_id, row_number() OVER (PARTITION BY canonical_station_id ORDER BY doc_id) AS i FROM docs WHERE canonical_station_id <> '')

@@ -8,13 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.operators import joins, ranking, reports, scoring, state
-from newsloom.plans.catalog import Catalog
+from newsloom.plans.catalog import Catalog, rows_as
 from newsloom.session import shared_dir, table
 from newsloom.sources import markup
 from newsloom.streaming import pipelines
 
 C = Catalog()
-N = F.count(F.lit(1))
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +61,7 @@ def catchup_dates(spark: SparkSession, d: str) -> DataFrame:
 @C.query("SELECT strftime(ts, '%Y-%m') AS month, user_id, count(*) AS views FROM events WHERE event_type = 'view' GROUP BY 1, 2")
 def monthly_views(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").where("event_type = 'view'")
-    return rows.groupBy(F.date_format("ts", "yyyy-MM").alias("month"), "user_id").agg(N.alias("views"))
+    return rows.groupBy(F.date_format("ts", "yyyy-MM").alias("month"), "user_id").agg(rows_as("views"))
 
 
 # -- failures -------------------------------------------------------------------------------------
@@ -79,7 +78,7 @@ def _failures(spark: SparkSession, d: str) -> DataFrame:
 
 @C.query(f"SELECT kind, count(*) AS n FROM ({_TYPED}) GROUP BY kind")
 def failure_types(spark: SparkSession, d: str) -> DataFrame:
-    return _failures(spark, d).groupBy("kind").agg(N.alias("n"))
+    return _failures(spark, d).groupBy("kind").agg(rows_as("n"))
 
 
 @C.query(f"""WITH k AS (SELECT user_id, kind, count(*) AS n FROM ({_TYPED}) GROUP BY 1, 2)
@@ -141,7 +140,7 @@ def ratios_yoy(spark: SparkSession, d: str) -> DataFrame:
 def revenue_by_nation(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("rev"))
     joined = li.join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    return joined.join(table(spark, d, "nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(N.alias("n_orders"), F.round(F.sum("rev"), 2).alias("revenue"))
+    return joined.join(table(spark, d, "nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(rows_as("n_orders"), F.round(F.sum("rev"), 2).alias("revenue"))
 
 
 @C.query("""SELECT string_agg(reason || '=' || n, ';' ORDER BY reason) AS counts FROM (SELECT event_type AS reason, count(*) AS n FROM events GROUP BY 1)""")
@@ -152,7 +151,7 @@ def counts_by_reason(spark: SparkSession, d: str) -> DataFrame:
 
 @C.query("""SELECT '| event_type | n |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || event_type || ' | ' || n || ' |', chr(10) ORDER BY event_type) AS markdown FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)""")
 def markdown_briefing(spark: SparkSession, d: str) -> DataFrame:
-    per = table(spark, d, "events").groupBy("event_type").agg(N.alias("n"))
+    per = table(spark, d, "events").groupBy("event_type").agg(rows_as("n"))
     return reports.markdown_table(per, ["event_type"], ["event_type", "n"])
 
 

@@ -40,7 +40,8 @@ def parse_feed(xml: str, default_title: str = "") -> list[tuple]:
         if _name(e) not in ("item", "entry"):
             continue
         links = [c for c in e if _name(c) == "link"]
-        best = next((c for c in links if c.get("href") and c.get("rel", "alternate") == "alternate"), None) or next((c for c in links if c.get("href")), None)
+        hrefs = sorted((c for c in links if c.get("href")), key=lambda c: c.get("rel", "alternate") != "alternate")
+        best = hrefs[0] if hrefs else None
         link = best.get("href").strip() if best is not None else _words(links[0]) if links else ""
         title = _words(_child(e, "title"))
         if title or link:
@@ -172,7 +173,8 @@ def parse_documents(df: DataFrame, id_col: str, text_col: str, parser: str, **op
                     rows += [(i, pos, *r) for pos, r in enumerate(parse(text, **options))]
                 except (ET.ParseError, ValueError, AssertionError):
                     continue
-            yield pd.DataFrame(rows, columns=[id_col, "pos", *names])
+            if rows:
+                yield pd.DataFrame(rows, columns=[id_col, "pos", *names])
 
     kind = dict(df.dtypes)[id_col]
     return df.where(F.col(text_col).isNotNull()).select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, pos int, {schema}")
