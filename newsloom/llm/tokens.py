@@ -191,16 +191,16 @@ def count_words(df: DataFrame, text_col: str) -> DataFrame:
         find, total = regex.compile(pattern).findall, Counter()
 
         def flush() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+            kept = {w: n for w, n in total.items() if len(w) <= WORD_CHARS}
             total.clear()
-            return made
+            return pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    total.update(w for w in find(text) if len(w) <= WORD_CHARS)
-            if len(total) > MEMO_WORDS:
-                yield flush()
+                    total.update(find(text))
+                if len(total) > MEMO_WORDS:
+                    yield flush()
         yield flush()
 
     return df.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -246,14 +246,16 @@ def encode_corpus(spark: SparkSession, df: DataFrame, id_col: str, text_col: str
                 if len(memo) > MEMO_WORDS:
                     memo.clear()
                 memo.learn(set(chain.from_iterable(split)))
-                rows = [list(chain.from_iterable(map(memo.__getitem__, words))) for words in split]
+                flat: list[int] = []
+                ends = [0]
+                for words in split:
+                    flat.extend(chain.from_iterable(map(memo.__getitem__, words)))
+                    ends.append(len(flat))
                 ids = batch.column(0).slice(lo, len(split))
-                sizes = np.fromiter(map(len, rows), np.int64, len(rows))
                 if counts_only:
-                    value = pa.array(sizes)
+                    value = pa.array(np.diff(np.array(ends, np.int64)))
                 else:
-                    flat = np.fromiter(chain.from_iterable(rows), np.int32, int(sizes.sum()))
-                    value = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat))
+                    value = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(flat, np.int32)))
                 kept = [batch.column(2).slice(lo, len(split))] if keep else []
                 yield pa.RecordBatch.from_arrays([ids, value, *kept], [*names, *[keep] * bool(keep)])
 
