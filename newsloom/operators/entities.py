@@ -44,8 +44,7 @@ def lookup_like(aliases: DataFrame, docs: DataFrame, pattern: str, alias: str, t
     for c in doc_columns:
         cond = cond | F.lower(F.coalesce(c, F.lit(""))).like(like)
     second = docs.where(cond & (F.col(target) != "")).groupBy(F.col(target).alias("target")).agg(F.min(name).alias("name"))
-    none = first.agg((F.count(F.lit(1)) == 0).alias("_none"))  # one row
-    return first.unionByName(second.join(none, F.col("_none")).drop("_none"))
+    return first.unionByName(second.where(first.agg(F.count(F.lit(1))).scalar() == 0))
 
 
 def roster_keys(df: DataFrame, name_col: str) -> DataFrame:
@@ -65,7 +64,8 @@ def validate_config(df: DataFrame, id_col: str, url_col: str, enabled: Column) -
         F.count(F.lit(1)).alias("entries"), F.count_if(enabled).alias("enabled"), F.count_if(has & ~good).alias("malformed_urls"),
         F.count_if(enabled & ~has).alias("enabled_without_url"), F.count_if(~enabled & has).alias("disabled_with_url"),
     )
-    return counts.join(ids)  # one row each
+    both = counts.unionByName(ids, allowMissingColumns=True)  # one row each
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def skip_reason(enabled: Column, url: Column) -> Column:

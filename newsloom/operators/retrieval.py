@@ -90,14 +90,13 @@ def in_date_window(df: DataFrame, column: str, date_from: str | None, date_to: s
 def gated_union(branches: Sequence[tuple[DataFrame, int | None]], id_col: str) -> DataFrame:
     """``id, branch``: branches in order of priority; one with a gate adds rows only while fewer distinct ids came before.
 
-    The counts are one-row frames joined to the branch, so nothing runs on the driver.
+    The counts are scalar subqueries of the plan.
     """
     out: DataFrame | None = None
     for i, (branch, gate) in enumerate(branches):
         rows = branch.select(F.col(id_col).alias("id"), F.lit(i).alias("branch"))
         if out is not None and gate is not None:
-            n = out.agg(F.countDistinct("id").alias("_n"))
-            rows = rows.join(n, F.col("_n") < gate).drop("_n")
+            rows = rows.where(out.agg(F.countDistinct("id")).scalar() < gate)
         out = rows if out is None else out.unionByName(rows)
     return out.groupBy("id").agg(F.min("branch").alias("branch"))
 
