@@ -88,7 +88,7 @@ def link_parts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("item_id", F.coalesce(urls.parameter(F.trim("link"), "id"), F.lit("")).alias("id_param"), F.when(F.lower("link").startswith("https"), "https").otherwise("http").alias("scheme"))
 
 
-@C.query("""SELECT status, file_ext, count(*) AS n, count(DISTINCT station_id) AS stations, count_if(flags <> '') AS flagged FROM audit_documents GROUP BY status, file_ext""")
+@C.query("""SELECT status, file_ext, count(*) AS n, count(DISTINCT station_id) AS stations, count(*) FILTER (flags <> '') AS flagged FROM audit_documents GROUP BY status, file_ext""")
 def run_counters(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "audit_documents").groupBy("status", "file_ext").agg(rows_as("n"), F.countDistinct("station_id").alias("stations"), F.count_if(F.col("flags") != "").alias("flagged"))
 

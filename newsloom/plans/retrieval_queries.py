@@ -102,7 +102,7 @@ def docs_by_source(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.count("text").alias("n_texts"), F.sum("n_chars").alias("chars"))
 
 
-@C.query("""SELECT count(*) AS n_docs, count_if(extracted_ok = 1) AS n_extracted, count(DISTINCT nullif(canonical_station_id, '')) AS n_stations, count_if(canonical_station_id = '') AS n_unresolved, count(DISTINCT nullif(report_year, 0)) AS n_years FROM docs""")
+@C.query("""SELECT count(*) AS n_docs, count(*) FILTER (extracted_ok = 1) AS n_extracted, count(DISTINCT nullif(canonical_station_id, '')) AS n_stations, count(*) FILTER (canonical_station_id = '') AS n_unresolved, count(DISTINCT nullif(report_year, 0)) AS n_years FROM docs""")
 def corpus_health(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "docs")
     return docs.agg(
