@@ -115,6 +115,20 @@ def threshold_backfill(scored: DataFrame, k: int, floor: float = 0.12, share: fl
     return ranked.withColumn("bar", F.greatest(F.lit(floor), best * share)).where((F.col("score") >= F.col("bar")) | (F.col("rank") <= min(least, k))).drop("bar")
 
 
+def lexical_rescue(articles: DataFrame, phrases: Sequence[str], terms: Sequence[str], top: float, k: int, most: int = 4) -> DataFrame:
+    """``id, score, rank`` of at most ``min(k, most)`` articles that words alone bring back, scored just above ``top``.
+
+    A phrase in the title adds 0.08, in the text 0.06; enough terms add 0.01 each, up to 0.05.
+    """
+    title, body = F.lower(F.coalesce("title", F.lit(""))), F.lower(F.coalesce("text", F.lit("")))
+    in_title, in_body = any_of([title.contains(p) for p in phrases]), any_of([body.contains(p) for p in phrases])
+    hits = sum(((title.contains(t) | body.contains(t)).cast("int") for t in terms), F.lit(0))
+    bonus = F.when(in_title, 0.08).when(in_body, 0.06).when(hits >= min(2, len(terms)), F.least(F.lit(0.05), hits * 0.01))
+    scored = articles.select("id", "published_at", F.round(F.lit(top) + bonus, 6).alias("score")).where("score is not null")
+    best = scored.orderBy(F.desc("score"), F.desc_nulls_last("published_at"), F.desc("id")).limit(min(k, most))
+    return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), F.desc_nulls_last("published_at"), F.desc("id"))))  # at most `most` rows
+
+
 def merge_lists(lists: Sequence[DataFrame], k: int) -> DataFrame:
     """``id, score, list_no``: the lists one after another, each id where it came first, cut at ``k``."""
     rows = None

@@ -54,6 +54,16 @@ def story_pairs(df: DataFrame, set_col: str, extra: Sequence[str] = (), jaccard:
     return met.where((both >= shared) & (both >= jaccard * union)).select("ia", "ib", "set_a", "set_b", (both / union).alias("similarity")).dropDuplicates(["ia", "ib"])
 
 
+def unlike_recent(items: DataFrame, recent: DataFrame, set_col: str, jaccard: float = 0.8, shared: int = 4) -> DataFrame:
+    """The items whose word set neither equals nor resembles one told recently."""
+    told = recent.select(set_col).distinct()
+    both = items.select(set_col).unionByName(told).distinct()
+    pairs = story_pairs(both, set_col, jaccard=jaccard, shared=shared)
+    ways = pairs.select(F.col("set_a").alias("_new"), F.col("set_b").alias("_old")).unionByName(pairs.select(F.col("set_b").alias("_new"), F.col("set_a").alias("_old")))
+    alike = ways.join(told.withColumnRenamed(set_col, "_old"), "_old", "left_semi").select("_new").unionByName(told.withColumnRenamed(set_col, "_new")).distinct()
+    return items.join(alike, F.col(set_col) == F.col("_new"), "left_anti")
+
+
 def greedy_stories(items: DataFrame, pos: str, set_col: str, jaccard: float = 0.55, shared: int = 4, many: int = 5, contained: float = 0.85, most: int = 5_000) -> DataFrame:
     """``pos, story``: each item joins the first story whose first item it resembles.
 

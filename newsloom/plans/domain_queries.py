@@ -407,4 +407,31 @@ def page_candidate_score(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("page_url", scoring.page_score(F.col("page_url"), F.lit(""), ("audit", "financial"), (("donate", -100),)).alias("score"))
 
 
+@C.query(_HITS.format(stop="tier = 'higher'") + " SELECT canonical_station_id, label, min(doc_id) AS doc_id FROM r WHERE tier = 'watchlist' GROUP BY canonical_station_id, label")
+def risk_watchlist(spark: SparkSession, d: str) -> DataFrame:
+    hits = _risks(spark, d, "continue").where("tier = 'watchlist'")
+    return dedupe.keep_first(hits, ["canonical_station_id", "label"], ["doc_id"]).select("canonical_station_id", "label", "doc_id")
+
+
+@C.query("""WITH s AS (SELECT item_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda w: w NOT IN ('a','an','and','the','of','for','in','on','to','what','means')))) AS s FROM feed_items WHERE title IS NOT NULL),
+o AS (SELECT DISTINCT s FROM s WHERE item_id % 4 = 0), n AS (SELECT * FROM s WHERE item_id % 4 <> 0),
+x AS (SELECT DISTINCT n.item_id FROM n JOIN o ON n.s = o.s OR (len(list_intersect(n.s, o.s)) >= 4 AND len(list_intersect(n.s, o.s)) >= 0.8 * (len(n.s) + len(o.s) - len(list_intersect(n.s, o.s)))))
+SELECT item_id FROM n WHERE item_id NOT IN (SELECT item_id FROM x)""")
+def recent_story_antijoin(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "feed_items").where("title is not null").select("item_id", similarity.word_set("title", _SW).alias("s"))
+    return similarity.unlike_recent(rows.where("item_id % 4 <> 0"), rows.where("item_id % 4 = 0"), "s").select("item_id")
+
+
+@C.query("""SELECT id, value FROM (SELECT id, id * 13 % 101 AS value, fetched_at FROM articles) ORDER BY value DESC, fetched_at DESC NULLS LAST, id LIMIT 50""")
+def post_ranking(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "articles").select("id", (F.col("id") * 13 % 101).alias("value"), "fetched_at")
+    return ranking.top_k(rows, [F.desc("value"), F.desc_nulls_last("fetched_at"), F.asc("id")], 50).select("id", "value")
+
+
+@C.query(f"""SELECT item_id, CAST(CASE WHEN feed_title LIKE 'News search%' THEN least(score, 4) ELSE score END AS INTEGER) AS score FROM ({_SCORE}) JOIN feed_items USING (item_id)""")
+def social_adjust(spark: SparkSession, d: str) -> DataFrame:
+    capped = F.when(F.col("feed_title").like("News search%"), F.least(F.col("score"), F.lit(4))).otherwise(F.col("score"))
+    return _feed_scores(spark, d).select("item_id", capped.alias("score"))
+
+
 QUERIES, ORACLES = C.queries, C.oracles

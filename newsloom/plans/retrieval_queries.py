@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from newsloom.functions.text import collapse, highlight
 from newsloom.operators import dedupe, retrieval as R
@@ -190,5 +189,11 @@ def short_page_rejects(spark: SparkSession, d: str) -> DataFrame:
     return reject_log(table(spark, d, "articles").withColumn("n", n), F.when(F.col("n") < 700, "short text"))[1].select("id", "n", "reason")
 
 
-VECTOR = T.ArrayType(T.DoubleType())
+@C.query(f"""WITH s AS (SELECT id, published_at, round(0.5 + CASE WHEN contains({_ART}, 'network audit') THEN 0.08 WHEN contains({_TXT}, 'network audit') THEN 0.06
+ WHEN (CAST(contains({_ART},'antenna') OR contains({_TXT},'antenna') AS INTEGER) + CAST(contains({_ART},'deficit') OR contains({_TXT},'deficit') AS INTEGER)) >= 2 THEN 0.02 END, 6) AS score FROM articles)
+SELECT id, score FROM s WHERE score IS NOT NULL ORDER BY score DESC, published_at DESC NULLS LAST, id DESC LIMIT 4""")
+def lexical_rescue(spark: SparkSession, d: str) -> DataFrame:
+    return R.lexical_rescue(table(spark, d, "articles"), ["network audit"], ["antenna", "deficit"], 0.5, 8).select("id", "score")
+
+
 QUERIES, ORACLES = C.queries, C.oracles

@@ -126,4 +126,46 @@ def date_hints(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", dates.date_hint("text").alias("hint")).where("hint is not null")
 
 
+@C.query(r"""SELECT item_id, lower(trim(regexp_replace(title, '^(.*) - .*$', '\1'))) AS core FROM feed_items""")
+def headline_core(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "feed_items").select("item_id", text.headline_core("title").alias("core"))
+
+
+@C.query(r"""SELECT regexp_replace(lower(regexp_extract(trim(document_url), '^[A-Za-z]+://([^/?#:]*)', 1)), '^www\.', '') AS domain, count(*) AS n FROM audit_documents WHERE document_url IS NOT NULL GROUP BY 1""")
+def canonical_domain(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "audit_documents").where("document_url is not null").groupBy(urls.host("document_url").alias("domain")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@C.query(r"""SELECT count(*) AS n, count(*) FILTER (regexp_matches(lower(link), '[?&](utm_source|utm_medium|utm_campaign|utm_term|utm_content|gclid|fbclid|mc_cid|mc_eid)=')) AS tracked FROM feed_items WHERE link IS NOT NULL""")
+def url_strip_tracking(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "feed_items").where("link is not null").select(F.trim("link").alias("link"))
+    marks = F.lower("link").rlike("[?&](" + "|".join(urls.TRACKING) + ")=")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(marks).alias("tracked"))
+
+
+@C.query(r"""WITH t AS (SELECT doc_id, content_text AS c, strpos(lower(content_text), 'set aside') AS p FROM docs)
+SELECT doc_id, trim(regexp_replace(substring(c, greatest(p-180,1), p - greatest(p-180,1) + 1400), '[\s\x{00A0}]+', ' ', 'g')) AS section FROM t WHERE p > 0""")
+def section_window(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "docs").select("doc_id", text.around("content_text", "(?i)set aside", 180, 1400).alias("section")).where("section is not null")
+
+
+@C.query("""SELECT event_id, strftime(max(a), '%Y-%m-%d %H:%M:%S') AS anchor FROM (SELECT event_id, ts, unnest(list_transform(range(0, 8), lambda i: date_trunc('day', ts) - i * INTERVAL 1 DAY + INTERVAL 14 HOUR)) AS a FROM events) WHERE isodow(a) IN (1, 4) AND a < ts GROUP BY event_id""")
+def biweekly_anchor(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select("event_id", dates.latest_anchor(F.col("ts").cast("timestamp"), "UTC").alias("a"))
+    return rows.select("event_id", F.date_format("a", "yyyy-MM-dd HH:mm:ss").alias("anchor"))
+
+
+@C.query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '[\s\x{00A0}]+', ' ', 'g')) AS body FROM documents WHERE contains(text, '<') AND NOT contains(text, '&')""")
+def html_text(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").where(F.col("text").contains("<") & ~F.col("text").contains("&"))
+    return rows.select("doc_id", text.stripped_html("text").alias("body"))
+
+
+@C.query()
+def html_anchors(spark: SparkSession, d: str) -> DataFrame:
+    from newsloom.sources.markup import parse_documents
+
+    return parse_documents(table(spark, d, "documents"), "doc_id", "text", "anchors")
+
+
 QUERIES, ORACLES = C.queries, C.oracles
