@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import importlib
-import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +13,11 @@ EXTRA_PACKAGE = "newsloom.llm"
 
 def _modules() -> list:
     found = [importlib.import_module(m) for m in CORE_MODULES]
-    if importlib.util.find_spec(EXTRA_PACKAGE) is not None:
+    try:
         found.append(importlib.import_module(f"{EXTRA_PACKAGE}.queries"))
+    except ModuleNotFoundError as e:
+        if not (e.name or "").startswith(EXTRA_PACKAGE):
+            raise
     return found
 
 
