@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +37,15 @@ def ship_package() -> None:
     cloudpickle.register_pickle_by_value(newsloom)
 
 
+def shared_object(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """Broadcast an object of this package's own classes; called in a task, the result gives the object.
+
+    A plain broadcast would have the executors import the package; this carries the classes along.
+    """
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(held.value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
