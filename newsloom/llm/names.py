@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.session import shared_object
+
 MAX_ROSTER = 200_000
 
 #: Words around a name that don't belong to it.
@@ -340,10 +342,10 @@ def load_roster(roster: DataFrame) -> Roster:
 
 def resolve_names(spark: SparkSession, names: DataFrame, name_col: str, roster: DataFrame) -> DataFrame:
     """``name, station_id`` of each distinct spelling that means an organisation of the roster."""
-    index = spark.sparkContext.broadcast(load_roster(roster))
+    index = shared_object(spark, load_roster(roster))
 
     def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = index.value
+        found = index()
         for pdf in batches:
             if len(pdf):
                 yield pd.DataFrame({"name": pdf["name"], "station_id": [found.resolve(n) for n in pdf["name"]]})
