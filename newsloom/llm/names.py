@@ -20,7 +20,6 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -53,7 +52,6 @@ def fold(name: str) -> list[str]:
     return re.findall(r"[^\W_]+", s)
 
 
-@lru_cache(maxsize=200_000)
 def edits(a: str, b: str) -> int:
     """Edit distance with adjacent swaps, 2 standing for two or more."""
     if a == b:
@@ -76,7 +74,6 @@ def deletes(token: str) -> set[str]:
     return {token, *(token[:i] + token[i + 1 :] for i in range(len(token)))}
 
 
-@lru_cache(maxsize=200_000)
 def abbreviates(short: str, word: str) -> bool:
     """``short`` begins like ``word`` and is made of its letters in order; its long form may be fixed."""
     if SHORT_FORMS.get(short) == word:
@@ -87,9 +84,21 @@ def abbreviates(short: str, word: str) -> bool:
     return all(c in rest for c in short)
 
 
-@lru_cache(maxsize=500_000)
+#: Costs already found in this process; a plain table, as it travels to the executors with the functions.
+_COSTS: dict[tuple[str, str], float] = {}
+
+
 def token_cost(typed: str, word: str) -> float:
     """0 for equal, below 1 for a slip or an abbreviation, infinite for different words."""
+    cost = _COSTS.get((typed, word))
+    if cost is None:
+        if len(_COSTS) > 300_000:
+            _COSTS.clear()
+        cost = _COSTS[typed, word] = _word_cost(typed, word)
+    return cost
+
+
+def _word_cost(typed: str, word: str) -> float:
     if typed == word:
         return 0.0
     if word in COMMON:
