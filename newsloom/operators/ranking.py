@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from newsloom.functions.text import col
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int, offset: int = 0) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import text, urls
-from newsloom.operators import dedupe, entities, joins, ranking, reports, scoring, similarity, state
+from newsloom.operators import dedupe, entities, joins, ranking, reports, scoring, similarity
 from newsloom.plans.catalog import Catalog, rows_as
 from newsloom.session import table
 
