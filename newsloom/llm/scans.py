@@ -30,7 +30,7 @@ from operator import ne
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.tokens import local_copy, publish
@@ -309,15 +309,33 @@ def grams(word: str) -> list[str]:
 
 
 class Letters:
-    """How likely a word's letters are, from the grams of the corpus' words."""
+    """How likely a word's letters are, from the grams of the corpus' words.
+
+    Grams count by their share of all, so more rows of the same words change no likelihood.
+    """
 
     def __init__(self, counts: dict[str, int]):
         self.counts, self.heads = counts, Counter()
         for g, n in counts.items():
             self.heads[g[:-1]] += n
+        self.all = sum(counts.values()) or 1
+
+    def gain(self, word: str, meant: str, without: dict[str, int]) -> float:
+        """How much likelier ``meant`` is than ``word``, by the corpus without some words that occur so often."""
+        less, less_heads = Counter(), Counter()
+        for w, n in without.items():
+            if w.isalpha():
+                for g in grams(w):
+                    less[g] += n
+                    less_heads[g[:-1]] += n
+
+        def share(of: dict[str, int], out: Counter, g: str) -> float:
+            return max(of.get(g, 0) - out[g], 0) / self.all
+
+        def score(w: str) -> float:
+            return sum(math.log((share(self.counts, less, g) + 0.05e-6) / (share(self.heads, less_heads, g[:-1]) + 2e-6)) for g in grams(w))
 
-    def score(self, word: str) -> float:
-        return sum(math.log((self.counts.get(g, 0) + 0.05) / (self.heads.get(g[:-1], 0) + 2.0)) for g in grams(word))
+        return score(meant) - score(word)
 
 
 def readings(word: str) -> set[str]:
@@ -335,41 +353,54 @@ def readings(word: str) -> set[str]:
 
 
 def misread_words(spark: SparkSession, words: DataFrame) -> DataFrame:
-    """``word, meant``: the misread words of a vocabulary (``word, n``) and what they stand for."""
+    """``word, meant``: the misread words of a vocabulary (``word, n``) and what they stand for.
+
+    Decided by ratios of counts and shares of grams only, so the number of rows doesn't matter.
+    """
 
     def gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
         for pdf in batches:
             for w, n in zip(pdf["word"], pdf["n"]):
                 if w.isalpha():
-                    k = min(int(n), 20)
                     for g in grams(w):
-                        total[g] += k
+                        total[g] += int(n)
         if total:
             yield pd.DataFrame({"g": list(total), "n": list(total.values())})
 
     # Grams of letters: their number is bounded by the alphabet, whatever the corpus.
-    counted = words.where("n >= 2").mapInPandas(gram_counts, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(300_000).toPandas()
+    counted = words.mapInPandas(gram_counts, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(300_000).toPandas()
     letters = shared_object(spark, Letters(dict(zip(counted["g"], counted["n"].astype(int)))))
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = lru_cache(maxsize=50_000)(letters().score)
         for pdf in batches:
             rows = []
-            for w, n in zip(pdf["word"], pdf["n"]):
+            for w, n, own in zip(pdf["word"], pdf["n"], pdf["own"]):
                 if sum(c.isalpha() for c in w) < 3 or not re.fullmatch(r"[\w@|’'\-ﬁﬂ]+", w):
                     continue
                 odd = any(c in "@|ﬁﬂ" or c.isdigit() for c in w)
-                rows += [(w, n, c, odd, score(c) - score(w)) for c in readings(w)]
+                rows += [(w, n, own, c, odd) for c in readings(w)]
             if rows:
-                yield pd.DataFrame(rows, columns=["word", "n", "meant", "odd", "gain"])
-
-    made = words.mapInPandas(candidates, "word string, n long, meant string, odd boolean, gain double")
-    known = words.select(F.col("word").alias("meant"), F.col("n").alias("m"))
-    judged = made.join(known, "meant", "left").withColumn("m", F.coalesce("m", F.lit(0)))
-    rare = (F.col("m") >= 30 * F.col("n")) & (F.col("m") >= 30) & (F.col("gain") > 0)
-    likelier = (F.col("gain") > 4) & (F.col("m") >= F.col("n")) & (F.col("n") <= 3)
-    far = (F.col("gain") > 8) & (F.col("m") * 3 >= F.col("n"))
+                yield pd.DataFrame(rows, columns=["word", "n", "own", "meant", "odd"])
+
+    def gains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gain = letters().gain
+        for pdf in batches:
+            each = list(zip(pdf["word"], pdf["own"], pdf["meant"], pdf["theirs"]))
+            # A word's own occurrences don't speak for its letters; ``fair`` leaves those of both out.
+            alone = [gain(w, c, {w.lower(): own}) for w, own, c, _ in each]
+            fair = [gain(w, c, {w.lower(): own, c.lower(): theirs}) for w, own, c, theirs in each]
+            yield pdf[["word", "n", "meant", "m", "odd"]].assign(gain=alone, fair=fair)
+
+    # All spellings of a word that differ by case have the same grams.
+    spelt = words.select("word", "n", F.sum("n").over(Window.partitionBy(F.lower("word"))).alias("own"))
+    known = spelt.select(F.col("word").alias("meant"), F.col("n").alias("m"), F.col("own").alias("theirs"))
+    made = spelt.mapInPandas(candidates, "word string, n long, own long, meant string, odd boolean").join(known, "meant", "left")
+    made = made.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("m", "theirs")}).where(F.col("odd") | (F.col("m") * 3 >= F.col("n")))
+    judged = made.mapInPandas(gains, "word string, n long, meant string, m long, odd boolean, gain double, fair double")
+    rare = (F.col("m") >= 30 * F.col("n")) & (F.col("gain") > 0)
+    likelier = (F.col("m") >= 5 * F.col("n")) & (F.col("gain") > 4)
+    far = (F.col("fair") > 8) & (F.col("m") * 3 >= F.col("n"))
     odd = F.col("odd") & ((F.col("m") > 0) | (F.col("gain") > 3))
     hit = judged.where(rare | likelier | far | odd)
     return hit.groupBy("word").agg(F.max_by("meant", F.struct(F.col("m"), F.col("gain"), F.col("meant"))).alias("meant"))

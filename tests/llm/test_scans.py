@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from newsloom.llm.scans import CONFUSIONS, LineModel, countable, looks_unpaged, noise_lines, page_noise, paragraphs_of, readable_paragraphs, readings, train_model, typeset
+from newsloom.llm.scans import CONFUSIONS, LineModel, countable, looks_unpaged, misread_words, noise_lines, page_noise, paragraphs_of, readable_paragraphs, readings, train_model, typeset, vocabulary
 
 
 @pytest.fixture(scope="module")
@@ -59,3 +59,10 @@ def test_whole_operator(spark):
 def test_empty_table(spark):
     noise, texts = page_noise(spark, spark.createDataFrame([], "doc_id string, content_text string"), "doc_id", "content_text")
     assert noise_lines(noise).count() == 0 and readable_paragraphs(noise, texts).count() == 0
+
+
+def test_misread_words_dont_depend_on_the_number_of_rows(spark):
+    texts = spark.read.parquet("/root/testdata/sf0.01/docs.parquet").where("content_text <> ''").selectExpr("content_text as text")
+    words = vocabulary(texts).localCheckpoint()
+    once, often = [{r["word"]: r["meant"] for r in misread_words(spark, words.selectExpr("word", f"n * {k} as n")).collect()} for k in (1, 40)]
+    assert len(once) > 20 and once == often
