@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import tokens
+from newsloom.functions.text import has_any_term, tokens
 
 
 def word_set(title: Column | str, stopwords: Sequence[str]) -> Column:
@@ -23,45 +23,71 @@ def word_set(title: Column | str, stopwords: Sequence[str]) -> Column:
 
 def milestones(title: Column | str, groups: Sequence[Sequence[str]]) -> Column:
     """Which groups of milestone words a title uses: stories of different milestones differ."""
-    low = F.lower(title if isinstance(title, Column) else F.col(title))
-    return F.array_compact(F.array(*[F.when(low.rlike("|".join(g)), F.lit(i)) for i, g in enumerate(groups)]))
+    return F.array_compact(F.array(*[F.when(has_any_term(title, g), F.lit(i)) for i, g in enumerate(groups)]))
 
 
-def same_story(a: Column, b: Column, jaccard: float, shared: int, many: int, contained: float) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    union, least = F.size(F.array_union(a, b)), F.least(F.size(a), F.size(b))
-    return ((both >= shared) & (both >= jaccard * union)) | ((both >= many) & (both >= contained * least))
+def amounts(title: Column | str) -> Column:
+    """The amounts a title names: stories that both name some, and not the same, differ."""
+    low = F.lower(title if isinstance(title, Column) else F.col(title))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(low, F.lit(r"\b\d+(?:\.\d+)?\s*(?:million|billion|percent|%)"), F.lit(0))))
 
 
-def story_pairs(df: DataFrame, set_col: str, extra: Sequence[str] = (), jaccard: float = 0.8, shared: int = 4) -> DataFrame:
-    """``set_a, set_b, similarity`` of the distinct word sets of at least the given Jaccard similarity; ``extra`` must agree.
+def story_pairs(df: DataFrame, set_col: str, extra: Sequence[str] = (), jaccard: float = 0.8, shared: int = 4, many: int | None = None, contained: float = 0.85, apart: Sequence[str] = ()) -> DataFrame:
+    """``ia, ib, set_a, set_b, similarity`` of the distinct word sets of at least the given Jaccard similarity.
 
-    A pair of similarity s has a common word among the ``n - ceil(s n) + 1`` rarest of either set.
+    With ``many``, also of those that share so many words and that part of the smaller set. ``extra``
+    must agree; lists in ``apart`` must agree unless one is empty. If the smaller of two sets of
+    ``m <= n`` words shares ``t(m)`` with the larger, and that never less than ``t``, they have a common
+    word among the ``m - t(m) + 1`` rarest of one and the ``n - t + 1`` rarest of the other.
     """
-    sets = df.where(F.size(set_col) >= shared).groupBy(set_col, *extra).agg(F.count(F.lit(1)).alias("copies"))
-    sets = sets.withColumn("set_id", F.xxhash64(F.array_join(set_col, " "), *extra))
+    keys = [set_col, *extra, *apart]
+    sets = df.where(F.size(set_col) >= shared).select(*keys).distinct().withColumn("set_id", story_id(keys))
     words = sets.select("set_id", F.explode(set_col).alias("w"))
     rarity = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     ranked = words.join(rarity, "w").groupBy("set_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]).alias("ws"))
-    prefix = ranked.select("set_id", F.explode(F.slice("ws", F.lit(1), F.size("ws") - F.ceil(F.size("ws") * (jaccard - 1e-9)).cast("int") + 1)).alias("w"))
-    full = sets.select("set_id", F.col(set_col).alias("s"), *extra)
-    left = prefix.join(full, "set_id").select("w", F.col("set_id").alias("ia"), F.col("s").alias("set_a"), *[F.col(e).alias(f"{e}_a") for e in extra])
-    right = left.select("w", F.col("ia").alias("ib"), F.col("set_a").alias("set_b"), *[F.col(f"{e}_a").alias(f"{e}_b") for e in extra])
-    met = left.join(right, (left["w"] == right["w"]) & (F.col("ia") < F.col("ib")) & (F.size("set_a") >= jaccard * F.size("set_b")) & (F.size("set_b") >= jaccard * F.size("set_a")))
+    n = F.size("ws")
+    by_share = F.greatest(F.lit(shared), F.ceil(n * (jaccard - 1e-9)).cast("int"))
+    small = large = by_share
+    if many is not None:
+        small = F.least(by_share, F.greatest(F.lit(many), F.ceil(n * (contained - 1e-9)).cast("int")))
+        large = F.least(by_share, F.lit(many))
+
+    def side(at_least: Column, name: str) -> DataFrame:
+        prefix = ranked.select("set_id", F.posexplode(F.slice("ws", F.lit(1), F.greatest(n - at_least + 1, F.lit(0)))).alias(f"at_{name}", "w"))
+        return prefix.join(sets, "set_id").select("w", f"at_{name}", F.col("set_id").alias(f"i{name}"), F.col(set_col).alias(f"set_{name}"), *[F.col(e).alias(f"{e}_{name}") for e in (*extra, *apart)])
+
+    left, right = side(small, "a"), side(large, "b")
+    m, n = F.size("set_a"), F.size("set_b")
+    needed = F.greatest(F.lit(shared), F.ceil((m + n) * (jaccard / (1 + jaccard)) - 1e-9))
+    if many is not None:
+        needed = F.least(needed, F.greatest(F.lit(many), F.ceil(m * contained - 1e-9)))
+    # At the first word two sets have in common, what follows it bounds what they can share.
+    on = (left["w"] == right["w"]) & ((m < n) | ((m == n) & (F.col("ia") < F.col("ib")))) & (F.least(m - F.col("at_a"), n - F.col("at_b")) >= needed)
     for e in extra:
-        met = met.where(F.col(f"{e}_a").eqNullSafe(F.col(f"{e}_b")))
-    both, union = F.size(F.array_intersect("set_a", "set_b")), F.size(F.array_union("set_a", "set_b"))
-    return met.where((both >= shared) & (both >= jaccard * union)).select("ia", "ib", "set_a", "set_b", (both / union).alias("similarity")).dropDuplicates(["ia", "ib"])
-
-
-def unlike_recent(items: DataFrame, recent: DataFrame, set_col: str, jaccard: float = 0.8, shared: int = 4) -> DataFrame:
-    """The items whose word set neither equals nor resembles one told recently."""
-    told = recent.select(set_col).distinct()
-    both = items.select(set_col).unionByName(told).distinct()
-    pairs = story_pairs(both, set_col, jaccard=jaccard, shared=shared)
-    ways = pairs.select(F.col("set_a").alias("_new"), F.col("set_b").alias("_old")).unionByName(pairs.select(F.col("set_b").alias("_new"), F.col("set_a").alias("_old")))
-    alike = ways.join(told.withColumnRenamed(set_col, "_old"), "_old", "left_semi").select("_new").unionByName(told.withColumnRenamed(set_col, "_new")).distinct()
-    return items.join(alike, F.col(set_col) == F.col("_new"), "left_anti")
+        on = on & F.col(f"{e}_a").eqNullSafe(F.col(f"{e}_b"))
+    for e in apart:
+        on = on & ((F.size(f"{e}_a") <= 0) | (F.size(f"{e}_b") <= 0) | F.col(f"{e}_a").eqNullSafe(F.col(f"{e}_b")))
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    met = left.join(right, on & (both >= needed))
+    return met.select("ia", "ib", "set_a", "set_b", *[f"{e}_{x}" for x in "ab" for e in (*extra, *apart)], (both / (m + n - both)).alias("similarity")).dropDuplicates(["ia", "ib"])
+
+
+def story_id(keys: Sequence[str]) -> Column:
+    return F.xxhash64(F.to_json(F.struct(*keys)))
+
+
+def unlike_recent(items: DataFrame, recent: DataFrame, set_col: str, jaccard: float = 0.8, shared: int = 4, many: int | None = None, contained: float = 0.85, extra: Sequence[str] = (), apart: Sequence[str] = (), least: int = 0) -> DataFrame:
+    """The items whose word set neither equals nor resembles one told recently.
+
+    Equal sets of fewer than ``least`` words say nothing.
+    """
+    keys = [set_col, *extra, *apart]
+    told = recent.select(*keys).distinct()
+    pairs = story_pairs(items.select(*keys).unionByName(told), set_col, extra, jaccard, shared, many, contained, apart)
+    ways = pairs.select(F.col("ia").alias("_new"), F.col("ib").alias("_old")).unionByName(pairs.select(F.col("ib").alias("_new"), F.col("ia").alias("_old")))
+    known = told.select(story_id(keys).alias("_old"), F.size(set_col).alias("_words"))
+    alike = ways.join(known, "_old", "left_semi").select("_new").unionByName(known.where(F.col("_words") >= least).select(F.col("_old").alias("_new"))).distinct()
+    return items.withColumn("_id", story_id(keys)).join(alike, F.col("_id") == F.col("_new"), "left_anti").drop("_id")
 
 
 def greedy_stories(items: DataFrame, pos: str, set_col: str, jaccard: float = 0.55, shared: int = 4, many: int = 5, contained: float = 0.85, most: int = 5_000) -> DataFrame:

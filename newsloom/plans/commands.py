@@ -100,13 +100,18 @@ def rank_feed(items: DataFrame, rules: FeedRules, now: Column, hours: int, seen:
     return kept.orderBy(F.desc("best_score"), F.desc_nulls_last("latest"), "item_id")
 
 
-def stories_to_send(ranked: DataFrame, told: DataFrame, stopwords: Sequence[str], k: int = 40) -> DataFrame:
-    """The best of the ranked items that don't resemble what was told recently (``told``: ``title``), one a story."""
-    rows = ranked.where("bucket <> 'low'").select("item_id", "title", "link", "best_score", similarity.word_set("title", stopwords).alias("words"))
-    memory = told.select(similarity.word_set("title", stopwords).alias("words"))
-    fresh = ranking.top_k(similarity.unlike_recent(rows, memory, "words"), [F.desc("best_score"), F.asc("item_id")], k)
+def stories_to_send(ranked: DataFrame, told: DataFrame, stopwords: Sequence[str], k: int = 40, groups: Sequence[Sequence[str]] = ()) -> DataFrame:
+    """The best of the ranked items that don't resemble what was told recently (``told``: ``title``), one a story.
+
+    ``groups``: milestone words; titles of different milestones tell different stories.
+    """
+    sign = {"words": similarity.word_set("title", stopwords), "marks": similarity.milestones("title", groups) if groups else F.array().cast("array<int>"), "nums": similarity.amounts("title")}
+    rows = ranked.where("bucket <> 'low'").select("item_id", "title", "link", "best_score").withColumns(sign)
+    memory = told.where("title is not null").select("title").withColumns(sign).drop("title")
+    rule = {"jaccard": 0.55, "shared": 4, "many": 5, "contained": 0.85, "extra": ["marks"], "apart": ["nums"]}
+    fresh = ranking.top_k(similarity.unlike_recent(rows, memory, "words", least=4, **rule), [F.desc("best_score"), F.asc("item_id")], k)
     heads = similarity.greedy_stories(fresh, "item_id", "words").where("pos = story").select(F.col("pos").alias("item_id"))
-    return fresh.join(heads, "item_id", "left_semi").drop("words")
+    return fresh.join(heads, "item_id", "left_semi").drop(*sign)
 
 
 # -- audit documents ------------------------------------------------------------------------------

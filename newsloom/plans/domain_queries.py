@@ -237,6 +237,36 @@ def story_similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.array_join(ordered[0], " ").alias("story_a"), F.array_join(ordered[1], " ").alias("story_b"), F.round("similarity", 6).alias("similarity"))
 
 
+#: Milestone groups and the rule by which two titles tell one story: JON-14.
+_MS = (("proposed", "proposal", "plans to", "considering"), ("filed", "files", "filing"), ("approved", "approves", "clears"), ("finalized", "finalizes", "completes", "completed", "closes", "closed"), ("blocked", "blocks", "rejects", "rejected"), ("lawsuit", "sues", "sued"), ("strike ends", "ends strike", "reaches agreement", "reached agreement"))
+_RULE = {"jaccard": 0.55, "shared": 4, "many": 5, "contained": 0.85, "extra": ("ms",), "apart": ("nums",)}
+_SIGNED = r"""WITH s AS (SELECT item_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda w: w NOT IN ('a','an','and','the','of','for','in','on','to','what','means')))) AS s,
+list_filter([%s], lambda x: x IS NOT NULL) AS ms, list_sort(list_distinct(regexp_extract_all(lower(title), '\b\d+(?:\.\d+)?\s*(?:million|billion|percent|%%)'))) AS nums FROM feed_items WHERE title IS NOT NULL)""" % ", ".join("CASE WHEN regexp_matches(lower(title), '(^|[^a-z0-9])(%s)($|[^a-z0-9])') THEN %d END" % ("|".join(g), i) for i, g in enumerate(_MS))
+_SAME = """a.ms = b.ms AND (len(a.nums) = 0 OR len(b.nums) = 0 OR a.nums = b.nums) AND len(list_intersect(a.s, b.s)) >= 4
+AND (len(list_intersect(a.s, b.s)) >= 0.55 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) OR (len(list_intersect(a.s, b.s)) >= 5 AND len(list_intersect(a.s, b.s)) >= 0.85 * least(len(a.s), len(b.s))))"""
+
+
+def _signed(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"s": similarity.word_set("title", _SW), "ms": similarity.milestones("title", _MS), "nums": similarity.amounts("title")})
+
+
+@C.query(f"""{_SIGNED}, f AS (SELECT DISTINCT s, ms, nums FROM s), d AS (SELECT *, row_number() OVER (ORDER BY s, ms, nums) AS i FROM f)
+SELECT array_to_string(least(a.s, b.s), ' ') AS story_a, array_to_string(greatest(a.s, b.s), ' ') AS story_b, round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS similarity FROM d a JOIN d b ON a.i < b.i WHERE {_SAME}""")
+def same_story_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The whole rule of JON-14, of which ``story_similarity_pairs`` is the part at 0.8 its SQL states."""
+    pairs = similarity.story_pairs(_signed(table(spark, d, "feed_items").where("title is not null")), "s", **_RULE)
+    ordered = F.array_sort(F.array("set_a", "set_b"))
+    return pairs.select(F.array_join(ordered[0], " ").alias("story_a"), F.array_join(ordered[1], " ").alias("story_b"), F.round("similarity", 6).alias("similarity"))
+
+
+@C.query(f"""{_SIGNED}, o AS (SELECT DISTINCT s, ms, nums FROM s WHERE item_id % 4 = 0), n AS (SELECT * FROM s WHERE item_id % 4 <> 0)
+SELECT item_id FROM n WHERE item_id NOT IN (SELECT a.item_id FROM n a JOIN o b ON {_SAME})""")
+def same_story_antijoin(spark: SparkSession, d: str) -> DataFrame:
+    """The whole rule of JON-15, of which ``recent_story_antijoin`` is the part at 0.8 its SQL states."""
+    rows = _signed(table(spark, d, "feed_items").where("title is not null")).select("item_id", "s", "ms", "nums")
+    return similarity.unlike_recent(rows.where("item_id % 4 <> 0"), rows.where("item_id % 4 = 0"), "s", least=4, **_RULE).select("item_id")
+
+
 @C.query()
 def story_clusters(spark: SparkSession, d: str) -> DataFrame:
     ranked = _feed_scores(spark, d).where("bucket = 'high'").select("item_id", "score", similarity.word_set("title", _SW).alias("s"))

@@ -63,6 +63,13 @@ def test_stories_told_recently_stay_away(spark):
     assert [r["item_id"] for r in C.stories_to_send(ranked, told, ("the",)).collect()] == [1]
 
 
+def test_retold_stories_stay_away(spark):
+    titles = ["board cuts public radio budget 5 million", "fcc approves license transfer of wtvi station", "court hears tower zoning case 3 percent", "x y"]
+    ranked = spark.createDataFrame([(i, t, "l", 9 - i, "high") for i, t in enumerate(titles)], "item_id long, title string, link string, best_score int, bucket string")
+    told = spark.createDataFrame([("board cuts public radio budget 5 million after long night of angry debate",), ("fcc license transfer of wtvi station proposed",), ("court hears tower zoning case 4 percent",), ("x y",)], "title string")
+    assert sorted(r["item_id"] for r in C.stories_to_send(ranked, told, ("the",), groups=(("proposed",), ("approves",))).collect()) == [1, 2, 3]
+
+
 def test_audit_scan_marks_the_latest(spark):
     rows = [(1, "s", "FY2023 Audit", "https://x.example/a.pdf"), (2, "s", "FY2025 Audit", "https://x.example/b.pdf"), (3, "s", "FY2025 Audit", "http://www.x.example/b.pdf"), (4, "s", "EEO", "https://x.example/e.pdf"), (5, "t", "2024 Annual Report audit", None)]
     found = spark.createDataFrame(rows, "record_no long, station_id string, title string, document_url string")

@@ -80,6 +80,23 @@ def test_story_pairs_equal_brute_force(spark, data):
     assert got == want
 
 
+def test_story_pairs_by_the_whole_rule_equal_brute_force(spark):
+    from itertools import combinations
+    from random import Random
+
+    rng = Random(3)
+    made = {(tuple(sorted(rng.sample("abcdefghijklmn", rng.randint(3, 11)))), (rng.randint(0, 1),), rng.choice([(), ("5%",), ("6%",)])) for _ in range(150)}
+    df = spark.createDataFrame([(list(s), list(m), list(n)) for s, m, n in made], "s array<string>, m array<int>, n array<string>")
+    got = {frozenset((tuple(r[f"set_{x}"]), tuple(r[f"m_{x}"]), tuple(r[f"n_{x}"])) for x in "ab") for r in similarity.story_pairs(df, "s", ["m"], 0.55, 4, 5, 0.85, ["n"]).collect()}
+
+    def same(a, b):
+        both = len(set(a[0]) & set(b[0]))
+        alike = both >= 4 and (both >= 0.55 * len(set(a[0]) | set(b[0])) or (both >= 5 and both >= 0.85 * min(len(a[0]), len(b[0]))))
+        return alike and a[1] == b[1] and not (a[2] and b[2] and a[2] != b[2])
+
+    assert len(got) > 100 and got == {frozenset(p) for p in combinations(made, 2) if same(*p)}
+
+
 def test_risk_modes_differ_after_a_soft_hit(spark):
     docs = spark.createDataFrame([("s", 1, "t", "a deficit was noted and the agreement had lapsed"), ("s", 2, "u", None)], "g string, pos int, title string, body string").where("body is not null")
     patterns = [scoring.RiskPattern("deficit", "deficit", soft=True), scoring.RiskPattern("lapsed", "had lapsed")]
