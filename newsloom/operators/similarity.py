@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import has_any_term, tokens
+from newsloom.session import staged
 
 
 def word_set(title: Column | str, stopwords: Sequence[str]) -> Column:
@@ -90,31 +91,38 @@ def unlike_recent(items: DataFrame, recent: DataFrame, set_col: str, jaccard: fl
     return items.withColumn("_id", story_id(keys)).join(alike, F.col("_id") == F.col("_new"), "left_anti").drop("_id")
 
 
-def greedy_stories(items: DataFrame, pos: str, set_col: str, jaccard: float = 0.55, shared: int = 4, many: int = 5, contained: float = 0.85, most: int = 5_000) -> DataFrame:
-    """``pos, story``: each item joins the first story whose first item it resembles.
+def greedy_stories(spark: SparkSession, items: DataFrame, pos: str, order: Sequence[Column], set_col: str, jaccard: float = 0.55, shared: int = 4, many: int | None = 5, contained: float = 0.85, extra: Sequence[str] = (), apart: Sequence[str] = ()) -> DataFrame:
+    """``pos, story``: each item, in ``order`` (ascending), joins the first story whose first item it resembles.
 
-    A report's editorial step over the few items that survive ranking; more than ``most`` is an error.
+    From the pairs of distinct word sets: in each round the sets without an undecided earlier
+    neighbour begin stories, and their neighbours are members. Sets too short to resemble any are
+    stories of their own.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"more than {most} items; rank and cut before clustering")
-        pdf = pdf.sort_values(pos)
-        heads: list[tuple[int, set]] = []
-        out = []
-        for p, words in zip(pdf[pos], pdf[set_col]):
-            s = set(words)
-            for story, h in heads:
-                both = len(s & h)
-                if (both >= shared and both >= jaccard * len(s | h)) or (both >= many and both >= contained * min(len(s), len(h))):
-                    break
-            else:
-                story = p
-                heads.append((p, s))
-            out.append((p, story))
-        return pd.DataFrame(out, columns=["pos", "story"])
-
-    return items.select(pos, set_col, F.lit(0).alias("_all")).groupBy("_all").applyInPandas(fold, "pos long, story long")
+    keys = [set_col, *extra, *apart]
+    ranked = staged(spark, items.select(F.col(pos).alias("pos"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(pos).alias("pos")).alias("o"), *keys, story_id(keys).alias("node")), "stories")
+    nodes = ranked.where(F.size(set_col) >= shared).groupBy("node").agg(F.min("o").alias("o"))
+    pairs = story_pairs(ranked, set_col, extra, jaccard, shared, many, contained, apart).select("ia", "ib")
+    pairs = pairs.join(nodes.select(F.col("node").alias("ia"), F.col("o").alias("oa")), "ia").join(nodes.select(F.col("node").alias("ib"), F.col("o").alias("ob")), "ib")
+    a, b = F.struct(F.col("ia").alias("node"), F.col("oa").alias("o")), F.struct(F.col("ib").alias("node"), F.col("ob").alias("o"))
+    first = F.col("oa") < F.col("ob")
+    edges = staged(spark, pairs.select(F.when(first, a).otherwise(b).alias("e"), F.when(first, b).otherwise(a).alias("l")).select(F.col("e.node").alias("early"), F.col("e.o").alias("head"), F.col("l.node").alias("late")), "story-pairs")
+    members, open_ = [], edges
+    while not open_.isEmpty():
+        begun = open_.join(open_.select(F.col("late").alias("early")).distinct(), "early", "left_anti")
+        begun = staged(spark, begun.select("early", "late"), "story-round")
+        joined = begun.select(F.col("late").alias("node")).distinct()
+        members.append(joined)
+        # Decided sets leave: those that began a story and those that joined one.
+        gone = joined.unionByName(begun.select(F.col("early").alias("node"))).distinct()
+        for side in ("early", "late"):
+            open_ = open_.join(gone.withColumnRenamed("node", side), side, "left_anti")
+        open_ = staged(spark, open_, "story-open")
+    joined = reduce(DataFrame.unionByName, members) if members else edges.select(F.col("late").alias("node")).limit(0)
+    heads = edges.join(joined.withColumnRenamed("node", "early"), "early", "left_anti").join(joined.withColumnRenamed("node", "late"), "late", "left_semi")
+    told = heads.groupBy(F.col("late").alias("node")).agg(F.min("head").alias("head")).select("node", F.col("head.pos").alias("other"))
+    own = nodes.select("node", F.col("o.pos").alias("own"))
+    out = ranked.select("pos", "node").join(own, "node", "left").join(told, "node", "left")
+    return out.select("pos", F.coalesce("other", "own", "pos").alias("story"))
 
 
 def prefix_length(n: int, jaccard: float) -> int:

@@ -110,7 +110,7 @@ def stories_to_send(ranked: DataFrame, told: DataFrame, stopwords: Sequence[str]
     memory = told.where("title is not null").select("title").withColumns(sign).drop("title")
     rule = {"jaccard": 0.55, "shared": 4, "many": 5, "contained": 0.85, "extra": ["marks"], "apart": ["nums"]}
     fresh = ranking.top_k(similarity.unlike_recent(rows, memory, "words", least=4, **rule), [F.desc("best_score"), F.asc("item_id")], k)
-    heads = similarity.greedy_stories(fresh, "item_id", "words").where("pos = story").select(F.col("pos").alias("item_id"))
+    heads = similarity.greedy_stories(ranked.sparkSession, fresh, "item_id", [-F.col("best_score")], "words", **rule).where("pos = story").select(F.col("pos").alias("item_id"))
     return fresh.join(heads, "item_id", "left_semi").drop(*sign)
 
 

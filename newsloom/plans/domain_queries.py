@@ -269,8 +269,9 @@ def same_story_antijoin(spark: SparkSession, d: str) -> DataFrame:
 
 @C.query()
 def story_clusters(spark: SparkSession, d: str) -> DataFrame:
-    ranked = _feed_scores(spark, d).where("bucket = 'high'").select("item_id", "score", similarity.word_set("title", _SW).alias("s"))
-    return similarity.greedy_stories(ranking.top_k(ranked, [F.desc("score"), F.asc("item_id")], 1_000), "item_id", "s")
+    """All items of the buckets high and maybe, best first, each with the item that began its story."""
+    ranked = _signed(_feed_scores(spark, d).where("bucket <> 'low'").withColumn("title", F.coalesce("title", F.lit("")))).withColumn("maybe", (F.col("bucket") != "high").cast("int"))
+    return similarity.greedy_stories(spark, ranked, "item_id", [F.col("maybe"), -F.col("score")], "s", **_RULE)
 
 
 @C.query()

@@ -97,6 +97,25 @@ def test_story_pairs_by_the_whole_rule_equal_brute_force(spark):
     assert len(got) > 100 and got == {frozenset(p) for p in combinations(made, 2) if same(*p)}
 
 
+def test_stories_of_all_items_equal_a_plain_fold(spark):
+    from random import Random
+
+    rng = Random(4)
+    made = [(i, rng.randint(0, 9), sorted(rng.sample("abcdefghijklmn", rng.randint(3, 9)))) for i in range(400)]
+    made += [(400 + i, 0, [f"w{i}", f"x{i}", f"y{i}", f"z{i}"]) for i in range(5_000)]
+    heads, want = [], set()
+    for i, _, words in sorted(made, key=lambda x: (-x[1], x[0])):
+        s = set(words)
+        same = lambda h: len(s & h) >= 4 and (len(s & h) >= 0.55 * len(s | h) or (len(s & h) >= 5 and len(s & h) >= 0.85 * min(len(s), len(h))))
+        story = next((j for j, h in heads if i < 400 and same(h)), i)
+        if story == i and i < 400:
+            heads.append((i, s))
+        want.add((i, story))
+    df = spark.createDataFrame(made, "i long, score int, s array<string>")
+    got = similarity.greedy_stories(spark, df, "i", [-F.col("score")], "s").collect()
+    assert len({x for _, x in want}) < 5_300 and {tuple(r) for r in got} == want and len(got) == len(made)
+
+
 def test_risk_modes_differ_after_a_soft_hit(spark):
     docs = spark.createDataFrame([("s", 1, "t", "a deficit was noted and the agreement had lapsed"), ("s", 2, "u", None)], "g string, pos int, title string, body string").where("body is not null")
     patterns = [scoring.RiskPattern("deficit", "deficit", soft=True), scoring.RiskPattern("lapsed", "had lapsed")]
