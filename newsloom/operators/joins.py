@@ -45,6 +45,13 @@ def alias_cascade(df: DataFrame, id_col: str, keys: Column, aliases: DataFrame,
     return probes.join(known, "_key").groupBy(id_col).agg(F.min_by("_target", "_pos").alias(target_col))
 
 
+def word_grams(words: Column, lengths: Sequence[int]) -> Column:
+    """The runs of words of some lengths, each joined by blanks."""
+    last = lambda n: F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
+    run = lambda n: F.transform(last(n), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+    return F.array_distinct(F.concat(F.array().cast("array<string>"), *[words if n == 1 else run(n) for n in lengths]))
+
+
 def token_dictionary(df: DataFrame, id_col: str, tokens: Column, terms: DataFrame, term_col: str) -> DataFrame:
     """``id, terms``: the dictionary's single words in each text, by an equi-join on distinct tokens."""
     words = df.select(F.col(id_col), F.explode(F.array_distinct(tokens)).alias("_t"))

@@ -110,6 +110,16 @@ def dictionary_containment(spark: SparkSession, d: str) -> DataFrame:
     return joins.token_dictionary(docs, "doc_id", text.tokens("text"), terms, "term").select("doc_id", F.array_join("terms", ",").alias("terms"))
 
 
+@C.query("""WITH t AS (SELECT DISTINCT array_to_string(regexp_extract_all(lower(k), '[a-z0-9]+'), ' ') AS term FROM (SELECT unnest(matched_keywords) AS k FROM ecfs_items)), w AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' AS words FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, string_agg(term, ',' ORDER BY term) AS terms FROM w JOIN t ON term <> '' AND contains(words, ' ' || term || ' ') GROUP BY doc_id""")
+def term_containment(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of one word or several; ``dictionary_containment`` is the part of one word its SQL states."""
+    terms = table(spark, d, "ecfs_items").select(F.explode("matched_keywords").alias("k")).select(text.tokens("k").alias("ws")).distinct().where(F.size("ws") > 0)
+    lengths = sorted(r["n"] for r in terms.select(F.size("ws").alias("n")).distinct().collect())
+    docs = table(spark, d, "documents").where("text is not null")
+    return joins.token_dictionary(docs, "doc_id", joins.word_grams(text.tokens("text"), lengths), terms.select(F.array_join("ws", " ").alias("term")), "term").select("doc_id", F.array_join("terms", ",").alias("terms"))
+
+
 _PH = ("fiscal year closed", "second reading", "records request", "community radio")
 
 

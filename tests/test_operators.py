@@ -116,6 +116,15 @@ def test_stories_of_all_items_equal_a_plain_fold(spark):
     assert len({x for _, x in want}) < 5_300 and {tuple(r) for r in got} == want and len(got) == len(made)
 
 
+def test_terms_of_several_words_are_found(spark):
+    from newsloom.functions import text
+
+    docs = spark.createDataFrame([(1, "License renewal, and"), (2, "renewal license"), (3, ""), (4, "a license-renewal filing")], "i int, t string")
+    terms = spark.createDataFrame([("license renewal",), ("filing",)], "term string")
+    got = joins.token_dictionary(docs, "i", joins.word_grams(text.tokens("t"), [1, 2]), terms, "term").collect()
+    assert {r["i"]: list(r["terms"]) for r in got} == {1: ["license renewal"], 4: ["filing", "license renewal"]}
+
+
 def test_risk_modes_differ_after_a_soft_hit(spark):
     docs = spark.createDataFrame([("s", 1, "t", "a deficit was noted and the agreement had lapsed"), ("s", 2, "u", None)], "g string, pos int, title string, body string").where("body is not null")
     patterns = [scoring.RiskPattern("deficit", "deficit", soft=True), scoring.RiskPattern("lapsed", "had lapsed")]
