@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from newsloom.llm.history import EMPTY_DIGEST, History, accept_archive, address_key, chunk_payload, digest_key, run_batches
+from newsloom.llm.history import EMPTY_DIGEST, History, accept_archive, accept_batch, accept_payloads, address_key, chunk_payload, digest_key, duplicates, near_duplicates, payloads_of, prepare, run_batches
 from pyspark.sql import functions as F
 
 
@@ -29,9 +29,14 @@ def test_digests(spark):
     assert got == [h, h, None, None, None, None, None, None]
 
 
-def test_chunks_are_chained():
-    a, b = chunk_payload("x" * 40 + "tail" * 60), chunk_payload("y" * 40 + "tail" * 60)
-    assert sum(n for _, n in a) == 280 and not {h for h, _ in a} & {h for h, _ in b}
+def test_an_edit_alters_the_chunks_around_it():
+    random.seed(3)
+    text = " ".join(f"w{random.randrange(10_000)}" for _ in range(400))
+    a, b = chunk_payload(text), chunk_payload("x" + text)
+    assert sum(n for _, n in a) == len(text) and len(a) > 10
+    assert len({h for h, _ in a} - {h for h, _ in b}) <= 2
+    twice = chunk_payload("ab" * 4000)
+    assert len({h for h, _ in twice}) == len(twice)
 
 
 def reference(archive, records):
@@ -76,8 +81,66 @@ def test_batches_equal_union_find(spark):
     df = spark.createDataFrame([(*r, "clash") for r in records] + [(None, 0, None, None, "c")], "n long, b int, h string, u string, key string")
     got = {tuple(r) for r in run_batches(history, df, "b", "n", "h", "u").collect()}
     assert got == reference({digest(3): "d1", digest(5): "d9"}, records)
-    cover = {r["payload"][:4]: r["coverage"] for r in history.coverage(spark.createDataFrame([("digest", digest(1)), ("digest", "zz" * 32)], "space string, payload string")).collect()}
-    assert cover == {"a01b": 1.0, "zzzz": 0.0}
+
+
+def test_an_opened_history_is_the_one_left(spark, tmp_path):
+    digest = lambda k: f"a{k:02x}b" * 16
+    records = [(n, (n - 1) // 10, digest(n % 13) if n % 3 else None, f"http://e.example/{n % 13}") for n in range(1, 41)]
+    docs = spark.createDataFrame([("d1", digest(3))], "doc_id string, sha string")
+    whole, folder = History(spark), str(tmp_path / "history")
+    accept_archive(whole, docs, "doc_id", "sha")
+    df = spark.createDataFrame(records, "n long, b int, h string, u string")
+    want = {tuple(r) for r in run_batches(whole, df, "b", "n", "h", "u").collect()}
+    accept_archive(History(spark, folder), docs, "doc_id", "sha")
+    got = set()
+    for b in range(4):
+        history = History(spark, folder)
+        assert history.version == b + 1 + (b > 2)
+        rows = prepare(history, df.where(f"b = {b}"), "b", "n", "h", "u")
+        got |= {tuple(r) for r in duplicates(rows, *accept_batch(history, rows)).collect()}
+        if b == 2:
+            history.compact()
+            assert {len(p) for p in history.parts.values()} == {1}
+    assert got == want and len(want) > 10
+
+
+def test_what_was_not_committed_is_unknown_and_versions_are_made_once(spark, tmp_path):
+    folder = str(tmp_path / "history")
+    first, second = History(spark, folder), History(spark, folder)
+    texts = payloads_of(spark.createDataFrame([("a", "one text"), ("b", "another")], "id string, t string"), "id", "t")
+    first.append(texts.selectExpr("*", "array(chunks[0].chunk) as filed", "true as fresh"), "docs")
+    assert History(spark, folder).table("docs").count() == 0
+    first.commit()
+    assert History(spark, folder).known("docs", texts).count() == 2
+    with pytest.raises(RuntimeError):
+        accept_payloads(second, "docs", texts)
+    assert History(spark, folder).known("docs", texts).count() == 2
+
+
+def test_near_duplicates_by_coverage(spark):
+    """Planted edits, and one chunk that all payloads have; against shares counted directly."""
+    random.seed(11)
+    words = lambda n: " ".join(f"w{random.randrange(100_000)}" for _ in range(n))
+    common = words(60)
+    held = {f"h{i}": common + " " + words(150) for i in range(60)}
+    new = {f"n{i}": held[f"h{i}"].replace(held[f"h{i}"][700:700 + 40 * (i % 5)], words(3 * (i % 5)) if i % 5 else "") if i % 5 else held[f"h{i}"] for i in range(20)} | {f"x{i}": common + " " + words(150) for i in range(5)}
+    schema = "id string, t string"
+    history = History(spark, threshold=0.6)
+    accept_payloads(history, "docs", payloads_of(spark.createDataFrame(list(held.items()), schema), "id", "t"))
+    asked = payloads_of(spark.createDataFrame(list(new.items()), schema), "id", "t")
+    got = {(r["o"], r["owner"]): round(r["coverage"], 6) for r in history.covered("docs", asked).dropDuplicates(["key", "other"]).join(asked.selectExpr("key", "owner as o"), "key").collect()}
+    want = {}
+    for n, a in new.items():
+        for h, b in held.items():
+            x, y = dict(chunk_payload(a)), dict(chunk_payload(b))
+            cover = sum(v for k, v in x.items() if k in y) / max(sum(x.values()), sum(y.values()))
+            if cover >= 0.6:
+                want[n, h] = round(cover, 6)
+    assert got == want and len(want) >= 15 and {h for _, h in want} <= {f"h{i}" for i in range(20)}
+    assert near_duplicates(history, "docs", asked, 0.6).count() == len(want)
+    with pytest.raises(ValueError):
+        history.covered("docs", asked, 0.5)
+    assert history.table("docs").selectExpr("max(size(filed)) as n").first()["n"] < len(chunk_payload(held["h0"]))
 
 
 def test_nothing_to_accept(spark):
