@@ -2,10 +2,13 @@
 
 Every text is cut into overlapping grams of ``GRAM`` characters; of each window of ``least``
 characters the gram of smallest hash is kept as its anchor, so two records that share a stretch
-of ``least`` characters share an anchor within it. Partition sketches of the anchors are merged
-into one count-min sketch, of which only the bit "counted twice or more" is kept. Counts are
-never underestimated, so the second pass, which keeps only anchors the sketch calls repeated,
-loses none. Those are grouped exactly, together with a hash of the text around each:
+of ``least`` characters share an anchor within it. Each partition of the texts counts its anchors
+in a sparse sketch, cut by hash range; the sketches of a range are merged into one count-min
+sketch whose load is the same whatever the number of texts, as there are more ranges for more of
+them. A range tells each partition which of its cells were counted twice or more, in a file the
+partition reads in the second pass: nothing is broadcast, no sketch passes the driver, and what is
+moved is four bytes an anchor. Counts are never underestimated, so the second pass, which keeps only anchors
+called repeated, loses none. Those are grouped exactly, together with a hash of the text around each:
 
 * surroundings that stand in two records make their whole extent shared;
 * an anchor in several records whose surroundings differ marks the edge of a shared stretch:
@@ -21,24 +24,25 @@ positions are Unicode code points.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from newsloom.llm.tokens import local_copy, publish
-from newsloom.session import staged
+from newsloom.session import shared_dir, staged
 
 #: Characters of a gram; a hash of GRAM characters stands for an anchor.
 GRAM = 96
-#: Bits of the sketch's rows at least and at most: each row's bit map stays between 1 and 32 MB.
-SKETCH_BITS = (23, 28)
+#: Cells of a sketch's row for each anchor it counts, and its rows: about one unique anchor in 20 passes.
+SKETCH_LOAD = 4
 SKETCH_ROWS = 2
-BLOCK = 1 << 16
+#: Anchors of a hash range at least and at most, and ranges wanted between those: one task holds a range at a time.
+RANGE_ANCHORS, RANGES = (1 << 16, 1 << 23), 4_096
 #: Different surroundings of one anchor that one task compares at once.
 HOT_KINDS = 20_000
 #: Characters of texts that are hashed together.
@@ -117,8 +121,16 @@ def anchors(texts: list[str], least: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return owner[at], at - starts[owner[at]], h[at], points, starts
 
 
-def _cells(h: np.ndarray, bits: int) -> list[np.ndarray]:
-    return [(mix(h + np.uint64(r) * _BASE) >> np.uint64(64 - bits)).astype(np.int64) for r in range(SKETCH_ROWS)]
+def _cells(low: np.ndarray, bits: int) -> list[np.ndarray]:
+    x = low.astype(np.uint64)
+    return [(mix(x + np.uint64(r + 1) * _BASE) >> np.uint64(64 - bits)).astype(np.int64) for r in range(SKETCH_ROWS)]
+
+
+def _place(h: np.ndarray, ranges: int) -> np.ndarray:
+    """Range and cell of an anchor in one number; anchors are small hashes, so they are mixed once more."""
+    x = mix(h + _BASE)
+    of = ((x >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    return (of << np.uint64(32)) | (x & np.uint64(0xFFFFFFFF))
 
 
 def _groups(texts: list, limit: int = CHUNK_CHARS) -> Iterator[slice]:
@@ -132,58 +144,106 @@ def _groups(texts: list, limit: int = CHUNK_CHARS) -> Iterator[slice]:
         yield slice(lo, len(texts))
 
 
-def sketch_repeats(spark: SparkSession, rows: DataFrame, least: int, bits: int) -> str:
-    """Publishes the bit map of cells counted at least twice, the merger of all partitions' sketches."""
+def _sign(ids: np.ndarray, texts: list[str]) -> int:
+    """What stands for the records of a partition, in any order."""
+    size = np.fromiter(map(len, texts), np.uint64, len(texts))
+    return int(mix(ids.astype(np.int64).view(np.uint64) ^ (size << np.uint64(40))).sum(dtype=np.uint64))
+
+
+def sketch_shape(chars: int, least: int) -> tuple[int, int]:
+    """Hash ranges for texts of so many characters, and the bits of a cell's number in each."""
+    expected = int(chars / ((least - GRAM) / 2)) + 1
+    each = int(np.clip(expected // RANGES, *RANGE_ANCHORS))
+    return -(-expected // each), (each * SKETCH_LOAD - 1).bit_length()
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        parts = [[] for _ in range(SKETCH_ROWS)]
+
+def sketch_repeats(spark: SparkSession, rows: DataFrame, least: int, ranges: int, bits: int) -> str:
+    """Writes, for each partition of ``rows``, the places of its anchors that were counted at least twice in all."""
+
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, sign = [], 0
         for batch in batches:
             texts = batch["text"].tolist()
+            sign = (sign + _sign(batch["doc_id"].to_numpy(), texts)) & 0xFFFFFFFFFFFFFFFF
             for cut in _groups(texts):
-                h = anchors(texts[cut], least)[2]
-                for r, c in enumerate(_cells(h, bits)):
-                    parts[r].append(c.astype(np.uint32))
-        for r, part in enumerate(parts):
-            if not part:
-                continue
-            cell, count = np.unique(np.concatenate(part), return_counts=True)
-            block = cell // BLOCK
-            edge = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(cell) else np.zeros(0, np.int64)
-            ends = np.r_[edge[1:], len(cell)]
-            offset = (cell % BLOCK).astype(np.uint16)
-            yield pd.DataFrame(
-                {
-                    "row": np.full(len(edge), r, np.int32), "block": block[edge].astype(np.int32),
-                    "cells": [offset[a:b].tobytes() for a, b in zip(edge, ends)],
-                    "twice": [np.packbits(count[a:b] > 1).tobytes() for a, b in zip(edge, ends)],
-                }
-            )
+                parts.append(_place(anchors(texts[cut], least)[2], ranges))
+        place, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
+        of, low = (place >> np.uint64(32)).astype(np.int64), place.astype(np.uint32)
+        edge = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
+        ends = np.r_[edge[1:], len(of)]
+        me = TaskContext.get().partitionId()
+        head = pd.DataFrame({"of": [-1], "cells": [sign.to_bytes(8, "little")], "twice": [b""]})
+        made = pd.DataFrame({"of": of[edge], "cells": [low[a:b].tobytes() for a, b in zip(edge, ends)], "twice": [np.packbits(count[a:b] > 1).tobytes() for a, b in zip(edge, ends)]})
+        yield pd.concat([head, made]).assign(part=me)[["part", "of", "cells", "twice"]]
+
+    def answer(sketches: list[tuple[int, bytes, bytes]], of: int) -> pd.DataFrame:
+        """The merged sketch of one range, asked for the cells of each partition."""
+        if of < 0:
+            return pd.DataFrame({"of": of, "part": [p for p, _, _ in sketches], "cells": [c for _, c, _ in sketches]})
+        low = [np.frombuffer(c, np.uint32) for _, c, _ in sketches]
+        more = [np.unpackbits(np.frombuffer(t, np.uint8))[: len(x)] for (_, _, t), x in zip(sketches, low)]
+        count = [np.zeros(1 << bits, np.uint8) for _ in range(SKETCH_ROWS)]
+        for x, m in zip(low, more):
+            for total, at in zip(count, _cells(x, bits)):
+                # Cells of one partition that fall together count each.
+                uniq, n = np.unique(at, return_counts=True)
+                extra = np.bincount(np.searchsorted(uniq, at), m, len(uniq)).astype(np.int64)
+                total[uniq] = np.minimum(total[uniq] + np.minimum(n + extra, 2), 2)
+        kept = []
+        for x in low:
+            keep = np.ones(len(x), bool)
+            for total, at in zip(count, _cells(x, bits)):
+                keep &= total[at] > 1
+            kept.append(x[keep].tobytes())
+        return pd.DataFrame({"of": of, "part": [p for p, _, _ in sketches], "cells": kept})
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[int, int], np.ndarray] = {}
+        held, now = [], None
         for pdf in batches:
-            for row, block, cells, twice in zip(pdf["row"], pdf["block"], pdf["cells"], pdf["twice"]):
-                total = held.setdefault((row, block), np.zeros(BLOCK, np.uint8))
-                at = np.frombuffer(cells, np.uint16)
-                more = np.unpackbits(np.frombuffer(twice, np.uint8))[: len(at)]
-                total[at] = np.minimum(total[at] + 1 + more, 2)
-        out = [(r, b, np.packbits(t > 1).tobytes()) for (r, b), t in held.items() if (t > 1).any()]
-        if out:
-            yield pd.DataFrame(out, columns=["row", "block", "bits"])
-
-    parts = rows.select("text").mapInPandas(sketch, "row int, block int, cells binary, twice binary")
-    merged = parts.repartition("row", "block").mapInPandas(merge, "row int, block int, bits binary")
-    whole = np.zeros((SKETCH_ROWS, (1 << bits) // 8), np.uint8)
-    for r in merged.toLocalIterator():  # at most the bit maps themselves
-        whole[r["row"], r["block"] * (BLOCK // 8) : (r["block"] + 1) * (BLOCK // 8)] = np.frombuffer(r["bits"], np.uint8)
-    return publish(spark, whole.tobytes(), "sketch")
-
-
-def _repeated(h: np.ndarray, bits: int, seen: np.ndarray) -> np.ndarray:
-    keep = np.ones(len(h), bool)
-    for r, c in enumerate(_cells(h, bits)):
-        keep &= (seen[r, c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
-    return keep
+            for part, of, cells, twice in zip(pdf["part"], pdf["of"], pdf["cells"], pdf["twice"]):
+                if of != now and held:
+                    yield answer(held, now)
+                    held = []
+                now = of
+                held.append((part, cells, twice))
+        if held:
+            yield answer(held, now)
+
+    parts = rows.mapInPandas(sketch, "part int, of long, cells binary, twice binary")
+    merged = parts.repartition("of").sortWithinPartitions("of").mapInPandas(merge, "of long, part int, cells binary").where("of < 0 or length(cells) > 0")
+    uri = f"{shared_dir(spark)}/newsloom/sketch-{uuid.uuid4().hex}"
+    merged.repartition("part").write.partitionBy("part").parquet(uri)
+    return uri
+
+
+def told_repeats(uri: str, part: int) -> tuple[np.ndarray, int]:
+    """The sorted places a partition was told to be repeated, and the sign of its records."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    where, path = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://")) if "://" in uri else (fs.LocalFileSystem(), uri.removeprefix("file:"))
+    found, sign = [np.zeros(0, np.uint64)], -1
+    for f in where.get_file_info(fs.FileSelector(f"{path}/part={part}", allow_not_found=True)):
+        if f.path.endswith(".parquet"):
+            for batch in pq.ParquetFile(where.open_input_file(f.path)).iter_batches(columns=["of", "cells"]):
+                for of, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if of < 0:
+                        sign = int.from_bytes(cells, "little")
+                    else:
+                        found.append(np.frombuffer(cells, np.uint32).astype(np.uint64) | np.uint64(of << 32))
+    return np.sort(np.concatenate(found)), sign
+
+
+def _repeated(place: np.ndarray, told: np.ndarray) -> np.ndarray:
+    if not len(told):
+        return np.zeros(len(place), bool)
+    return told[np.minimum(np.searchsorted(told, place), len(told) - 1)] == place
+
+
+def steady(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """``rows`` in partitions that are the same at each reading: a scan's are, others are written once."""
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    return rows if "FileScan" in plan and not any(x in plan for x in ("Exchange", "Join", "Union", "Coalesce", "Python", "InMemory")) else staged(spark, rows, "texts")
 
 
 def gram_range(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -206,18 +266,20 @@ def shared_spans(spark: SparkSession, df: DataFrame, id_col: str, text_col: str,
         raise ValueError(f"least must be over {GRAM}")
     side = least - GRAM
     rows = df.where(F.col(id_col).isNotNull() & (F.length(text_col) >= least)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = steady(spark, rows)
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = int(np.clip(int(chars / (side / 2) * 4).bit_length(), *SKETCH_BITS))
-    uri = sketch_repeats(spark, rows, least, bits)
+    ranges, bits = sketch_shape(chars, least)
+    uri = sketch_repeats(spark, rows, least, ranges, bits)
 
     def occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.memmap(local_copy(uri), np.uint8, "r").reshape(SKETCH_ROWS, -1)
+        (told, sign), met = told_repeats(uri, TaskContext.get().partitionId()), 0
         for pdf in batches:
             ids, texts = pdf["doc_id"].to_numpy(), pdf["text"].tolist()
+            met = (met + _sign(ids, texts)) & 0xFFFFFFFFFFFFFFFF
             for cut in _groups(texts):
                 own = ids[cut]
                 owner, pos, h, points, starts = anchors(texts[cut], least)
-                keep = _repeated(h, bits, seen)
+                keep = _repeated(_place(h, ranges), told)
                 owner, pos, h = owner[keep], pos[keep], h[keep]
                 if not len(h):
                     continue
@@ -226,6 +288,8 @@ def shared_spans(spark: SparkSession, df: DataFrame, id_col: str, text_col: str,
                 around = gram_range(mix(points.astype(np.uint64) + np.uint64(1)), begin + starts[owner], end + starts[owner])
                 around = mix(around ^ (pos - begin).astype(np.uint64))
                 yield pd.DataFrame({"h": h.view(np.int64), "ctx": around.view(np.int64), "doc_id": own[owner], "pos": pos.astype(np.int32), "before": (pos - begin).astype(np.int16), "after": (end - pos).astype(np.int16)})
+        if met != sign:
+            raise RuntimeError("the texts changed between two readings; pass a table that has been written")
 
     found = staged(spark, rows.mapInPandas(occurrences, "h long, ctx long, doc_id long, pos int, before short, after short"), "occurrences")
     # One row for each anchor with the same surroundings; combined in the map tasks, whatever their number.
@@ -239,18 +303,18 @@ def shared_spans(spark: SparkSession, df: DataFrame, id_col: str, text_col: str,
     # All occurrences of the surroundings that one record alone has; one of those that several have.
     alone = found.join(asked.where("lo = hi").select("h", "ctx"), ["h", "ctx"], "left_semi").select("h", "doc_id", "pos", F.lit(False).alias("many"))
     several = found.join(asked.where("lo < hi").select("h", "ctx", F.col("lo").alias("doc_id")), ["h", "ctx", "doc_id"]).groupBy("h", "ctx").agg(F.min(F.struct("doc_id", "pos")).alias("x")).select("h", "x.doc_id", "x.pos", F.lit(True).alias("many"))
-    need = alone.unionByName(several).groupBy("doc_id").agg(F.collect_list(F.struct("h", "pos", "many")).alias("need"))
+    need = alone.unionByName(several).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "h", "many"))).alias("need"))
+    need = need.select("doc_id", *[F.col(f"need.{c}").alias(c) for c in ("h", "pos", "many")])
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for doc, text, need_ in zip(pdf["doc_id"], pdf["text"], pdf["need"]):
-                h = np.array([x["h"] for x in need_], np.int64)
-                pos = np.array([x["pos"] for x in need_], np.int64)
-                many = np.array([x["many"] for x in need_], bool)
-                order = np.argsort(pos, kind="stable")
-                yield pd.DataFrame({"h": h[order], "doc_id": np.full(len(h), doc), "pos": pos[order].astype(np.int32), "many": many[order], "text": [text[max(0, p - side) : p + least] for p in pos[order]]})
+            if len(pdf):
+                size = pdf["pos"].map(len).to_numpy()
+                h, pos, many = (np.concatenate(pdf[c].to_numpy()) for c in ("h", "pos", "many"))
+                near = [text[max(0, p - side) : p + least] for text, at in zip(pdf["text"], pdf["pos"]) for p in at.tolist()]
+                yield pd.DataFrame({"h": h.astype(np.int64), "doc_id": np.repeat(pdf["doc_id"].to_numpy(), size), "pos": pos.astype(np.int32), "many": many.astype(bool), "text": near})
 
-    near = rows.join(need, "doc_id").select("doc_id", "text", "need").mapInPandas(windows, "h long, doc_id long, pos int, many boolean, text string")
+    near = rows.join(need, "doc_id").select("doc_id", "text", "h", "pos", "many").mapInPandas(windows, "h long, doc_id long, pos int, many boolean, text string")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _whole_groups(batches):
@@ -320,17 +384,17 @@ def _edge_spans(pdf: pd.DataFrame, least: int) -> pd.DataFrame:
 
 
 def _crowded_spans(near: DataFrame, least: int) -> DataFrame:
-    """The same for hot anchors, as one row a window grouped by its hash."""
+    """The same for hot anchors, as one row a window grouped by its hash and its anchor's."""
 
     def table(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 row, start, h = _window_table(pdf, least)
-                yield pd.DataFrame({"w": h.view(np.int64), "doc_id": pdf["doc_id"].to_numpy()[row], "many": pdf["many"].to_numpy()[row], "a": start.astype(np.int32)})
+                yield pd.DataFrame({"h": pdf["h"].to_numpy()[row], "w": h.view(np.int64), "doc_id": pdf["doc_id"].to_numpy()[row], "many": pdf["many"].to_numpy()[row], "a": start.astype(np.int32)})
 
-    windows = near.mapInPandas(table, "w long, doc_id long, many boolean, a int")
-    shared = windows.groupBy("w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("many").alias("any")).where("lo < hi or any").select("w")
-    return windows.where("not many").join(shared, "w", "left_semi").select("doc_id", "a", (F.col("a") + least).cast("int").alias("b"))
+    windows = near.mapInPandas(table, "h long, w long, doc_id long, many boolean, a int")
+    shared = windows.groupBy("h", "w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("many").alias("any")).where("lo < hi or any").select("h", "w")
+    return windows.where("not many").join(shared, ["h", "w"], "left_semi").select("doc_id", "a", (F.col("a") + least).cast("int").alias("b"))
 
 
 def _union(spans: DataFrame) -> DataFrame:

@@ -57,6 +57,30 @@ def test_hot_anchors_take_the_other_way(spark, monkeypatch):
     assert found(spark, texts) == brute(texts, 160)
 
 
+def test_sketch_lets_few_unique_anchors_pass_at_any_size(spark, monkeypatch):
+    """Ranges a thousandth of the usual size, as many as 30 GB of texts would have."""
+    monkeypatch.setattr(spans, "RANGE_ANCHORS", (64, 128))
+    rng = random.Random(8)
+    texts = [(i, "".join(rng.choice("abcdefghij ") for _ in range(4000))) for i in range(200)]
+    texts.append((999, "x" * 80 + texts[0][1][:2000]))
+    rows = spans.staged(spark, spark.createDataFrame(texts, "doc_id long, text string").repartition(4), "t")
+    ranges, bits = spans.sketch_shape(sum(len(t) for _, t in texts), 160)
+    uri = spans.sketch_repeats(spark, rows, 160, ranges, bits)
+    assert ranges > 150
+    told = np.concatenate([spans.told_repeats(uri, p)[0] for p in range(8)])
+    place = spans._place(anchors([t for _, t in texts], 160)[2], ranges)
+    uniq, n = np.unique(place, return_counts=True)
+    passed = np.isin(uniq, told)
+    assert passed[n > 1].all() and (n > 1).sum() > 40 and passed[n == 1].mean() < 0.1
+
+
+def test_texts_that_change_between_readings_are_noticed(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "k" * 200), (2, "k" * 200)], "doc_id long, text string")
+    monkeypatch.setattr(spans, "told_repeats", lambda uri, part: (np.zeros(0, np.uint64), 7))
+    with pytest.raises(Exception, match="changed between two readings"):
+        shared_spans(spark, df, "doc_id", "text").collect()
+
+
 def test_every_shared_stretch_has_a_common_anchor():
     rng = random.Random(4)
     core = "".join(rng.choice("abcdefgh ") for _ in range(160))
