@@ -51,6 +51,8 @@ from newsloom.session import shared_dir, staged
 EMPTY_DIGEST = hashlib.sha256(b"").hexdigest()
 #: Query parameters that say where a click came from, not which file is meant.
 TRACKING = re.compile(r"(?i)^(utm_\w+|fbclid|gclid|dclid|msclkid|mc_cid|mc_eid|igshid|ref_src|_hs\w+)$")
+#: Records of a batch whose keys (some 200 bytes each) may be broadcast; a larger batch is shuffled against the table.
+FEW = 200_000
 #: Least bytes of a chunk, and one position in how many is a landmark.
 LEAST_BYTES, LANDMARK_EVERY = 32, 48
 
@@ -207,33 +209,35 @@ class History:
             whole.withColumn("fresh", F.lit(True)).write.parquet(f"{self.folder}/{made[space][0]}")
         self._publish(made)
 
-    def table(self, space: str) -> DataFrame:
-        parts = [f"{self.folder}/{p}" for p in self.parts.get(space, [])]
+    def table(self, *spaces: str) -> DataFrame:
+        parts = [f"{self.folder}/{p}" for s in spaces for p in self.parts.get(s, [])]
         if not parts:
             return self.spark.createDataFrame([], self.SCHEMA)
         return self.spark.read.schema(self.SCHEMA).parquet(*parts).where("fresh")
 
-    def covered(self, space: str, payloads: DataFrame, threshold: float | None = None) -> DataFrame:
+    def covered(self, space: str | Sequence[str], payloads: DataFrame, threshold: float | None = None, few: bool = False) -> DataFrame:
         """``key, other, shared_bytes, coverage`` and what is said of ``other``: what the table holds of ``payloads`` (``key, chunks``).
 
         A pair's coverage is the bytes of the chunks both have over the bytes of the longer. The table is
         met by chunk; only payloads filed under one of the asked chunks, and of fitting size, are compared.
+        ``few``: the payloads are at most ``FEW``, so they go to the table, which isn't moved.
         """
         least = self.threshold if threshold is None else threshold
         if least < self.threshold:
             raise ValueError(f"this history is filed for coverages of at least {self.threshold}")
         all_, theirs = total_bytes("chunks"), total_bytes("their_chunks")
         asked = payloads.where(F.size("chunks") > 0).select("key", "chunks", all_.alias("total"), F.explode("chunks.chunk").alias("chunk"))
-        held = self.table(space).select(F.col("key").alias("other"), F.col("chunks").alias("their_chunks"), "owner", "first", "digest", "digest_payload", F.explode("filed").alias("chunk"))
+        asked = F.broadcast(asked) if few else asked
+        held = self.table(*[space] if isinstance(space, str) else space).select(F.col("key").alias("other"), F.col("chunks").alias("their_chunks"), "owner", "first", "digest", "digest_payload", F.explode("filed").alias("chunk"))
         held = held.withColumn("their_total", theirs)
         fits = (F.least("total", "their_total") >= least * F.greatest("total", "their_total"))
         met = asked.join(held, (asked["chunk"] == held["chunk"]) & fits)
         met = met.withColumn("shared_bytes", total_bytes(F.array_intersect("chunks", "their_chunks"))).withColumn("coverage", F.col("shared_bytes") / F.greatest("total", "their_total"))
         return met.where(F.col("coverage") >= least).select("key", "other", "shared_bytes", "coverage", "owner", "first", "digest", "digest_payload")
 
-    def known(self, space: str, payloads: DataFrame) -> DataFrame:
+    def known(self, space: str | Sequence[str], payloads: DataFrame, few: bool = False) -> DataFrame:
         """What the table says of the payloads it covers whole; the same chunks in another order are another payload."""
-        held = self.covered(space, payloads, 1.0).where(F.col("key") == F.col("other"))
+        held = self.covered(space, payloads, 1.0, few).where(F.col("key") == F.col("other"))
         return held.groupBy("key").agg(F.min("owner").alias("owner"), F.min("first").alias("first"), F.min(F.struct("digest", "digest_payload")).alias("d")).select("key", "owner", "first", "d.digest", "d.digest_payload")
 
 
@@ -275,28 +279,29 @@ def prepare(history: History, records: DataFrame, batch_col: str, id_col: str, d
     return rows.select("batch", "n", F.col("h.key").alias("h"), "hc", F.col("a.key").alias("a"), "ac")
 
 
-def accept_batch(history: History, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def accept_batch(history: History, rows: DataFrame, size: int | None = None, turn: int = 0) -> tuple[DataFrame, DataFrame]:
     """Enters a prepared batch; returns its addresses and its documents as they now stand (two parts).
 
     Batch and history meet by chunk: no record is compared with others one by one. What is new enters
-    the history with the commit at the end.
+    the history with the commit at the end. ``size``: the batch's records, counted if not given.
     """
+    few = (rows.count() if size is None else size) <= FEW
+    sent = F.broadcast if few else lambda df: df
     # Of each address in the batch: the first digest and the first record without one, now or earlier.
     hashed = F.min_by(F.struct(F.col("h").alias("digest"), F.col("hc").alias("digest_payload")), F.when(F.col("h").isNotNull(), F.col("n")))
     own = rows.where("a is not null").groupBy(F.col("a").alias("key")).agg(hashed.alias("d"), F.min(F.when(F.col("h").isNull(), F.col("n"))).alias("bare"), F.first("ac").alias("ac")).select("*", "ac.*")
-    past = history.known("address", own).select("key", F.col("first").alias("kbare"), F.when(F.col("digest").isNotNull(), F.struct("digest", "digest_payload")).alias("kd"), F.lit(True).alias("old"))
-    address = own.join(past, "key", "left").withColumn("at", F.coalesce("kd", F.when(F.col("d.digest").isNotNull(), F.col("d")))).withColumn("first", F.least("bare", "kbare"))
+    past = history.known("address", own, few).select("key", F.col("first").alias("kbare"), F.when(F.col("digest").isNotNull(), F.struct("digest", "digest_payload")).alias("kd"), F.lit(True).alias("old"))
+    address = own.join(sent(past), "key", "left").withColumn("at", F.coalesce("kd", F.when(F.col("d.digest").isNotNull(), F.col("d")))).withColumn("first", F.least("bare", "kbare"))
     same = F.col("at.digest").eqNullSafe(F.col("kd.digest")) & F.col("first").eqNullSafe(F.col("kbare"))
-    address = history.append(address.select("key", "chunks", "filed", "at.digest", "at.digest_payload", "first", (F.col("old").isNull() | ~same).alias("fresh")), "address")
-    joined = linked(rows, address, ["hc"])
+    address = history.append(address.select("key", "chunks", "filed", "at.digest", "at.digest_payload", "first", (F.col("old").isNull() | ~same).alias("fresh"), F.lit(turn).alias("turn")), "address")
+    joined = linked(rows, sent(address), ["hc"])
     # A document starts at its first record, be it one without digest at an address of its digest.
     start = F.when(F.col("h").isNull() | F.col("h").eqNullSafe(F.col("ah")), F.least("n", "bare")).otherwise(F.col("n"))
     docs = joined.where("doc is not null").groupBy(F.col("doc").alias("key")).agg(F.min(start).alias("first"), F.max(F.coalesce("h", "ah").isNotNull()).alias("hashed"), F.first(F.coalesce("hc", "ah_payload"), ignorenulls=True).alias("hc")).select("*", "hc.*")
-    before = history.known("digest", docs).select("key", F.col("first").alias("kfirst"))
-    archived = history.known("docs", docs).select("key", "owner")
-    docs = docs.join(before, "key", "left").join(archived, "key", "left").withColumn("first", F.least("first", "kfirst"))
+    past = history.known(["digest", "docs"], docs, few).select("key", F.col("first").alias("kfirst"), "owner")
+    docs = docs.join(sent(past), "key", "left").withColumn("first", F.least("first", "kfirst"))
     fresh = F.col("hashed") & (F.col("kfirst").isNull() | (F.col("first") < F.col("kfirst")))
-    docs = history.append(docs.select("key", "chunks", "filed", "first", F.col("owner").alias("in_archive"), fresh.alias("fresh")), "digest")
+    docs = history.append(docs.select("key", "chunks", "filed", "first", F.col("owner").alias("in_archive"), fresh.alias("fresh"), F.lit(turn).alias("turn")), "digest")
     history.commit()
     return address, docs
 
@@ -320,11 +325,11 @@ def run_batches(history: History, records: DataFrame, batch_col: str, id_col: st
     """All batches of a table in their order; each reads its own rows and the chunk table."""
     rows = prepare(history, records, batch_col, id_col, digest_col, url_col).repartition("batch", F.pmod("n", F.lit(16))).sortWithinPartitions("batch")
     rows = staged(history.spark, rows, "prepared")
-    numbers = [r[0] for r in rows.select("batch").distinct().collect()]  # one value a batch
-    order = sorted(n for n in numbers if n is not None) + [None] * (None in numbers)
+    sizes = dict(map(tuple, rows.groupBy("batch").count().collect()))  # one row a batch
+    order = sorted(n for n in sizes if n is not None) + [None] * (None in sizes)
     if not order:
         return history.spark.createDataFrame([], "record_no long, match_kind string, match_key string")
-    parts = [accept_batch(history, rows.where(F.col("batch").eqNullSafe(F.lit(b)))) for b in order]
+    parts = [accept_batch(history, rows.where(F.col("batch").eqNullSafe(F.lit(b))), sizes[b], i) for i, b in enumerate(order)]
     of_batch = F.coalesce(*[F.when(F.col("batch").eqNullSafe(F.lit(b)), F.lit(i)) for i, b in enumerate(order)])
-    address, docs = (reduce(DataFrame.unionByName, [p[x].withColumn("turn", F.lit(i)) for i, p in enumerate(parts)]) for x in (0, 1))
+    address, docs = (history.spark.read.schema(parts[0][x].schema).parquet(*[f for p in parts for f in p[x].inputFiles()]) for x in (0, 1))
     return duplicates(rows.withColumn("turn", of_batch), address, docs, ["turn"])

@@ -123,7 +123,7 @@ def anchors(texts: list[str], least: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def _cells(low: np.ndarray, bits: int) -> list[np.ndarray]:
     x = low.astype(np.uint64)
-    return [(mix(x + np.uint64(r + 1) * _BASE) >> np.uint64(64 - bits)).astype(np.int64) for r in range(SKETCH_ROWS)]
+    return [(mix(x + np.uint64((r + 1) * int(_BASE) & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(64 - bits)).astype(np.int64) for r in range(SKETCH_ROWS)]
 
 
 def _place(h: np.ndarray, ranges: int) -> np.ndarray:
