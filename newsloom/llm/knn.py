@@ -6,31 +6,42 @@ words, with two correction scalars. The inner product of a query with a member i
 from the packed bits (the query being cut into 4-bit planes), and the error bound of that
 estimate decides which members are compared exactly.
 
-Scale: the coarse index is fitted on at most ``FIT_ROWS`` vectors but holds every row. Cells of
-more than ``BLOCK_ROWS`` members are split into blocks that are searched apart, so no task ever
-holds a hot cell. Vectors that are equal are one representative; each row of the group is given
-partners from the group's smallest ids. Each block returns at most ``k`` partners a vector, so
-what leaves it is linear in its rows.
+Scale: the first cells are fitted on at most ``FIT_ROWS`` vectors but hold every row. A cell of more
+than ``BLOCK_ROWS`` members is cut again around pivots drawn from its own members, and so are the
+cells that come of it, until none is hot; a level brings at most ``PIVOT_ROWS`` pivots to the driver.
+Queries of a cut cell go to its nearest pivots, at most ``MOST_CELLS`` cells in all, so the work is
+linear in the rows even if a third of them lie together. Cells that many queries come to - small ones
+beside a dense region - have their queries parted and their few members copied to each part. Inside a
+task, tiles of ``TILE`` queries are estimated at once, and compared exactly only where the error bound
+reaches the k-th best similarity found so far. Vectors that are equal are one representative; each row
+of the group is given partners from the group's smallest ids. Each group returns at most ``k`` partners
+a vector, so what leaves it is linear in its rows.
 """
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from newsloom.session import staged
 
-#: Most vectors the coarse index is fitted on (they are drawn by a hash of the vector).
-FIT_ROWS = 65_536
-#: Most members of a cell that one task searches at once.
-BLOCK_ROWS = 4_096
+#: Most vectors the first cells are fitted on (drawn by a hash of the id), and how many stand behind one cell.
+FIT_ROWS, ROWS_A_CELL = 16_384, 8
+#: Members wanted in a cell; sample queries and the part of their partners that the number of probes is set by.
+CELL_ROWS, TRIAL_QUERIES, TRIAL_RECALL = 512, 2_048, 0.99
+#: Most members of a cell, and most queries that meet them in one task.
+BLOCK_ROWS, QUERY_ROWS = 4_096, 8_192
+#: Most pivots of one level (256 bytes each), and the most cells a vector is looked for in.
+PIVOT_ROWS, MOST_CELLS = 32_768, 48
+#: Queries that are estimated at once, and pairs that are compared exactly at once.
+TILE, PAIRS = 256, 65_536
 #: Width of the error bound in standard deviations of the estimate.
 EPSILON = 2.5
 QUERY_BITS = 4
@@ -42,28 +53,20 @@ def parse_vectors(df: DataFrame, id_col: str, json_col: str, dim: int) -> DataFr
     Usable: a JSON list of exactly ``dim`` finite numbers, not all zero; anything else gives no row.
     """
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids, vecs = [], []
-            for i, s in zip(pdf["id"], pdf["s"]):
-                try:
-                    v = json.loads(s)
-                except (TypeError, ValueError):
-                    continue
-                if type(v) is not list or len(v) != dim or not all(type(x) in (float, int) for x in v):
-                    continue
-                a = np.array(v, dtype=np.float64)
-                top = np.abs(a).max()
-                if not np.isfinite(top) or top == 0:
-                    continue
-                a /= top
-                ids.append(i)
-                vecs.append((a / math.sqrt(a @ a)).astype(np.float32).tobytes())
-            if ids:
-                yield pd.DataFrame({"id": np.array(ids, dtype=np.int64), "vec": vecs})
+    v = F.from_json(F.when(F.col(json_col).rlike(r"^\s*\[[-+0-9eE.,\s]*\]\s*$"), F.col(json_col)), "array<double>")
+    rows = df.where(F.col(id_col).isNotNull() & F.col(json_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
+    rows = rows.where((F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull()))
 
-    rows = df.where(F.col(id_col).isNotNull() & F.col(json_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(json_col).alias("s"))
-    return rows.mapInPandas(parse, "id long, vec binary")
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            top = np.abs(a).max(axis=1, initial=0)
+            use = np.flatnonzero(np.isfinite(top) & (top > 0))
+            a = a[use] / top[use, None]
+            a = (a / np.sqrt(np.einsum("ij,ij->i", a, a))[:, None]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(use)), pa.array([x.tobytes() for x in a], pa.binary())], ["id", "vec"])
+
+    return rows.mapInArrow(pack, "id long, vec binary")
 
 
 def fit_cells(sample: np.ndarray, n_cells: int, seed: int, rounds: int = 4) -> np.ndarray:
@@ -125,20 +128,149 @@ class OneBitCodes:
         return base + scale * code_query / self.fit[None, :], EPSILON * scale * spread[None, :]
 
 
-def _search(members: np.ndarray, queries: np.ndarray, centroid: np.ndarray, turn: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (query row, member row, exact similarity) of at least ``floor``; a row that is both finds itself."""
-    codes = OneBitCodes(members, centroid, turn)
-    found = []
-    for lo in range(0, len(queries), 1024):
-        q = queries[lo : lo + 1024]
+def _search(members: np.ndarray, queries: np.ndarray, turn: np.ndarray, floor: float, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (query row, member row, exact similarity) of at least ``floor`` that may be among the query's ``k`` best.
+
+    ``own``: the member row that a query itself is, or -1; no row finds itself.
+    """
+    codes = OneBitCodes(members, members.mean(axis=0), turn)
+    exact = members.astype(np.float64)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    first = min(4 * k, len(members))
+    for lo in range(0, len(queries), TILE):
+        q = queries[lo : lo + TILE]
         value, error = codes.estimate(q)
-        i, j = np.nonzero(value + error >= floor)
-        exact = np.einsum("ij,ij->i", q[i].astype(np.float64), members[j].astype(np.float64))
-        keep = exact >= floor
-        found.append((i[keep] + lo, j[keep], exact[keep]))
+        me = own[lo : lo + TILE]
+        value[np.flatnonzero(me >= 0), me[me >= 0]] = -np.inf
+        q = q.astype(np.float64)
+        bar = np.full(len(q), floor)
+        if len(members) > first:
+            # The k-th best of those that look best is what the others must be able to reach.
+            top = np.argpartition(-value, first - 1, axis=1)[:, :first]
+            s = np.where(np.isfinite(np.take_along_axis(value, top, axis=1)), np.einsum("qd,qkd->qk", q, exact[top]), -np.inf)
+            bar = np.maximum(bar, np.partition(s, first - k, axis=1)[:, first - k] - 1e-12)
+        i, j = np.nonzero(value + error >= bar[:, None])
+        for at in range(0, len(i), PAIRS):
+            x, y = i[at : at + PAIRS], j[at : at + PAIRS]
+            s = np.einsum("ij,ij->i", q[x], exact[y])
+            keep = s >= bar[x]
+            found.append((x[keep] + lo, y[keep], s[keep]))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _matrix(column: pd.Series, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.float32).reshape(-1, dim)
+
+
+def _nearest(v: np.ndarray, centroids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and similarities of the nearest centroids of each vector, the nearest first."""
+    most = min(most, len(centroids))
+    places, sims = [], []
+    for lo in range(0, len(v), 2048):
+        score = v[lo : lo + 2048] @ centroids.T
+        near = np.argpartition(-score, most - 1, axis=1)[:, :most]
+        s = np.take_along_axis(score, near, axis=1)
+        order = np.argsort(-s, axis=1, kind="stable")
+        places.append(np.take_along_axis(near, order, axis=1))
+        sims.append(np.take_along_axis(s, order, axis=1))
+    return np.concatenate(places), np.concatenate(sims)
+
+
+_CELLS = "rep long, home int, near array<int>, sims array<float>, vec binary"
+
+
+def probes_needed(sample: np.ndarray, centroids: np.ndarray, k: int, floor: float) -> int:
+    """In how many nearest cells sample vectors must be looked for to find nearly all their partners in the sample."""
+    home = _nearest(sample, centroids, 1)[0][:, 0]
+    ranks = [np.zeros(0, np.int64)]
+    for lo in range(0, min(len(sample), TRIAL_QUERIES), TILE):
+        q = sample[lo : lo + TILE]
+        s = q @ sample.T
+        s[np.arange(len(q)), lo + np.arange(len(q))] = -1
+        top = np.argpartition(-s, min(k, len(sample) - 1) - 1, axis=1)[:, :k] if len(sample) > k else np.tile(np.arange(len(sample)), (len(q), 1))
+        i, j = np.nonzero(np.take_along_axis(s, top, axis=1) >= floor)
+        place = np.argsort(np.argsort(-(q @ centroids.T), axis=1, kind="stable"), axis=1, kind="stable")
+        ranks.append(place[i, home[top[i, j]]])
+    ranks = np.concatenate(ranks)
+    return int(np.quantile(ranks, TRIAL_RECALL, method="higher")) + 1 if len(ranks) else 1
+
+
+def first_cells(spark: SparkSession, vectors: DataFrame, distinct: DataFrame, n: int, dim: int, k: int, floor: float, probes: int, seed: int) -> tuple[DataFrame, int]:
+    """Every distinct vector with its home cell and the cells it is looked for in; and the number of cells.
+
+    Vectors are looked for in at least ``probes`` cells, in more where the sample shows that its partners lie further apart.
+    """
+    share = min(1.0, 1.1 * FIT_ROWS / n)
+    picked = vectors.where(F.abs(F.xxhash64("id", F.lit(seed)) % 1_000_000) < int(share * 1_000_000)).select("vec").limit(FIT_ROWS).toPandas()
+    sample = _matrix(picked["vec"], dim) if len(picked) else np.eye(1, dim, dtype=np.float32)
+    n_cells = max(1, min(n // CELL_ROWS, FIT_ROWS // ROWS_A_CELL))
+    while True:
+        centroids = fit_cells(sample, n_cells, seed)
+        needed = probes_needed(sample, centroids, k, floor)
+        # Where nothing is near anything in particular, fewer and larger cells are searched with less to move.
+        if needed <= 16 or 4 * n // n_cells > BLOCK_ROWS:
+            break
+        n_cells = max(1, n_cells // 4)
+    probes = min(max(probes, needed), MOST_CELLS)
+    held = spark.sparkContext.broadcast(centroids)  # at most FIT_ROWS / ROWS_A_CELL rows
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                near, sims = _nearest(_matrix(pdf["vec"], dim), held.value, probes)
+                yield pd.DataFrame({"rep": pdf["rep"], "home": near[:, 0].astype(np.int32), "near": list(near.astype(np.int32)), "sims": list(sims), "vec": pdf["vec"]})
+
+    return staged(spark, distinct.select("rep", "vec").mapInPandas(assign, _CELLS), "cells"), len(centroids)
+
+
+def split_hot_cells(spark: SparkSession, cells: DataFrame, n_cells: int, dim: int, seed: int) -> DataFrame:
+    """The same with every cell of more than ``BLOCK_ROWS`` members cut around pivots of its own, level by level."""
+    level = 0
+    while True:
+        hot = {r["home"]: r["count"] for r in cells.groupBy("home").count().where(F.col("count") > BLOCK_ROWS).collect()}  # fewer than there are cells
+        if not hot:
+            return cells
+        level += 1
+        want = {c: max(8, -(-2 * m // BLOCK_ROWS)) for c, m in hot.items()}
+        scale = min(1.0, PIVOT_ROWS / sum(want.values()))
+        rates = spark.createDataFrame([(c, 1.5 * scale * want[c] / m) for c, m in hot.items()], "home int, rate double")
+        drawn = F.pmod(F.xxhash64("rep", F.lit(seed + level)), F.lit(1 << 40)) < F.col("rate") * (1 << 40)
+        picked = cells.join(rates, "home").where(drawn).select("home", "vec").limit(2 * PIVOT_ROWS).toPandas()
+        pivots: dict[int, tuple[int, np.ndarray]] = {}
+        for c, rows in picked.groupby("home"):
+            if len(rows) > 1:
+                pivots[int(c)] = (n_cells, _matrix(rows["vec"], dim))
+                n_cells += len(rows)
+        held = spark.sparkContext.broadcast(pivots)
+
+        def move(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                v, home = _matrix(pdf["vec"], dim), pdf["home"].to_numpy().copy()
+                size = pdf["near"].map(len).to_numpy()
+                row, cell, sim = np.repeat(np.arange(len(pdf)), size), np.concatenate(pdf["near"].to_numpy()), np.concatenate(pdf["sims"].to_numpy())
+                gone, more = np.zeros(len(row), bool), []
+                for c in np.intersect1d(cell, np.fromiter(held.value, np.int64)):
+                    base, around = held.value[int(c)]
+                    at = np.flatnonzero(cell == c)
+                    near, sims = _nearest(v[row[at]], around, MOST_CELLS)
+                    gone[at] = True
+                    mine = home[row[at]] == c
+                    home[row[at][mine]] = base + near[mine, 0]
+                    more.append((np.repeat(row[at], near.shape[1]), (base + near).ravel(), sims.ravel()))
+                row, cell, sim = (np.concatenate([x[~gone], *[m[i] for m in more]]) for i, x in enumerate((row, cell, sim)))
+                order = np.lexsort((cell, -sim, row))
+                row, cell, sim = row[order], cell[order], sim[order]
+                start = np.searchsorted(row, np.arange(len(pdf)))
+                keep = np.arange(len(row)) - start[row] < MOST_CELLS
+                row, cell, sim = row[keep], cell[keep].astype(np.int32), sim[keep].astype(np.float32)
+                edge = np.searchsorted(row, np.arange(1, len(pdf)))
+                yield pd.DataFrame({"rep": pdf["rep"], "home": home.astype(np.int32), "near": np.split(cell, edge), "sims": np.split(sim, edge), "vec": pdf["vec"]})
+
+        cells = staged(spark, cells.mapInPandas(move, _CELLS), "cells")
+
+
 def most_similar(spark: SparkSession, df: DataFrame, id_col: str, json_col: str, k: int = 5, floor: float = 0.85, dim: int = 64, probes: int = 4, seed: int = 7) -> DataFrame:
     """``id, other, similarity, rank``: the ``k`` most similar other rows of each row, of at least ``floor``.
 
@@ -155,51 +287,28 @@ def most_similar(spark: SparkSession, df: DataFrame, id_col: str, json_col: str,
     n = vectors.count()
     if n == 0:
         return spark.createDataFrame([], found)
-    # Reading the vectors in the order of a hash gives the fitting sample; its bound doesn't grow with the data.
-    share = min(1.0, 1.1 * FIT_ROWS / n)
-    picked = vectors.where(F.abs(F.xxhash64("id", F.lit(seed)) % 1_000_000) < int(share * 1_000_000)).select("vec").limit(FIT_ROWS).toPandas()
-    sample = np.frombuffer(b"".join(picked["vec"]), np.float32).reshape(-1, dim)
-    n_cells = max(1, int(4 * math.sqrt(n)))
-    centroids = spark.sparkContext.broadcast(fit_cells(sample if len(sample) else np.eye(1, dim, dtype=np.float32), min(n_cells, 16 * FIT_ROWS), seed))
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells = centroids.value
-        p = min(probes, len(cells))
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            v = np.frombuffer(b"".join(pdf["vec"]), np.float32).reshape(-1, dim)
-            for lo in range(0, len(v), 2048):
-                score = v[lo : lo + 2048] @ cells.T
-                near = np.argpartition(-score, p - 1, axis=1)[:, :p]
-                best = score.argmax(axis=1)
-                part = pdf.iloc[lo : lo + 2048]
-                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "best": best.astype(np.int32), "near": list(near.astype(np.int32)), "vec": part["vec"].to_numpy()})
-
     # Only one row a group of equal vectors takes part in the search; its vector is stored once, not once a cell.
-    assigned = staged(spark, groups.select("rep", "vec").mapInPandas(assign, "rep long, best int, near array<int>, vec binary"), "cells")
-    entries = assigned.select("rep", "vec", "best", F.explode("near").alias("cell")).select("cell", "rep", (F.col("cell") == F.col("best")).alias("home"), "vec")
-    # At most as many rows as there are cells, of which only the hot ones are listed.
-    hot = assigned.groupBy(F.col("best").alias("cell")).count().where(F.col("count") > BLOCK_ROWS).select("cell", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks"))
-    entries = entries.join(hot, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    # In a hot cell a query goes to every block and a member to every part of the queries: no task holds the cell.
-    spot = lambda b, p, m, q: F.struct(b.alias("block"), p.alias("part"), F.lit(m).alias("member"), F.lit(q).alias("query"))
-    zero, every = F.lit(0), F.sequence(F.lit(0), F.col("blocks") - 1)
-    queried = F.transform(every, lambda x: spot(x, own, False, True))
-    held = F.when(F.col("home"), F.transform(every, lambda x: spot(own, x, True, False))).otherwise(F.array().cast("array<struct<block:int,part:int,member:boolean,query:boolean>>"))
-    single = F.array(F.struct(zero.alias("block"), zero.alias("part"), F.col("home").alias("member"), F.lit(True).alias("query")))
-    placed = entries.select("cell", "rep", "vec", F.explode(F.when(F.col("blocks") == 1, single).otherwise(F.concat(queried, held))).alias("at")).select("cell", "at.*", "rep", "vec")
-
-    def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.frombuffer(b"".join(pdf["vec"]), np.float32).reshape(-1, dim)
+    cells, n_cells = first_cells(spark, vectors, groups, n, dim, k, floor, probes, seed)
+    cells = split_hot_cells(spark, cells, n_cells, dim, seed)
+    asked = cells.select("rep", "vec", "home", F.explode(F.array_union("near", F.array("home"))).alias("cell"))
+    # Of a cell that many queries come to, each goes to one part and the members to all.
+    busy = cells.select(F.explode(F.array_union("near", F.array("home"))).alias("cell")).groupBy("cell").count().where(F.col("count") > QUERY_ROWS)
+    busy = busy.select("cell", F.ceil(F.col("count") / QUERY_ROWS).cast("int").alias("parts"))
+    asked = asked.join(busy, "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("member", F.col("cell") == F.col("home"))
+    own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    asked = asked.withColumn("own", own).withColumn("part", F.explode(F.when(F.col("member"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))))
+    placed = asked.select("cell", "part", "rep", "member", (F.col("part") == F.col("own")).alias("query"), "vec")
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = _matrix(pdf["vec"], dim)
         rep, member, query = pdf["rep"].to_numpy(), np.flatnonzero(pdf["member"]), np.flatnonzero(pdf["query"])
         empty = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "s": np.zeros(0)})
         if not len(member) or not len(query):
             return empty
-        i, j, s = _search(v[member], v[query], centroids.value[key[0]], rotation(dim, seed), floor)
+        place = np.full(len(pdf), -1)
+        place[member] = np.arange(len(member))
+        i, j, s = _search(v[member], v[query], rotation(dim, seed), floor, k, place[query])
         a, b = rep[query[i]], rep[member[j]]
-        a, b, s = (x[a != b] for x in (a, b, s))
         # Either finds the other: the k best of each, seen from both sides.
         a, b, s = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([s, s])
         if not len(a):
@@ -213,7 +322,7 @@ def most_similar(spark: SparkSession, df: DataFrame, id_col: str, json_col: str,
         keep = place < k
         return pd.DataFrame({"a": a[keep], "b": b[keep], "s": s[keep]})
 
-    links = placed.groupBy("cell", "block", "part").applyInPandas(search, "a long, b long, s double").groupBy("a", "b").agg(F.max("s").alias("s"))
+    links = placed.groupBy("cell", "part").applyInPandas(search, "a long, b long, s double").groupBy("a", "b").agg(F.max("s").alias("s"))
     best = links.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("s"), "b"))).where(F.col("r") <= k).select("a", "b", "s")
 
     # Groups of equal vectors: the k + 1 smallest ids are all that anyone can take from them.
