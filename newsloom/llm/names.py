@@ -2,9 +2,14 @@
 
 Names are folded to tokens. A symmetric-delete index over the roster's tokens - every token with
 each one of its characters left out - finds the roster tokens within one edit of a typed one
-without comparing them all. Candidates that share a token are then aligned token by token by an
-optimal assignment that allows edits, initials and abbreviations; a name means an organisation if
-all it says is said by that organisation and by no other.
+without comparing them all; prefixes and consonants find those it may abbreviate. Candidates that share
+a token are then aligned token by token by an optimal assignment that allows edits, initials and
+abbreviations of any word; a name means an organisation if all it says is said by that organisation and
+by no other.
+
+Which words are generic - the kind of organisation, the lie of the land - is learned from the roster:
+those in at least ``GENERIC_SHARE`` of its rows. They are abbreviated more freely, and nothing is found
+by them alone while a name says more. A roster too small to show it has no generic words.
 
 The roster is a dimension table of checked size
 (``MAX_ROSTER`` rows); its index is built once and broadcast. The typed names, which grow, are
@@ -18,8 +23,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -35,11 +40,12 @@ NOISE = frozenset("the of and for friends trustees inc incorporated llc ltd corp
 SHORT_FORMS = {
     "tv": "television", "harbour": "harbor", "bcasting": "broadcasting", "bcstg": "broadcasting", "bcast": "broadcast", "co": "county", "cty": "county",
     "ed": "educational", "comm": "community", "cmty": "community", "net": "network", "med": "media", "is": "island", "val": "valley",
+    "st": "saint", "mt": "mount", "ft": "fort",
 }
-#: The kinds of words organisations have besides their place.
-KINDS = frozenset("public radio television media broadcasting broadcast educational community network foundation".split())
-FEATURES = frozenset("valley river harbor bay island county highlands heights foothills junction prairie lakes coast basin delta corridor plains ridge".split())
-COMMON = KINDS | FEATURES
+#: Rows, and share of all rows, that hold a word which is generic.
+GENERIC_ROWS, GENERIC_SHARE = 8, 0.01
+#: A word that abbreviates a generic one this many times as frequent is that word's short form, not a word.
+SHORT_RATIO = 5
 _CALL = re.compile(r"^[kw][b-df-hj-np-tv-z]{3,4}$")
 _BANDS = {"fm": "radio", "am": "radio", "tv": "television"}
 
@@ -84,33 +90,61 @@ def abbreviates(short: str, word: str) -> bool:
     return all(c in rest for c in short)
 
 
-#: Costs already found in this process; a plain table, as it travels to the executors with the functions.
-_COSTS: dict[tuple[str, str], float] = {}
-
-
-def token_cost(typed: str, word: str) -> float:
-    """0 for equal, below 1 for a slip or an abbreviation, infinite for different words."""
-    cost = _COSTS.get((typed, word))
-    if cost is None:
-        if len(_COSTS) > 300_000:
-            _COSTS.clear()
-        cost = _COSTS[typed, word] = _word_cost(typed, word)
-    return cost
-
-
-def _word_cost(typed: str, word: str) -> float:
-    if typed == word:
-        return 0.0
-    if word in COMMON:
-        if abbreviates(typed, word):
-            return 0.1
-        return 0.3 if typed not in COMMON and len(typed) >= 4 and edits(typed, word) == 1 else float("inf")
-    if len(word) >= 4 and edits(typed, word) == 1:
-        return 0.4
-    return float("inf")
-
-
-def align(typed: list[str], words: list[str]) -> tuple[float, int]:
+def curt(short: str, word: str) -> bool:
+    """The narrower rule for words that tell organisations apart: a beginning, or without the vowels inside, and clearly shorter."""
+    if SHORT_FORMS.get(short) == word:
+        return True
+    if not 3 <= len(short) <= len(word) - 2 or short in SHORT_FORMS:
+        return False
+    return word.startswith(short) or (not set(short[1:-1]) & set("aeiou") and abbreviates(short, word))
+
+
+class Words:
+    """The generic words of a roster, those of them that only follow a place, and what a spelling costs."""
+
+    def __init__(self, names: Iterable[list[str]]):
+        names = list(names)
+        rows: Counter = Counter()
+        for tokens in names:
+            rows.update(set(tokens))
+        least = max(GENERIC_ROWS, GENERIC_SHARE * len(names))
+        often = {t: n for t, n in rows.items() if n >= least}
+        self.common = frozenset(t for t, n in often.items() if not any(m >= SHORT_RATIO * n and abbreviates(t, w) for w, m in often.items() if w != t))
+        # The lie of the land stands between a place's name and the kind of organisation.
+        after, last = Counter(), Counter()
+        for tokens in names:
+            for i, t in enumerate(tokens):
+                after[t] += i > 0 and tokens[i - 1] not in self.common
+                last[t] += i == len(tokens) - 1
+        self.features = frozenset(t for t in self.common if after[t] >= 0.8 * rows[t] and last[t] <= 0.2 * rows[t])
+        self.costs: dict[tuple[str, str], float] = {}
+
+    def cost(self, typed: str, word: str) -> float:
+        """0 for equal, below 1 for a slip, an abbreviation or an initial, infinite for different words."""
+        cost = self.costs.get((typed, word))
+        if cost is None:
+            if len(self.costs) > 300_000:
+                self.costs.clear()
+            cost = self.costs[typed, word] = self._cost(typed, word)
+        return cost
+
+    def _cost(self, typed: str, word: str) -> float:
+        if typed == word:
+            return 0.0
+        if word in self.common:
+            if abbreviates(typed, word):
+                return 0.1
+            return 0.3 if typed not in self.common and len(typed) >= 4 and edits(typed, word) == 1 else float("inf")
+        if len(word) >= 4 and edits(typed, word) == 1:
+            return 0.4
+        if typed in self.common:
+            return float("inf")
+        if curt(typed, word) or SHORT_FORMS.get(word) == typed:
+            return 0.5
+        return 0.7 if len(typed) == 1 and word[0] == typed and len(word) > 3 else float("inf")
+
+
+def align(typed: list[str], words: list[str], cost_of: Callable[[str, str], float]) -> tuple[float, int]:
     """Least total cost of giving each typed token its own word, and the mask of words used; infinite if one has none."""
     best = {0: 0.0}
     for t in typed:
@@ -118,7 +152,7 @@ def align(typed: list[str], words: list[str]) -> tuple[float, int]:
         for used, cost in best.items():
             for j, w in enumerate(words):
                 if not used >> j & 1:
-                    c = cost + token_cost(t, w)
+                    c = cost + cost_of(t, w)
                     if c < step.get(used | 1 << j, float("inf")):
                         step[used | 1 << j] = c
         best = step
@@ -155,6 +189,7 @@ class Roster:
         self.calls: dict[str, set[str]] = defaultdict(set)
         self.air: dict[tuple[str, ...], set[str]] = defaultdict(set)
         self.rows = sorted(rows)
+        self.words = Words(Typed(r[1]).tokens for r in self.rows)
         self._notes()
         self._clean()
         self._index()
@@ -192,32 +227,44 @@ class Roster:
             tokens = [self._long(t) for t in Typed(name).tokens]
             self.names[sid].append(tokens)
             host = re.match(r"(?i)https?://(?:www\.)?([a-z]+)(?:-[a-z-]+)?\.", url or "")
-            places = [t for t in tokens if t not in COMMON]
-            if host and places and host.group(1) not in COMMON and edits(host.group(1), places[0]) == 1:
+            places = [t for t in tokens if t not in self.words.common]
+            if host and places and host.group(1) not in self.words.common and edits(host.group(1), places[0]) == 1:
                 self.names[sid].append([host.group(1) if t == places[0] else t for t in tokens])
 
-    @staticmethod
-    def _long(token: str) -> str:
-        if token in COMMON or token in NOISE:
+    def _long(self, token: str) -> str:
+        """The generic word a token stands for, if there is one and no other."""
+        if token in self.words.common or token in NOISE:
             return token
-        fits = {w for w in COMMON if token_cost(token, w) < 1}
+        fits = {w for w in self.words.common if self.words.cost(token, w) < 1}
         return fits.pop() if len(fits) == 1 else token
 
     def _index(self) -> None:
-        """Symmetric deletes of the places, and the organisations of each place."""
+        """Symmetric deletes, beginnings and consonants of the words that tell organisations apart."""
         self.at: dict[str, set[str]] = defaultdict(set)
         self.near: dict[str, set[str]] = defaultdict(set)
+        self.short: dict[str, set[str]] = defaultdict(set)
         self.initials: dict[str, set[str]] = defaultdict(set)
+        #: Rows whose names are generic words only.
+        self.plain: set[str] = set()
         for sid, variants in self.names.items():
             for tokens in variants:
-                for t in tokens:
-                    if t not in COMMON:
-                        self.at[t].add(sid)
-                        for d in deletes(t):
-                            self.near[d].add(t)
+                own = [t for t in tokens if t not in self.words.common]
+                for t in own:
+                    self.at[t].add(sid)
+                    for d in deletes(t):
+                        self.near[d].add(t)
+                    for key in self._short_keys(t):
+                        self.short[key].add(t)
+                if tokens and not own:
+                    self.plain.add(sid)
                 if len(tokens) >= 3:
                     self.initials["".join(t[0] for t in tokens)].add(sid)
 
+    @staticmethod
+    def _short_keys(word: str) -> set[str]:
+        """What a word's abbreviations are looked up by: each beginning, its first letter with each later one, a fixed long form."""
+        return {word[:n] for n in range(3, len(word) - 1)} | {f"{word[0]}*{c}" for c in word[1:]} | {s for s, w in SHORT_FORMS.items() if w == word}
+
     def _merge(self) -> None:
         """Rows that are one organisation: one call sign, or names that say the same."""
         for sids in self.calls.values():
@@ -243,30 +290,45 @@ class Roster:
         """Each word of one name has its word in the other; a feature may be missing on one side."""
         for words in self.names[other]:
             a, b = (typed, words) if len(typed) <= len(words) else (words, typed)
-            cost, used = align(a, b)
+            cost, used = align(a, b, self.words.cost)
             left = [w for j, w in enumerate(b) if not used >> j & 1]
-            if cost < 1 and (not left or (len(left) == 1 and left[0] in FEATURES and len(a) >= 3)):
+            if cost < 0.5 and (not left or (len(left) == 1 and left[0] in self.words.features and len(a) >= 3)):
                 return True
         return False
 
     # -- resolving ----------------------------------------------------------------------------
     def candidates(self, tokens: Iterable[str]) -> set[str]:
-        """Rows with a place within one edit of one of the tokens."""
+        """Rows with a word of their own within one edit of one of the tokens, which may be of any length."""
         out: set[str] = set()
         for t in tokens:
-            if t in COMMON or len(t) < 4:
+            if t in self.words.common:
                 continue
-            for word in {w for d in deletes(t) for w in self.near.get(d, ())}:
-                if edits(t, word) <= 1:
-                    out |= self.at[word]
+            out |= self.at.get(t, set())
+            if len(t) >= 3:
+                for word in {w for d in deletes(t) for w in self.near.get(d, ())}:
+                    if self.words.cost(t, word) < 1:
+                        out |= self.at[word]
+        return out
+
+    def abbreviated(self, tokens: Iterable[str]) -> set[str]:
+        """Rows with a word of their own that one of the tokens may abbreviate."""
+        out: set[str] = set()
+        for t in tokens:
+            if t not in self.words.common and len(t) >= 2:
+                for word in self.short.get(t, set()) | (self.short.get(f"{t[0]}*{t[-1]}", set()) if not set(t[1:-1]) & set("aeiou") else set()):
+                    if curt(t, word):
+                        out |= self.at[word]
         return out
 
     def _fit(self, typed: Typed, sid: str) -> tuple[float, int] | None:
         """Cost and unsaid words of the best of the row's names, if it says all that is typed."""
         best = None
         for words in self.names[sid]:
-            cost, used = align(typed.tokens, words)
-            if cost < 1.5 and any(used >> j & 1 and w not in COMMON for j, w in enumerate(words)):
+            cost, used = align(typed.tokens, words, self.words.cost)
+            own = [w for w in words if w not in self.words.common]
+            said = any(used >> j & 1 and w in own for j, w in enumerate(words)) or not own
+            # Initials alone mean nobody.
+            if cost < 1.5 and said and any(len(t) > 1 for t in typed.tokens):
                 score = (cost, len(words) - used.bit_count())
                 best = min(best, score) if best else score
         return best
@@ -280,12 +342,14 @@ class Roster:
         typed = Typed(name)
         if len(typed.calls) == 1 and not typed.tokens and typed.calls[0] not in self.calls:
             typed.tokens, typed.calls = typed.calls, []  # initials can look like a call sign
+        if len(typed.tokens) > 2 and all(len(t) == 1 for t in typed.tokens):
+            typed.tokens = ["".join(typed.tokens)]
         found = self._resolve(typed)
         # A letter that was lost to a separator has cut a word in two.
         at = 0
         while found is None and at + 1 < len(typed.tokens):
             a, b = typed.tokens[at : at + 2]
-            if a not in COMMON and b not in COMMON and self.candidates([a + b]):
+            if a not in self.words.common and b not in self.words.common and self.candidates([a + b]):
                 joined = Typed(None)
                 joined.tokens, joined.calls, joined.band, joined.the = [*typed.tokens[:at], a + b, *typed.tokens[at + 2 :]], typed.calls, typed.band, typed.the
                 found = self._resolve(joined)
@@ -300,10 +364,10 @@ class Roster:
             if sids:
                 if typed.band in ("fm", "am", "tv") and len({self.find(s) for s in sids}) > 1:
                     sids = {s for s in sids if _BANDS[typed.band] in {t for g in self.groups[self.find(s)] for v in self.names[g] for t in v}} or sids
-                places = [t for t in typed.tokens if self._long(t) not in COMMON and len(t) >= 4]
+                places = [t for t in typed.tokens if self._long(t) not in self.words.common and len(t) >= 4]
                 if len({self.find(s) for s in sids}) > 1:
                     sids = {s for s in sids if any(self._fit(typed, g) for g in self.groups[self.find(s)])} or sids
-                if places and not self.candidates(places) & {g for s in sids for g in self.groups[self.find(s)]}:
+                if places and not (self.candidates(places) | self.abbreviated(places)) & {g for s in sids for g in self.groups[self.find(s)]}:
                     return None
                 return self._only(sids)
             if not typed.tokens:
@@ -311,12 +375,12 @@ class Roster:
         air = self._on_air(typed)
         if air:
             return air
-        fits: dict[str, tuple[float, int]] = {}
-        for sid in self.candidates(typed.tokens):
-            score = self._fit(typed, sid)
-            if score:
-                org = self.find(sid)
-                fits[org] = min(fits.get(org, score), score)
+        fits = self._fits(typed, self.candidates(typed.tokens))
+        if not fits and len(typed.tokens) == 1 and typed.tokens[0] in self.initials:
+            return self._only(self.initials[typed.tokens[0]])
+        fits = fits or self._fits(typed, self.abbreviated(typed.tokens))
+        if not fits and all(self._long(t) in self.words.common for t in typed.tokens):
+            fits = self._fits(typed, self.plain)
         if fits:
             # An exact place outweighs a slip; equally good organisations leave the name open.
             least = min(c for c, _ in fits.values())
@@ -324,10 +388,18 @@ class Roster:
             full = min(n for _, n in near.values())
             won = [o for o, (_, n) in near.items() if n == full]
             return won[0] if len(won) == 1 else None
-        if len(typed.tokens) == 1 and 3 <= len(typed.tokens[0]) <= 6:
-            return self._only(self.initials.get(typed.tokens[0], ()))
         return None
 
+    def _fits(self, typed: Typed, sids: Iterable[str]) -> dict[str, tuple[float, int]]:
+        """Organisations that say all that is typed, each with its best cost and unsaid words."""
+        fits: dict[str, tuple[float, int]] = {}
+        for sid in sids:
+            score = self._fit(typed, sid)
+            if score:
+                org = self.find(sid)
+                fits[org] = min(fits.get(org, score), score)
+        return fits
+
     def _on_air(self, typed: Typed) -> str | None:
         tokens = tuple(typed.tokens)
         sids = self.air.get(tokens)
@@ -349,9 +421,9 @@ def load_roster(roster: DataFrame) -> Roster:
     return Roster([tuple(r) for r in rows])
 
 
-def resolve_names(spark: SparkSession, names: DataFrame, name_col: str, roster: DataFrame) -> DataFrame:
+def resolve_names(spark: SparkSession, names: DataFrame, name_col: str, roster: DataFrame | Roster) -> DataFrame:
     """``name, station_id`` of each distinct spelling that means an organisation of the roster."""
-    index = shared_object(spark, load_roster(roster))
+    index = shared_object(spark, roster if isinstance(roster, Roster) else load_roster(roster))
 
     def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = index()
@@ -363,8 +435,8 @@ def resolve_names(spark: SparkSession, names: DataFrame, name_col: str, roster:
     return distinct.mapInPandas(resolve, "name string, station_id string").where("station_id is not null")
 
 
-def roster_variants(spark: SparkSession, roster: DataFrame) -> DataFrame:
+def roster_variants(spark: SparkSession, roster: DataFrame | Roster) -> DataFrame:
     """``record_key, station_id`` of the roster rows whose organisation has a smaller id."""
-    found = load_roster(roster)
+    found = roster if isinstance(roster, Roster) else load_roster(roster)
     rows = [(s, found.find(s)) for s in found.root if found.find(s) != s]
     return spark.createDataFrame(rows, "record_key string, station_id string")

@@ -28,7 +28,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roster = table(spark, sf_dir, "station_records")
+    roster = names.load_roster(table(spark, sf_dir, "station_records"))
     open_ = F.trim(F.coalesce("canonical_station_id", F.lit(""))) == ""
     aliases = table(spark, sf_dir, "station_aliases").where(open_).select(F.lit("alias").alias("record_kind"), F.col("alias").alias("record_key"), F.col("alias").alias("name"))
     docs = table(spark, sf_dir, "docs").where(open_).select(F.lit("doc").alias("record_kind"), F.col("doc_id").alias("record_key"), F.col("station_name").alias("name"))

@@ -243,7 +243,7 @@ def _repeated(place: np.ndarray, told: np.ndarray) -> np.ndarray:
 def steady(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """``rows`` in partitions that are the same at each reading: a scan's are, others are written once."""
     plan = rows._jdf.queryExecution().executedPlan().toString()
-    return rows if "FileScan" in plan and not any(x in plan for x in ("Exchange", "Join", "Union", "Coalesce", "Python", "InMemory")) else staged(spark, rows, "texts")
+    return rows if "FileScan" in plan and not any(x in plan for x in ("Exchange", "Join", "Union", "Coalesce", "Python", "InMemoryTableScan")) else staged(spark, rows, "texts")
 
 
 def gram_range(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from newsloom.llm.names import Roster, align, deletes, edits, fold, load_roster, resolve_names, roster_variants
+from newsloom.llm.names import Roster, Words, align, deletes, edits, fold, load_roster, resolve_names, roster_variants
 
 ROWS = [
     ("a-dal", "Dalmoor Valley Public Radio", "aka The Kettle Wave / WKXYZ", "https://www.dalmoor-public-radio.example/x"),
@@ -32,6 +32,30 @@ def test_typed_names(roster, name, want):
     assert roster.resolve(name) == want
 
 
+FOREIGN = [
+    ("1", "Ely Public Radio", None, None), ("2", "Springfield Public Radio", None, None), ("3", "Saint Louis Symphony", None, None), ("4", "Northampton Jazz Society", None, None),
+    ("5", "Ürümqi Trade Guild", None, None), ("6", "Society Radio", None, None),
+]
+
+
+@pytest.mark.parametrize(
+    "name, want",
+    [
+        ("Ely Public Radio", "1"), ("Spfld Public Radio", "2"), ("St. Louis Symphony", "3"), ("Northampton Jazz Soc.", "4"), ("Jazz Society, Northamptom", "4"), ("N. Jazz Society", "4"),
+        ("Urumqi Trd Guild", "5"), ("Public Radio", None), ("N. J. S.", "4"), ("Society Radio", "6"), ("Louisville Symphony", None), ("Springvale Public Radio", None),
+    ],
+)
+def test_names_of_another_roster(name, want):
+    assert Roster(FOREIGN).resolve(name) == want
+
+
+def test_generic_words_are_learned():
+    rows = [(str(i), f"{a}ville {b} {c} Orchestra", None, None) for i, (a, b, c) in enumerate(itertools.product("Zon Kar Mip Dul Fet".split(), "Marsh Cliff".split(), "City Youth".split()))]
+    roster = Roster([*rows, ("plain", "City Youth Orchestra", None, None)])
+    assert roster.words.common == {"marsh", "cliff", "city", "youth", "orchestra"} and roster.words.features == {"marsh", "cliff"}
+    assert roster.resolve("Zonville Mrsh Yth Orch.") == "1" and roster.resolve("Youth City Orchestra") == "plain" and roster.resolve("Zonville City Orchestra") is None
+
+
 def test_rows_of_one_organisation(roster):
     assert {s: roster.find(s) for s in roster.root} == {"a-dal": "a-dal", "b-dal": "a-dal", "c-dal": "c-dal", "d-tor": "d-tor", "e-tor": "e-tor"}
 
@@ -45,9 +69,10 @@ def test_delete_neighbourhood_finds_all_within_one_edit():
 
 
 def test_assignment_is_optimal():
-    cost, used = align(["pub", "rad"], ["public", "radio", "network"])
+    words = Words([["x", "public", "radio", "network"]] * 20)
+    cost, used = align(["pub", "rad"], ["public", "radio", "network"], words.cost)
     assert cost == pytest.approx(0.2) and used == 0b011
-    assert align(["radio", "radio"], ["radio"])[0] == float("inf")
+    assert align(["radio", "radio"], ["radio"], words.cost)[0] == float("inf")
     assert fold("Z.V.P.R. B'casting") == ["zvpr", "bcasting"]
 
 
