@@ -2,10 +2,12 @@
 
 Three things are found and undone:
 
-* lines of the page itself - page numbers and running headings - by a linear conditional model
-  over the lines of a text: layout features give each line its scores, transitions tie
-  neighbours, Viterbi decoding picks the best labelling. The model is trained here, on at most
-  ``TRAIN_DOCS`` texts without page marks that are typeset into pages with known marks;
+* what each line is - a page's number, a running heading, a break (the first line of a paragraph) or
+  body that goes on - by a linear-chain conditional model over the lines of a text: layout features
+  give each line its scores, transitions tie neighbours, Viterbi decoding picks the best labelling.
+  The model is trained here, as a chain, on at most ``4 * TRAIN_DOCS`` texts of which those without page
+  marks are typeset into pages with known marks, under headings made of the texts' own words;
+  paragraphs are put together by its breaks;
 * words cut by a line's end, told from compounds by how the whole corpus writes them;
 * misread words, by a noisy channel: undoing one of the known confusions of characters must lead
   to a word the corpus knows far better or whose letters are far likelier.
@@ -23,13 +25,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
-from functools import lru_cache
-from operator import ne
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,8 @@ TRAIN_DOCS = 300
 MAP_BITS = 26
 #: Letters of the grams that tell likely words from unlikely ones.
 GRAM = 4
+#: Share of all grams under which one says nothing (the score adds 0.05e-6 to each share).
+LEAST_SHARE = 1e-8
 
 #: Characters and what a scan makes of them.
 CONFUSIONS = (
@@ -52,7 +56,8 @@ _EDGES = ".,;:?!“”\"()[]‘’'«»"
 _PAGE = re.compile(r"^\s*(?P<a>page\s+|pg?\.\s*|[-–—]\s*|\[\s*)?(?P<n>[\dlIO]{1,4})(?P<of>\s+of\s+[\dlIO]{1,4})?(?P<z>\s*[-–—]|\s*\]|\.)?\s*$", re.I)
 _NUMBERED = re.compile(r"^\s*(?:(?P<n1>[\dlIO]{1,4})\s{2,}(?P<h1>\S.*?)|(?P<h2>\S.*?)\s{2,}(?P<n2>[\dlIO]{1,4}))\s*$")
 _BROKEN = re.compile(rf"(\S*[^\W\d_])[{HYPHENS}]\s*$")
-LABELS = ("body", "running_line", "page_number")
+LABELS = ("body", "break", "running_line", "page_number")
+PAGE_MARKS = ("running_line", "page_number")
 
 
 # -- lines of the page ----------------------------------------------------------------------------
@@ -61,87 +66,150 @@ def page_value(text: str) -> int | None:
     return int(text) if text.isdigit() else None
 
 
-def _line_facts(lines: list[str]) -> list[dict]:
-    """What a line shows by itself; blank lines and form feeds only mark gaps."""
-    out = []
-    for no, line in enumerate(lines):
-        bare = line.strip()
-        if not bare:
-            continue
-        page, numbered = _PAGE.match(line), _NUMBERED.match(line)
-        value = page_value(page["n"]) if page else None
-        if page and value is None:
-            page = None
-        head = (numbered["h1"] or numbered["h2"]) if numbered else bare
-        if numbered and value is None:
-            value = page_value(numbered["n1"] or numbered["n2"])
-        out.append(
-            {
-                "no": no, "text": bare, "raw": line.strip("\x0c\r\n"), "page": bool(page), "numbered": bool(numbered) and not page, "value": value,
-                "style": (bool(page["a"]), bool(page["of"]), bool(page["z"]), (len(line) - len(line.lstrip())) // 8) if page else None,
-                "key": re.sub(r"[^a-z]+", " ", head.lower()).strip() if not page else "",
-                "gap": no > 0 and not lines[no - 1].strip(), "next_gap": no + 1 < len(lines) and not lines[no + 1].strip(),
-                "feed": "\x0c" in line or (no > 0 and "\x0c" in lines[no - 1]) or (no > 1 and not lines[no - 1].strip() and "\x0c" in lines[no - 2]),
-                "feed_next": any("\x0c" in x for x in lines[no + 1 : no + 3]),
-            }
-        )
-    return out
+def _has(lines: pa.Array, pattern: str) -> np.ndarray:
+    return pc.match_substring_regex(lines, pattern).to_numpy(zero_copy_only=False)
+
+
+def _count(lines: pa.Array, pattern: str) -> np.ndarray:
+    return pc.count_substring_regex(lines, pattern).to_numpy(zero_copy_only=False)
+
+
+def _alike(key: pa.Array) -> pa.Array:
+    """Headings that a scan may have read a little differently, in one form: confusable characters are one."""
+    for right, wrong in CONFUSIONS:
+        if right.islower() and wrong.isascii() and wrong.isalpha() and wrong.islower() and len(wrong) >= len(right):
+            key = pc.replace_substring(key, wrong, right)
+    return key
+
+
+def _times(doc: np.ndarray, key: pa.Array) -> np.ndarray:
+    """How often each line's key stands in its text."""
+    code = pd.factorize(key.to_numpy(zero_copy_only=False))[0].astype(np.int64)
+    _, at, n = np.unique(doc * (code.max(initial=0) + 1) + code, return_inverse=True, return_counts=True)
+    return n[at]
 
 
-def _near(a: str, b: str) -> bool:
-    """Two headings that a scan may have read a little differently."""
-    return a == b or (len(a) == len(b) > 5 and sum(map(ne, a, b)) <= 2)
-
-
-def line_features(lines: list[str]) -> tuple[list[int], np.ndarray]:
-    """Numbers of the lines that say something, and a row of layout features for each."""
-    facts = _line_facts(lines)
-    n = len(facts)
-    if not n:
-        return [], np.zeros((0, N_FEATURES))
-    width = max(np.percentile([len(f["text"]) for f in facts], 90), 20)
-    numbers = [(i, f["value"], f["style"]) for i, f in enumerate(facts) if f["value"] is not None and "," not in f["text"]]
-    values = {}
-    for i, v, _ in numbers:
-        values.setdefault(v, []).append(i)
-    keys = Counter(f["key"] for f in facts if f["key"])
-    similar: dict[int, list[str]] = {}
-    for f in facts:
-        if 5 < len(f["key"]) < 80:
-            similar.setdefault(len(f["key"]), []).append(f["key"])
-    rows = []
-    for i, f in enumerate(facts):
-        t, prev, nxt = f["text"], facts[i - 1] if i else None, facts[i + 1] if i + 1 < n else None
-        letters = sum(map(str.isalpha, t))
-        words = re.findall(r"[^\W\d_]+", t)
-        chain_after = f["value"] is not None and any(j > i for j in values.get(f["value"] + 1, ()))
-        chain_before = f["value"] is not None and any(j < i for j in values.get(f["value"] - 1, ()))
-        repeated = keys[f["key"]] > 1 if f["key"] else False
-        if f["key"] and not repeated and len(f["key"]) < 80 and (f["numbered"] or t[-1] not in ".?!,;"):
-            repeated = sum(_near(f["key"], k) for k in similar.get(len(f["key"]), ())) > 1
-        open_before = prev is not None and prev["text"][-1] not in ".?!”\"" and not prev["page"]
-        lower_next = nxt is not None and nxt["text"][:1].islower()
-        by_page = any(x is not None and (x["page"] and (x["value"] or 0) < 1500) for x in (prev, nxt))
-        row = [
-            1.0, f["page"], f["page"] and f["value"] < 1500, f["page"] and (f["style"][0] or f["style"][2]), f["page"] and (chain_after or chain_before),
-            f["page"] and chain_after and chain_before, f["page"] and i == n - 1, f["page"] and f["gap"] and f["next_gap"], f["page"] and not f["gap"],
-            f["page"] and f["raw"] != f["text"], f["page"] and (f["feed_next"] or f["feed"]), f["page"] and 1500 <= f["value"] < 2100 and not f["style"][0],
-            f["numbered"], f["numbered"] and (chain_after or chain_before), not f["page"] and f["raw"].startswith("     "),
-            len(words) > 0 and all(w.isupper() for w in words), sum(w[:1].isupper() for w in words) >= 0.6 * max(len(words), 1) and len(words) > 1,
-            t[-1] in ".?!”\"", t[-1] in ",;:" or t[-1] in HYPHENS, len(t) < 0.75 * width, len(t) / width, not f["page"] and repeated, by_page and not f["page"],
-            f["feed"] and not f["page"], open_before, lower_next, f["gap"], f["next_gap"], f["gap"] and f["next_gap"], i == 0, i == n - 1,
-            letters < 0.5 * len(t), bool(re.match(r"(?i)(total|form)\b", t)) and any(c.isdigit() for c in t),
-            open_before and lower_next and t[-1] not in ".?!,;" and not f["page"] and t[:1].isupper(),
-            not f["page"] and repeated and sum(w[:1].isupper() for w in words) >= 0.5 * max(len(words), 1),
-            (f["numbered"] or repeated or by_page) and t[-1] not in ".?!,;",
-            not f["page"] and next((c.islower() for c in t if c.isalpha()), False), t.count(",") / 2, " - " in t, not f["page"] and (by_page or f["feed"] or f["feed_next"]),
-            f["numbered"] and t[-1] not in ".?!,;" and sum(w[:1].isupper() for w in words) >= 0.4 * max(len(words), 1),
+class Lines:
+    """The lines of some texts that say something: their text, their number in it, and a row of layout features each.
+
+    Blank lines and form feeds only mark gaps.
+    """
+
+    def __init__(self, texts: list[str]):
+        split = [t.split("\n") for t in texts]
+        size = np.fromiter(map(len, split), np.int64, len(split))
+        flat = pa.array(list(chain.from_iterable(split)), pa.string())
+        doc = np.repeat(np.arange(len(split)), size)
+        no = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+        left = np.repeat(size, size) - 1 - no
+        bare = pc.utf8_trim_whitespace(flat)
+        full, feed = pc.utf8_length(bare).to_numpy() > 0, _has(flat, "\x0c")
+
+        def near(flag: np.ndarray, by: int) -> np.ndarray:
+            """The flag of the line so many lines on, false beyond the text."""
+            out = np.zeros(len(flag), bool)
+            if by < 0:
+                out[-by:] = flag[:by]
+                return out & (no >= -by)
+            out[:-by] = flag[by:]
+            return out & (left >= by)
+
+        gap, next_gap = near(~full, -1), near(~full, 1)
+        after_feed = feed | near(feed, -1) | (gap & near(feed, -2))
+        feed_next = near(feed, 1) | near(feed, 2)
+        keep = np.flatnonzero(full)
+        self.texts, self.doc, self.no = len(texts), doc[keep], no[keep]
+        self.bare = bare.take(pa.array(keep))
+        self.raw = pc.utf8_trim(flat.take(pa.array(keep)), "\x0c\r\n")
+        self.features = self._features(gap[keep], next_gap[keep], after_feed[keep], feed_next[keep])
+
+    def _features(self, gap: np.ndarray, next_gap: np.ndarray, feed: np.ndarray, feed_next: np.ndarray) -> np.ndarray:
+        t, doc, n = self.bare, self.doc, len(self.doc)
+        if not n:
+            return np.zeros((0, N_FEATURES))
+        starts = np.r_[0, np.flatnonzero(np.diff(doc)) + 1]
+        first, last = np.zeros(n, bool), np.zeros(n, bool)
+        first[starts], last[np.r_[starts[1:], n] - 1] = True, True
+        before = lambda x: np.r_[False, x[:-1]] & ~first
+        behind = lambda x: np.r_[x[1:], False] & ~last
+        # Few lines look like a page's number or carry one; those are read one by one.
+        page, numbered, framed, value = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool), np.full(n, -1)
+        plain_page, head = np.zeros(n, bool), {}
+        for i in np.flatnonzero(_has(t, r"(?i)^(page\s+|pg?\.\s*|[-–—]\s*|\[\s*)?[\dlIO]{1,4}(\s+of\s+[\dlIO]{1,4})?(\s*[-–—]|\s*\]|\.)?$") | _has(t, r"^[\dlIO]{1,4}\s{2,}\S|\S\s{2,}[\dlIO]{1,4}$")):
+            line = t[i].as_py()
+            m, h = _PAGE.match(line), _NUMBERED.match(line)
+            v = page_value(m["n"]) if m else None
+            if v is not None:
+                page[i], framed[i], plain_page[i], value[i] = True, bool(m["a"] or m["z"]), not m["a"], v
+            elif h:
+                numbered[i], head[i] = True, h["h1"] or h["h2"]
+                value[i] = -1 if (v := page_value(h["n1"] or h["n2"])) is None else v
+        small = page & (value < 1500)
+        # Numbers that go on by one from page to page.
+        chained = (value >= 0) & ~_has(t, ",")
+        later, earlier = np.zeros(n, bool), np.zeros(n, bool)
+        at = np.flatnonzero(chained)
+        if len(at):
+            code = doc[at] * 20_000 + value[at]
+            uniq, where = np.unique(code, return_inverse=True)
+            high, low = np.full(len(uniq), -1), np.full(len(uniq), n)
+            np.maximum.at(high, where, at)
+            np.minimum.at(low, where, at)
+            for flag, step, reach, test in ((later, 1, high, np.greater), (earlier, -1, low, np.less)):
+                spot = np.minimum(np.searchsorted(uniq, code + step), len(uniq) - 1)
+                flag[at] = (uniq[spot] == code + step) & test(reach[spot], at)
+        length = pc.utf8_length(t).to_numpy()
+        order = np.lexsort((length, doc))
+        many = np.diff(np.r_[starts, n])
+        width = np.maximum(length[order][starts + ((many - 1) * 0.9).astype(int)], 20)[np.searchsorted(starts, np.arange(n), "right") - 1]
+        key = t
+        if head:
+            mark = np.zeros(n, bool)
+            mark[list(head)] = True
+            key = pc.replace_with_mask(t, pa.array(mark), pa.array([head[i] for i in sorted(head)], pa.string()))
+        key = pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(key), "[^a-z]+", " "))
+        said = (pc.utf8_length(key).to_numpy() > 0) & ~page
+        stops, full_stop = _has(t, r"[.?!,;]$"), _has(t, r"[.?!”\"]$")
+        repeated = said & (_times(doc, key) > 1)
+        some = np.flatnonzero(said & (length > 5) & (length < 90) & (numbered | ~stops))
+        repeated[some] |= _times(doc[some], _alike(key.take(pa.array(some)))) > 1
+        letters, words, caps = _count(t, r"\p{L}"), _count(t, r"\p{L}+"), _count(t, r"(?:^|[^\p{L}])\p{Lu}")
+        lower, upper = _has(t, r"^\p{Ll}"), _has(t, r"^\p{Lu}")
+        open_before = before(~full_stop & ~page)
+        lower_next = behind(lower)
+        by_page = before(small) | behind(small)
+        bent = pc.utf8_length(self.raw).to_numpy() != length
+        mostly = lambda part: caps >= part * np.maximum(words, 1)
+        ended = before(full_stop)
+        short_before = before(length < 0.75 * width)
+        marked = before(page | numbered | (repeated & ~stops))
+        columns = [
+            np.ones(n, bool), page, small, page & framed, page & (later | earlier), page & later & earlier, page & last, page & gap & next_gap, page & ~gap,
+            page & bent, page & (feed_next | feed), page & (value >= 1500) & (value < 2100) & plain_page, numbered, numbered & (later | earlier), ~page & _has(self.raw, "^     "),
+            (words > 0) & ~_has(t, r"\p{Ll}"), mostly(0.6) & (words > 1), full_stop, _has(t, rf"[,;:{HYPHENS}]$"), length < 0.75 * width, length / width, repeated, by_page & ~page,
+            feed & ~page, open_before, lower_next, gap, next_gap, gap & next_gap, first, last, letters < 0.5 * length, _has(t, r"(?i)^(total|form)\b.*\d"),
+            open_before & lower_next & ~stops & ~page & upper, repeated & mostly(0.5), (numbered | repeated | by_page) & ~stops, ~page & _has(t, r"^[^\p{L}]*\p{Ll}"), _count(t, ",") / 2, _has(t, " - "),
+            ~page & (by_page | feed | feed_next), numbered & ~stops & mostly(0.4), ended, gap & ended, gap & ~ended, gap & lower, gap & upper & ended, short_before, gap & short_before, marked, marked & gap, marked & ended & upper,
         ]
-        rows.append([float(x) for x in row])
-    return [f["no"] for f in facts], np.array(rows)
+        return np.stack([np.asarray(c, np.float64) for c in columns], axis=1)
+
+    def sequences(self, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of lines of texts of about one length, padded with -1, and the texts' numbers of lines."""
+        starts = np.r_[0, np.flatnonzero(np.diff(self.doc)) + 1] if len(self.doc) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[starts, len(self.doc)])
+        order = np.argsort(size, kind="stable")
+        lo = 0
+        while lo < len(order):
+            hi = lo + 1
+            while hi < len(order) and (hi + 1 - lo) * size[order[hi]] <= most:
+                hi += 1
+            some, longest = order[lo:hi], size[order[hi - 1]]
+            rows = starts[some][:, None] + np.arange(longest)
+            yield np.where(np.arange(longest) < size[some][:, None], rows, -1), size[some]
+            lo = hi
 
 
-N_FEATURES = 41
+N_FEATURES = 51
 
 
 class LineModel:
@@ -151,49 +219,107 @@ class LineModel:
         self.weights, self.pairs = weights, pairs
 
     @classmethod
-    def train(cls, texts: list[tuple[list[str], dict[int, str]]], rounds: int = 25) -> LineModel:
-        """Maximum likelihood by Newton's method for the weights, counts for the pairs."""
-        xs, ys, pairs = [], [], np.ones((len(LABELS), len(LABELS)))
-        for lines, truth in texts:
-            at, x = line_features(lines)
-            y = [LABELS.index(truth.get(no, "body")) for no in at]
-            xs.append(x)
-            ys += y
-            for a, b in zip(y, y[1:]):
-                pairs[a, b] += 1
-        x, y, k = np.concatenate(xs), np.array(ys), len(LABELS)
-        target, w, ridge = np.eye(k)[y], np.zeros((x.shape[1], k)), 0.3
-        for _ in range(rounds):
-            z = x @ w
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            grad = x.T @ (p - target) + ridge * w
-            h = np.block([[x.T @ (x * (p[:, i] * ((i == j) - p[:, j]))[:, None]) for j in range(k)] for i in range(k)])
-            step = np.linalg.solve(h + ridge * np.eye(len(h)), grad.T.ravel()).reshape(k, -1).T
-            w = w - step
-            if np.abs(step).max() < 1e-3:
-                break
-        prior = np.log(pairs / pairs.sum(axis=1, keepdims=True)) - np.log(pairs.sum(axis=0) / pairs.sum())
-        return cls(w, 0.5 * prior)
+    def train(cls, texts: list[tuple[list[str], dict[int, str]]], rounds: int = 60, ridge: float = 0.3) -> LineModel:
+        """Greatest likelihood of whole labellings: forward-backward expectations, steps of limited-memory quasi-Newton."""
+        lines = Lines(["\n".join(x) for x, _ in texts])
+        y = np.array([LABELS.index(texts[d][1].get(i, "body")) for d, i in zip(lines.doc.tolist(), lines.no.tolist())], np.int64)
+        x, k = lines.features, len(LABELS)
+        batches = [(rows, np.where(rows >= 0, y[rows], 0)) for rows, _ in lines.sequences(1 << 14)]
+        seen, pair_seen = np.zeros((x.shape[1], k)), np.zeros((k, k))
+        np.add.at(seen.T, y, x)
+        for rows, gold in batches:
+            both = rows[:, 1:] >= 0
+            np.add.at(pair_seen, (gold[:, :-1][both], gold[:, 1:][both]), 1)
+
+        def loss(theta: np.ndarray) -> tuple[float, np.ndarray]:
+            w, pairs = theta[: seen.size].reshape(seen.shape), theta[seen.size :].reshape(k, k)
+            score, total = x @ w, ridge / 2 * float(theta @ theta)
+            chance, pair_chance = np.zeros((len(x), k)), np.zeros((k, k))
+            for rows, gold in batches:
+                n, span = rows.shape
+                s, here = score[rows], rows >= 0
+                ahead = np.zeros((span, n, k))
+                ahead[0] = s[:, 0]
+                for i in range(1, span):
+                    step = _log_sum(ahead[i - 1][:, :, None] + pairs[None], 1) + s[:, i]
+                    ahead[i] = np.where(here[:, i, None], step, ahead[i - 1])
+                back, log_z = np.zeros((n, k)), _log_sum(ahead[-1], 1)
+                total += float(log_z.sum()) - float(s[here][np.arange(here.sum()), gold[here]].sum()) - float(pairs[gold[:, :-1], gold[:, 1:]][here[:, 1:]].sum())
+                for i in range(span - 1, -1, -1):
+                    p = np.exp(ahead[i] + back - log_z[:, None])
+                    chance[rows[here[:, i], i]] = p[here[:, i]]
+                    if i:
+                        tail = s[:, i] + back
+                        both = ahead[i - 1][:, :, None] + pairs[None] + tail[:, None, :] - log_z[:, None, None]
+                        pair_chance += np.exp(both[here[:, i]]).sum(axis=0)
+                        back = np.where(here[:, i, None], _log_sum(pairs[None] + tail[:, None, :], 2), back)
+            grad = np.r_[(x.T @ chance - seen).ravel(), (pair_chance - pair_seen).ravel()] + ridge * theta
+            return total, grad
+
+        theta = _minimised(loss, np.zeros(seen.size + k * k), rounds)
+        return cls(theta[: seen.size].reshape(seen.shape), theta[seen.size :].reshape(k, k))
+
+    def label_texts(self, texts: list[str]) -> list[dict[int, str]]:
+        """Labels of each text's lines that aren't plain body, by line number from 0."""
+        lines = Lines(texts)
+        out: list[dict[int, str]] = [{} for _ in texts]
+        score = lines.features @ self.weights
+        state = np.zeros(len(score), np.int64)
+        for rows, size in lines.sequences():
+            s, span = score[rows], rows.shape[1]
+            best, came = s[:, 0], np.zeros((span, len(rows), len(LABELS)), np.int8)
+            for i in range(1, span):
+                way = best[:, :, None] + self.pairs[None]
+                came[i] = way.argmax(axis=1)
+                best = np.where((i < size)[:, None], way.max(axis=1) + s[:, i], best)
+            at = best.argmax(axis=1)
+            for i in range(span - 1, -1, -1):
+                here = i < size
+                state[rows[here, i]] = at[here]
+                at = np.where(here, came[i][np.arange(len(rows)), at], at)
+        marked = np.flatnonzero(state)
+        for d, no, x in zip(lines.doc[marked].tolist(), lines.no[marked].tolist(), state[marked].tolist()):
+            out[d][no] = LABELS[x]
+        return out
 
     def label(self, lines: list[str]) -> dict[int, str]:
-        """Labels of the lines that aren't body, by line number from 0."""
-        at, x = line_features(lines)
-        if not at:
-            return {}
-        score = (x @ self.weights).tolist()
-        pairs, k = self.pairs.tolist(), range(len(LABELS))
-        best, back = score[0], []
-        for s in score[1:]:
-            come = [max(k, key=lambda i, j=j: best[i] + pairs[i][j]) for j in k]
-            back.append(come)
-            best = [best[come[j]] + pairs[come[j]][j] + s[j] for j in k]
-        state = max(k, key=best.__getitem__)
-        path = [state]
-        for b in reversed(back):
-            state = b[state]
-            path.append(state)
-        return {no: LABELS[s] for no, s in zip(at, reversed(path)) if s}
+        return self.label_texts(["\n".join(lines)])[0]
+
+
+def _log_sum(a: np.ndarray, axis: int) -> np.ndarray:
+    top = a.max(axis=axis, keepdims=True)
+    return np.log(np.exp(a - top).sum(axis=axis)) + top.squeeze(axis)
+
+
+def _minimised(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], at: np.ndarray, rounds: int, memory: int = 10) -> np.ndarray:
+    """The point of least loss, by limited-memory quasi-Newton steps with halving."""
+    value, grad = loss(at)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        way, used = grad.copy(), []
+        for s, y in reversed(steps):
+            used.append(s @ way / (s @ y))
+            way -= used[-1] * y
+        way *= steps[-1][0] @ steps[-1][1] / (steps[-1][1] @ steps[-1][1]) if steps else 1 / max(np.abs(grad).sum(), 1e-9)
+        for (s, y), a in zip(steps, reversed(used)):
+            way += (a - y @ way / (s @ y)) * s
+        size = 1.0
+        while size > 1e-6:
+            there = at - size * way
+            new, slope = loss(there)
+            if new <= value - 1e-4 * size * (grad @ way):
+                break
+            size /= 2
+        else:
+            break
+        s, y = there - at, slope - grad
+        if s @ y > 1e-10:
+            steps = [*steps[1 - memory :], (s, y)]
+        done = value - new < 1e-5 * abs(value)
+        at, value, grad = there, new, slope
+        if done:
+            break
+    return at
 
 
 def looks_unpaged(text: str) -> bool:
@@ -202,12 +328,27 @@ def looks_unpaged(text: str) -> bool:
     return "\x0c" not in text and not any(_NUMBERED.match(x) and len(x.strip()) > 8 for x in lines) and not any((m := _PAGE.match(x)) and (page_value(m["n"]) or 0) < 1500 for x in lines)
 
 
+def paragraph_starts(lines: list[str]) -> set[int]:
+    """Where the paragraphs of an unpaged text begin: after blank lines that don't cut a sentence."""
+    out, before, gap = set(), "", True
+    for no, line in enumerate(lines):
+        bare = line.strip()
+        if not bare:
+            gap = True
+            continue
+        if gap and not (before and before[-1] not in ".?!:”\"" and bare[0].islower()):
+            out.add(no)
+        before, gap = bare, False
+    return out
+
+
 def typeset(text: str, heading: str, rng: np.random.Generator) -> tuple[list[str], dict[int, str]]:
     """A text set into pages with numbers and headings in one of the usual styles, and their labels."""
     body = text.split("\n")
+    starts = paragraph_starts(body)
     height, page = int(rng.integers(14, 34)), int(rng.integers(1, 45))
     style, head_style, wide = int(rng.integers(0, 8)), int(rng.integers(0, 8)), max(map(len, body), default=60)
-    feed, numbers, heads = rng.random() < 0.3, rng.random() < 0.85, rng.random() < 0.7
+    feed, numbers, heads, loose = rng.random() < 0.3, rng.random() < 0.85, rng.random() < 0.7, rng.random() < 0.3
     upper, often = rng.random() < 0.5, rng.choice([0.3, 0.6, 0.95])
     out: list[str] = []
     truth: dict[int, str] = {}
@@ -235,7 +376,13 @@ def typeset(text: str, heading: str, rng: np.random.Generator) -> tuple[list[str
             add(name, "running_line")
             if rng.random() < 0.3:
                 out.append("")
-        out += body[at : at + height]
+        for no in range(at, min(at + height, len(body))):
+            if no in starts:
+                add(body[no], "break")
+                continue
+            if loose and body[no].strip() and rng.random() < 0.03:
+                out.append("")
+            out.append(body[no])
         at += height
         if numbers and not (heads and head_style > 3):
             v = digits(page)
@@ -249,19 +396,38 @@ def typeset(text: str, heading: str, rng: np.random.Generator) -> tuple[list[str
     return out, truth
 
 
+def heading_of(text: str, rng: np.random.Generator) -> str:
+    """A heading made of a text's own words: some of them as a title, with a name or a year at times."""
+    words = re.findall(r"[^\W\d_]{3,}", text) or ["Record", "Report"]
+    title = [str(w) for w in rng.choice(words, int(rng.integers(1, 6)))]
+    plain = " ".join(title).lower().capitalize()
+    title = " ".join(w.capitalize() if i == 0 or rng.random() < 0.8 else w.lower() for i, w in enumerate(title))
+    names = re.findall(r"[A-Z][a-z]+(?: [A-Z][a-z]+){1,4}", text) or [title]
+    name = max(rng.choice(names, 3), key=len) if rng.random() < 0.7 else rng.choice(names)
+    kind = rng.random()
+    if kind < 0.3:
+        return f"{name} - {title}"
+    if kind < 0.45:
+        return str(name)
+    if kind < 0.6:
+        return f"{title} {rng.integers(1990, 2030)}" + (" " + title.split()[0] if kind < 0.52 else "")
+    if kind < 0.7:
+        return f"{title} {rng.choice(['January', 'June', 'September'])} {rng.integers(1, 29)}, {rng.integers(1990, 2030)}"
+    return plain if kind < 0.85 else title
+
+
 _SPARE = "The committee reviewed the filing and restated the reserve before the fiscal year closed, as part of a broader plan."
 
 
 def train_model(texts: list[str], seed: int = 5) -> LineModel:
     """The model trained on unpaged texts set into pages; a stock paragraph stands in where there are none."""
     rng = np.random.default_rng(seed)
-    headings = ("Notes to Financial Statements", "Fiscal Year 2020 Report", "Independent Auditor's Report", "Year ended June 30, 2021", "Confidential draft", "{} - Notes to Financial Statements", "{}")
     plain = [t for t in texts if looks_unpaged(t)] or ["\n".join([_SPARE[:60], _SPARE[60:], "", "Total  $4,120", ""] * 12)]
     made = []
     for i in range(2 * TRAIN_DOCS):
         text = plain[i % len(plain)]
-        caps = re.findall(r"[A-Z][a-z]+ [A-Z][a-z]+(?: [A-Z][a-z]+)*", text) or ["Public Radio"]
-        made.append(typeset(text, str(rng.choice(headings)).format(str(rng.choice(caps)) + " Public Media"), rng) if i % 5 else (text.split("\n"), {}))
+        lines = text.split("\n")
+        made.append(typeset(text, heading_of(text, rng), rng) if i % 5 else (lines, dict.fromkeys(paragraph_starts(lines), "break")))
     return LineModel.train(made)
 
 
@@ -279,7 +445,7 @@ def countable(lines: list[str]) -> Iterator[str]:
             continue
         first = 1 if cut else 0
         cut = bool(_BROKEN.search(line))
-        yield from (w for w in map(bare_word, tokens[first : len(tokens) - cut]) if w and len(w) <= 40)
+        yield from (w for w in map(bare_word, tokens[first : len(tokens) - cut]) if w)
 
 
 def vocabulary(df: DataFrame) -> DataFrame:
@@ -368,8 +534,11 @@ def misread_words(spark: SparkSession, words: DataFrame) -> DataFrame:
         if total:
             yield pd.DataFrame({"g": list(total), "n": list(total.values())})
 
-    # Grams of letters: their number is bounded by the alphabet, whatever the corpus.
-    counted = words.mapInPandas(gram_counts, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(300_000).toPandas()
+    # Grams of letters are bounded by the alphabet; those of a share that can't weigh in a score are left out,
+    # so there are at most 1 / LEAST_SHARE of them, whatever the corpus and the alphabet.
+    counted = staged(spark, words.mapInPandas(gram_counts, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")), "grams")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    counted = counted.where(F.col("n") >= total * LEAST_SHARE).toPandas()
     letters = shared_object(spark, Letters(dict(zip(counted["g"], counted["n"].astype(int)))))
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -429,22 +598,17 @@ def publish_map(spark: SparkSession, words: DataFrame) -> str:
 # -- texts ----------------------------------------------------------------------------------------
 def broken_parts(lines: list[str], labels: dict[int, str]) -> list[tuple[int, str, str]]:
     """Body lines that end in a hyphen: line number from 0, the half word there and the one that follows."""
-    out, body = [], [i for i, x in enumerate(lines) if x.strip() and i not in labels]
+    out, body = [], [i for i, x in enumerate(lines) if labels.get(i) not in PAGE_MARKS and x.strip()]
     for i, nxt in zip(body, body[1:]):
-        m = _BROKEN.search(lines[i])
-        follow = bare_word(lines[nxt].split()[0])
-        if m and follow[:1].islower():
-            out.append((i, m.group(1).lstrip(_EDGES), follow))
+        if (end := lines[i].rstrip())[-1] in HYPHENS and (m := _BROKEN.search(end)):
+            follow = bare_word(lines[nxt].split()[0])
+            if follow[:1].islower():
+                out.append((i, m.group(1).lstrip(_EDGES), follow))
     return out
 
 
-def _read_text(text: str, model: LineModel) -> tuple[list[str], dict[int, str]]:
-    lines = text.split("\n")
-    return lines, model.label(lines)
-
-
 def page_noise(spark: SparkSession, df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, line_no, noise_kind, typed, meant`` of all noise (lines from 1), and the texts it was read from.
+    """``doc_id, line_no, noise_kind, typed, meant`` of all noise and breaks (lines from 1), and the texts it was read from.
 
     ``typed, meant`` of a broken word are its halves, of a misread word what stands there and what is meant.
     """
@@ -460,27 +624,33 @@ def page_noise(spark: SparkSession, df: DataFrame, id_col: str, text_col: str) -
 
         bits, lines_of = np.memmap(local_copy(uri), np.uint8, "r"), model()
 
-        @lru_cache(maxsize=300_000)
         def suspected(word: str) -> bool:
             cell = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42) & ((1 << MAP_BITS) - 1)
             return bool(bits[cell >> 3] >> (7 - (cell & 7)) & 1)
 
+        told: dict[str, bool] = {}
         for pdf in batches:
             rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                lines, labels = _read_text(text, lines_of)
-                rows += [(doc, no + 1, kind, None, None) for no, kind in labels.items()]
-                broken = broken_parts(lines, labels)
-                rows += [(doc, no + 1, "broken_word", a, b) for no, a, b in broken]
-                for no, line in enumerate(lines):
-                    if no not in labels:
-                        rows += [(doc, no + 1, "misread", w, None) for w in {bare_word(t) for t in line.split()} if w and suspected(w)]
+            for lo in range(0, len(pdf), 500):
+                docs, some = pdf["doc_id"].iloc[lo : lo + 500].tolist(), pdf["text"].iloc[lo : lo + 500].tolist()
+                for doc, text, labels in zip(docs, some, lines_of.label_texts(some)):
+                    lines = text.split("\n")
+                    rows += [(doc, no + 1, kind, None, None) for no, kind in labels.items()]
+                    rows += [(doc, no + 1, "broken_word", a, b) for no, a, b in broken_parts(lines, labels)]
+                    # Each word is looked up once; a text is gone through by lines only if it has a suspected one.
+                    words = {bare_word(t) for t in text.split()}
+                    if len(told) > 1_000_000:
+                        told.clear()
+                    told.update((w, suspected(w)) for w in words if w not in told)
+                    odd = {w for w in words if w and told[w]}
+                    if odd:
+                        rows += [(doc, no + 1, "misread", w, None) for no, line in enumerate(lines) if labels.get(no) not in PAGE_MARKS for w in odd & {bare_word(t) for t in line.split()}]
             if rows:
                 yield pd.DataFrame(rows, columns=["doc_id", "line_no", "noise_kind", "typed", "rest"])
 
     noise = staged(spark, texts.mapInPandas(find, "doc_id string, line_no int, noise_kind string, typed string, rest string"), "noise")
     none = F.lit(None).cast("string")
-    lines = noise.where(F.col("noise_kind").isin("page_number", "running_line")).select("doc_id", "line_no", "noise_kind", none.alias("typed"), none.alias("meant"))
+    lines = noise.where(F.col("noise_kind").isin("page_number", "running_line", "break")).select("doc_id", "line_no", "noise_kind", none.alias("typed"), none.alias("meant"))
     # A compound keeps its hyphen if the corpus writes it with one more often than without.
     halves = noise.where("noise_kind = 'broken_word'").withColumn("joined", F.concat("typed", "rest")).withColumn("hyphened", F.concat_ws("-", "typed", "rest"))
     count = lambda name, n: words.select(F.lower("word").alias(name), "n").groupBy(name).agg(F.sum("n").alias(n))
@@ -494,14 +664,14 @@ def page_noise(spark: SparkSession, df: DataFrame, id_col: str, text_col: str) -
 
 
 def noise_lines(noise: DataFrame) -> DataFrame:
-    """``doc_id, line_no, noise_kind``: one row a line and kind."""
-    return noise.select("doc_id", "line_no", "noise_kind").distinct()
+    """``doc_id, line_no, noise_kind``: one row a line and kind; breaks are no noise."""
+    return noise.where("noise_kind <> 'break'").select("doc_id", "line_no", "noise_kind").distinct()
 
 
 def readable_paragraphs(noise: DataFrame, texts: DataFrame) -> DataFrame:
     """``doc_id, paragraph_no, paragraph``: the texts without their page marks, words whole and corrected.
 
-    A paragraph that a page interrupts goes on after it.
+    A paragraph goes on, over pages too, until a line that the model calls a break.
     """
     marks = noise.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "noise_kind", "typed", "meant")).alias("marks"))
 
@@ -518,18 +688,18 @@ def readable_paragraphs(noise: DataFrame, texts: DataFrame) -> DataFrame:
 
 def paragraphs_of(text: str, marks) -> list[str]:
     """The paragraphs of one text, given the marks of its noise."""
-    page = {m["line_no"] for m in marks if m["noise_kind"] in ("page_number", "running_line")}
+    page = {m["line_no"] for m in marks if m["noise_kind"] in PAGE_MARKS}
+    breaks = {m["line_no"] for m in marks if m["noise_kind"] == "break"}
     broken = {m["line_no"] for m in marks if m["noise_kind"] == "broken_word"}
     fixes: dict[int, dict[str, str]] = {}
     for m in marks:
         if m["noise_kind"] == "misread":
             fixes.setdefault(m["line_no"], {})[m["typed"]] = m["meant"]
     out: list[str] = []
-    part, gap, paged, join = "", False, False, False
+    part, join = "", False
     for no, line in enumerate(text.split("\n"), 1):
         body = line.strip()
         if not body or no in page:
-            gap, paged = gap or not body, paged or no in page or "\x0c" in line
             continue
         tokens = body.split()
         for i, t in enumerate(tokens):
@@ -537,9 +707,7 @@ def paragraphs_of(text: str, marks) -> list[str]:
             if w in fixes.get(no, {}):
                 tokens[i] = t.replace(w, fixes[no][w])
         body = " ".join(tokens)
-        # A page's marks between two lines leave the paragraph open unless its sentence ended or a new one begins.
-        goes_on = part and (join or not gap or (paged and part[-1] not in ".?!”" and (body[0].islower() or body[0] in "$(“" or body[0].isdigit() or part[-1].isalnum() or part[-1] == ",")))
-        if goes_on:
+        if part and (join or no not in breaks):
             part = part + ("" if join or part.endswith("-") else " ") + body
         else:
             if part:
@@ -548,5 +716,4 @@ def paragraphs_of(text: str, marks) -> list[str]:
         join = no in broken
         if join:
             part = re.sub(rf"[{HYPHENS}]\s*$", "", part)
-        gap = paged = False
     return [*out, part] if part else out
