@@ -2,72 +2,77 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from newsloom.functions.text import any_of, bounded, tokens
+from newsloom.functions.text import any_of, bounded, collapse, tokens
 from newsloom.functions.vectors import cosine
 
 
 # -- chunking -------------------------------------------------------------------------------------
-def window_chunks(text: str, size: int, overlap: int, least: int = 300) -> list[str]:
-    """Windows of ``size`` characters cut back to a blank, each beginning ``overlap`` before the last one's end."""
-    text = " ".join(text.split())
-    out, at = [], 0
-    while at < len(text):
-        end = min(at + size, len(text))
-        if end < len(text):
-            blank = text.rfind(" ", at, end)
-            if blank > at + least:
-                end = blank
-        piece = text[at:end].strip()
-        if piece:
-            out.append(piece)
-        if end == len(text):
-            break
-        at = max(end - overlap, 0)
-    return out
-
-
-def paragraph_chunks(text: str, size: int = 700) -> list[str]:
-    """Paragraphs, packed sentence by sentence where they are longer than ``size``."""
-    import re
-
-    out: list[str] = []
-    for para in re.split(r"\n\s*\n", text):
-        para = " ".join(para.split())
-        if not para:
-            continue
-        if len(para) <= size:
-            out.append(para)
-            continue
-        held = ""
-        for s in re.split(r"(?<=[.!?])\s+", para):
-            if held and len(held) + 1 + len(s) > size:
-                out.append(held)
-                held = s
-            else:
-                held = f"{held} {s}".strip()
-        if held:
-            out.append(held)
-    return out
-
-
-def chunk_texts(df: DataFrame, id_col: str, text_col: str, cutter=window_chunks, **options) -> DataFrame:
-    """``id, chunk_index, content`` of all texts; null and empty texts have no chunks."""
+def window_spans(length: int, blanks: Sequence[int], size: int, overlap: int, least: int) -> Iterator[tuple[int, int]]:
+    """Spans of at most ``size``, each but the last ending at the last blank that leaves it over ``least`` characters.
+
+    ``blanks``: the sorted positions of the blanks. A span starts ``overlap`` before the end of the one before.
+    """
+    start = 0
+    while length - start > size:
+        last = bisect_left(blanks, start + size) - 1
+        stop = blanks[last] if last >= 0 and blanks[last] - start > least else start + size
+        yield start, stop
+        start = max(0, stop - overlap)
+    yield start, length
+
+
+def window_chunks(df: DataFrame, id_col: str, text_col: str, size: int = 1_400, overlap: int = 220, least: int = 300) -> DataFrame:
+    """``id, chunk_index, content``: overlapping windows over texts with their white space collapsed.
+
+    White space is collapsed in the JVM; Python only finds the spans. Null, empty and blank texts have no
+    chunks; a chunk that is blank has no row. ``overlap`` must be under ``least``, or windows would not advance.
+    """
+    if not 0 <= overlap < least < size:
+        raise ValueError("0 <= overlap < least < size is needed")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(i, k, c) for i, t in zip(pdf.iloc[:, 0], pdf.iloc[:, 1]) for k, c in enumerate(cutter(t, **options))]
-            if rows:
-                yield pd.DataFrame(rows, columns=[id_col, "chunk_index", "content"])
+            owner, place, content = [], [], []
+            for i, text in zip(pdf[id_col], pdf["_text"]):
+                blanks = [m.start() for m in re.finditer(" ", text)] if len(text) > size else ()
+                pieces = [c for c in (text[a:b].strip(" ") for a, b in window_spans(len(text), blanks, size, overlap, least)) if c]
+                owner += [i] * len(pieces)
+                place += range(len(pieces))
+                content += pieces
+            yield pd.DataFrame({id_col: pd.Series(owner, dtype=pdf[id_col].dtype), "chunk_index": np.array(place, np.int32), "content": pd.Series(content, dtype=object)})
+
+    rows = df.where(F.col(text_col).isNotNull()).select(id_col, collapse(text_col).alias("_text"))
+    return rows.mapInPandas(cut, f"{id_col} {dict(df.dtypes)[id_col]}, chunk_index int, content string")
+
+
+def packed_paragraphs(text: Column | str, size: int = 700) -> Column:
+    """The paragraphs of a text in order; longer ones as runs of whole sentences of at most ``size`` where sentences allow."""
+    paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), collapse), lambda p: p != "")
+    fits = lambda held, s: F.length(held) + 1 + F.length(s) <= size
+
+    def add(done: Column, s: Column) -> Column:
+        """The last run grows by the sentence if it may; else the sentence begins a run."""
+        last = F.element_at(done, -1)
+        grown = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.concat(last, F.lit(" "), s)))
+        return F.when(F.size(done) == 0, F.array(s)).when(fits(last, s), grown).otherwise(F.concat(done, F.array(s)))
+
+    runs = lambda p: F.aggregate(F.split(p, r"(?<=[.!?])\s+"), F.array().cast("array<string>"), add)
+    return F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(runs(p))))
+
 
-    kind = dict(df.dtypes)[id_col]
-    return df.where(F.col(text_col).isNotNull()).select(id_col, text_col).mapInPandas(cut, f"{id_col} {kind}, chunk_index int, content string")
+def paragraph_chunks(df: DataFrame, id_col: str, text_col: str, size: int = 700) -> DataFrame:
+    """``id, chunk_index, content``: all in the JVM; texts without a paragraph have no row."""
+    return df.select(id_col, F.posexplode(packed_paragraphs(F.col(text_col), size)).alias("chunk_index", "content"))
 
 
 # -- lexical and vector branches ------------------------------------------------------------------

@@ -88,12 +88,17 @@ r(doc_id,c,n,idx,s,e) AS (
   FROM (SELECT doc_id,c,n,idx, greatest(0,e-220) AS s2, substring(c, greatest(0,e-220)+1, 1400) AS w FROM r WHERE e<n))
 SELECT doc_id, CAST(idx AS INTEGER) AS chunk_index, trim(substring(c, s+1, e-s)) AS content FROM r""")
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
-    return R.chunk_texts(table(spark, d, "documents"), "doc_id", "text", size=1400, overlap=220)
+    return R.window_chunks(table(spark, d, "documents"), "doc_id", "text", size=1400, overlap=220)
 
 
-@C.query()
+@C.query(r"""WITH RECURSIVE p AS (SELECT id, generate_subscripts(ps, 1) AS pi, trim(regexp_replace(unnest(ps), '[\s\x{00A0}]+', ' ', 'g')) AS para FROM (SELECT id, string_split_regex(text, '\n\s*\n') AS ps FROM articles WHERE text IS NOT NULL)),
+s AS (SELECT id, pi, CASE WHEN length(para) <= 700 THEN [para] ELSE string_split(regexp_replace(para, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) END AS ss FROM p WHERE para <> ''),
+r(id, pi, ss, i, held, done) AS (SELECT id, pi, ss, 1, ss[1], CAST(NULL AS VARCHAR) FROM s
+ UNION ALL SELECT id, pi, ss, i + 1, CASE WHEN length(held) + 1 + length(ss[i + 1]) <= 700 THEN held || ' ' || ss[i + 1] ELSE ss[i + 1] END, CASE WHEN length(held) + 1 + length(ss[i + 1]) <= 700 THEN NULL ELSE held END FROM r WHERE i < len(ss)),
+o AS (SELECT id, pi, i, 0 AS final, done AS content FROM r WHERE done IS NOT NULL UNION ALL SELECT id, pi, i, 1, held FROM r WHERE i = len(ss))
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY pi, i, final) - 1 AS INTEGER) AS chunk_index, content FROM o""")
 def paragraph_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return R.chunk_texts(table(spark, d, "articles"), "id", "text", cutter=R.paragraph_chunks)
+    return R.paragraph_chunks(table(spark, d, "articles"), "id", "text")
 
 
 @C.query("""SELECT source, count(*) AS n_docs, count(text) AS n_texts, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY source""")

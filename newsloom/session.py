@@ -55,15 +55,28 @@ def shared_dir(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not found.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="newsloom-shared-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; ``discard_staged`` empties it."""
+    return f"{shared_dir(spark)}/newsloom/{spark.sparkContext.applicationId}"
+
+
+def discard_staged(spark: SparkSession) -> None:
+    """Deletes what this application has written between steps. Results that read it must have been written before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(spark: SparkSession, df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage is cut, lost executors do no harm."""
-    path = f"{shared_dir(spark)}/newsloom/{label}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     out = df.write.mode("overwrite")
     if partition_by:
         out = out.partitionBy(*partition_by)

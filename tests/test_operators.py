@@ -55,11 +55,32 @@ def test_gates_close_when_enough_came_before(spark):
 
 
 @pytest.mark.parametrize("n", [0, 1, 1400, 1401, 5000])
-def test_window_chunks_cover_texts_of_any_length(n):
+def test_window_chunks_cover_texts_of_any_length(spark, n):
     words = ("word " * (n // 5 + 1))[:n]
-    for text in ("x" * n, words):
-        chunks = retrieval.window_chunks(text, 1400, 220)
-        assert all(0 < len(c) <= 1400 for c in chunks) and bool(chunks) == bool(text.strip())
+    df = spark.createDataFrame([(1, "x" * n, "c"), (2, words, "c"), (3, None, "c"), (4, " \n ", "c")], "id long, text string, content string")
+    got = {}
+    for r in retrieval.window_chunks(df, "id", "text").collect():
+        got.setdefault(r["id"], []).append((r["chunk_index"], r["content"]))
+    assert set(got) == ({1, 2} if n else set())
+    for chunks in got.values():
+        assert [i for i, _ in chunks] == list(range(len(chunks))) and all(0 < len(c) <= 1400 for _, c in chunks)
+    assert retrieval.window_chunks(df.limit(0), "id", "text").count() == 0
+
+
+def test_window_spans_overlap_and_end_at_blanks():
+    text = "ab cd efg " * 300
+    spans = list(retrieval.window_spans(len(text), [i for i, c in enumerate(text) if c == " "], 100, 20, 50))
+    assert spans[0][0] == 0 and spans[-1][1] == len(text)
+    for (a, b), (c, _) in zip(spans, spans[1:]):
+        assert c == b - 20 and text[b] == " " and 50 < b - a <= 100
+
+
+def test_packed_paragraphs(spark):
+    long = "One two. " * 10 + "Endless" + "x" * 80
+    df = spark.createDataFrame([("Short one.\n \nAnother\n line.",), (long,), ("",), (None,), (" \n\n ",)], "t string")
+    got = [r[0] for r in df.select(retrieval.packed_paragraphs(F.col("t"), 40)).collect()]
+    assert got[0] == ["Short one.", "Another line."] and got[2] == [] and got[3] is None and got[4] == []
+    assert " ".join(got[1]) == " ".join(long.split()) and all(len(c) <= 40 or " " not in c for c in got[1])
 
 
 def test_phrase_search_counts_positions(spark):

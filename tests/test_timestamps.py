@@ -46,15 +46,38 @@ def test_empty_table(spark):
     assert normalize_timestamps(df, "id", "v", "s", zones).count() == 0
 
 
+F_ = FORMATS.index
+
+
 def test_mixture_decides_between_orders():
-    mdy, dmy = 1 << FORMATS.index("slash_mdy"), 1 << FORMATS.index("slash_dmy")
-    masks, counts = np.array([mdy, dmy, mdy | dmy]), np.array([5.0, 500.0, 200.0])
-    post = em_posteriors(masks, counts, np.ones(len(FORMATS)))
-    assert post[2].argmax() == FORMATS.index("slash_dmy") and post[2].max() > 0.9
+    mdy, dmy = (F_("slash_mdy"), 2024), (F_("slash_dmy"), 2024)
+    sets, counts = [[mdy], [dmy], [mdy, dmy]], np.array([5.0, 500.0, 200.0])
+    post = em_posteriors(sets, counts, np.ones(len(FORMATS)))
+    assert post[2].argmax() == 1 and post[2].max() > 0.9
+    prior = np.array([0.0 if f == "slash_dmy" else 1.0 for f in FORMATS])
+    assert em_posteriors(sets, counts, prior)[2].argmax() == 0
+
+
+def test_years_of_the_source_decide():
+    sets = [[(F_("rfc"), 1971), (F_("rfc_century"), 2071)], [(F_("iso"), 2071)]]
+    prior = np.array([0.1 if f == "rfc_century" else 1.0 for f in FORMATS])
+    assert em_posteriors(sets[:1], np.array([9.0]), prior)[0].argmax() == 0
+    assert em_posteriors(sets, np.array([9.0, 4000.0]), prior)[0].argmax() == 1
+
+
+@pytest.mark.parametrize("sets", [[], [[]], [[(F_("slash_dmy"), 2024)]]])
+def test_no_valid_reading_has_no_posterior(sets):
     prior = np.array([0.0 if f == "slash_dmy" else 1.0 for f in FORMATS])
-    assert em_posteriors(masks, counts, prior)[2].argmax() == FORMATS.index("slash_mdy")
+    assert sum(p.sum() for p in em_posteriors(sets, np.ones(len(sets)), prior)) == 0
 
 
-@pytest.mark.parametrize("mask", [0])
-def test_no_valid_reading_has_no_posterior(mask):
-    assert em_posteriors(np.array([mask]), np.array([3.0]), np.ones(len(FORMATS))).sum() == 0
+def test_a_sources_mixture_changes_an_interpretation(spark):
+    """The same digits are a minute written out where others are, and milliseconds where those are usual."""
+    value = "197612050930"
+    digits, millis = [f"1976{m:02d}{d:02d}T1015Z" for m in range(1, 13) for d in range(14, 29)], [str(190_000_000_000 + 77_777_777 * i) for i in range(180)]
+    rows = [(i, v, "digits") for i, v in enumerate(digits)] + [(1000 + i, v, "millis") for i, v in enumerate(millis)] + [(5000, value, "digits"), (5001, value, "millis")]
+    zones = spark.createDataFrame([("digits", "UTC"), ("millis", "UTC")], "source string, zone string")
+    got = {r["row_id"]: (r["format"], r["epoch_us"]) for r in normalize_timestamps(spark.createDataFrame(rows, "id long, v string, s string"), "id", "v", "s", zones).where("row_id >= 5000").collect()}
+    assert got == {5000: ("compact", 218626200000000), 5001: ("epoch_ms", 197612050930000)}
+    alone = normalize_timestamps(spark.createDataFrame([(1, "Friday, 01-Aug-25 00:00:00 GMT", "s"), (2, "1612010512", "s")], "id long, v string, s string"), "id", "v", "s", zones)
+    assert {r["row_id"]: r["format"] for r in alone.collect()} == {1: "rfc", 2: "epoch_s"}
