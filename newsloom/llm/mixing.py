@@ -39,17 +39,17 @@ class Allotment:
     clamped: bool = False
 
 
-def water_fill(targets: list[tuple[str, float, int]], available: dict[str, int], total: float | None = None) -> list[Allotment]:
+def water_fill(targets: list[tuple[str, float, int]], available: dict[str, int], total: float | None = None, stretch: float = 1.0) -> list[Allotment]:
     """How many tokens each source gives to a mixture of ``total`` tokens.
 
-    ``total`` None: the largest mixture that has every target share exactly. A larger total
-    clamps sources at their caps; one beyond all caps together gives all caps.
+    ``total`` None: ``stretch`` times the largest mixture that has every target share exactly. A larger
+    total clamps sources at their caps; one beyond all caps together gives all caps.
     """
     rows = [Allotment(s, w, r, available.get(s, 0), 0.0) for s, w, r in sorted(targets)]
     cap = {a.source: float(a.available * a.max_repeats) for a in rows}
     if total is None:
         fitting = [cap[a.source] / a.target_share for a in rows if a.target_share > 0 and cap[a.source] > 0]
-        total = min(fitting, default=0.0)
+        total = stretch * min(fitting, default=0.0)
     open_ = [a for a in rows if a.target_share > 0 and cap[a.source] > 0]
     left = min(float(total), sum(cap[a.source] for a in open_))
     while open_:
@@ -82,7 +82,7 @@ class Mixture:
         return out.withColumn("reached_share", F.col("reached_tokens") / F.greatest(F.sum("reached_tokens").over(W.partitionBy()), F.lit(1)))
 
 
-def mix_sources(spark: SparkSession, sizes: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 11) -> Mixture:
+def mix_sources(spark: SparkSession, sizes: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 11, stretch: float = 1.0) -> Mixture:
     """``doc_id, source, n_tokens, copies`` of every record the mixture uses. ``sizes``: ``doc_id, source, n_tokens``.
 
     ``targets`` is a configuration table, one row a source; it is the only table brought to the driver whole.
@@ -94,7 +94,7 @@ def mix_sources(spark: SparkSession, sizes: DataFrame, targets: DataFrame, total
     histogram: dict[str, dict[int, int]] = {}
     for r in sized.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("t")).collect():  # at most BUCKETS rows a target
         histogram.setdefault(r["source"], {})[r["bucket"]] = r["t"]
-    plan = water_fill(wanted, {s: sum(b.values()) for s, b in histogram.items()}, total)
+    plan = water_fill(wanted, {s: sum(b.values()) for s, b in histogram.items()}, total, stretch)
     cuts = []
     for a in plan:
         if not a.available:

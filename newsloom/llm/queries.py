@@ -68,6 +68,29 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).shares(spark)
 
 
+#: A mixture half as large again as the largest exact one: sources reach their caps and pass their weight on.
+_STRETCH = 1.5
+
+
+def _large_mixture(spark: SparkSession, sf_dir: str) -> mixing.Mixture:
+    return mixing.mix_sources(spark, mixing.token_sizes(spark, table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"), stretch=_STRETCH)
+
+
+def p8_mix_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _large_mixture(spark, sf_dir).records
+
+
+def p8_shares_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _large_mixture(spark, sf_dir).shares(spark)
+
+
+def p8_allotments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each source gives to the large mixture where sizes are characters, which SQL can count."""
+    sizes = table(spark, sf_dir, "documents").select("doc_id", F.trim("source").alias("source"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_tokens"))
+    shares = mixing.mix_sources(spark, sizes, table(spark, sf_dir, "mix_targets"), stretch=_STRETCH).shares(spark)
+    return shares.select("source", F.col("available_tokens").alias("available"), F.round("allotted_tokens", 1).alias("allotted"), "clamped")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_spans(spark, table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -88,6 +111,9 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p8_mix_large": p8_mix_large,
+    "p8_shares_large": p8_shares_large,
+    "p8_allotments": p8_allotments,
     "p9_found": p9_found,
     "p9_shared": p9_shared,
 }
@@ -99,6 +125,13 @@ u AS (SELECT id, v FROM p WHERE len(v) = 64 AND NOT list_contains(list_transform
 s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS c FROM u a JOIN u b ON a.id <> b.id),
 k AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY round(c, 9) DESC, b) AS r FROM s WHERE c >= 0.85) WHERE r <= 5)
 SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM k""",
+    "p8_allotments": f"""
+WITH a AS (SELECT t.source, t.target_share AS w, t.max_repeats AS m, CAST(coalesce(sum(length(d.text)), 0) AS BIGINT) AS available FROM mix_targets t LEFT JOIN documents d ON trim(d.source) = t.source GROUP BY ALL),
+c AS (SELECT *, available * m AS cap, available * m / w AS r FROM a WHERE w > 0 AND available > 0),
+t AS (SELECT least({_STRETCH} * min(r), sum(cap)) AS total FROM c),
+o AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY r, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used, sum(w) OVER (ORDER BY r, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM c),
+l AS (SELECT coalesce(first((total - used) / rest ORDER BY r, source) FILTER ((total - used) / rest <= r), 1e300) AS level FROM o, t)
+SELECT a.source, a.available, round(coalesce(least(c.cap, l.level * c.w), 0), 1) AS allotted, coalesce(l.level * c.w > c.cap, false) AS clamped FROM a LEFT JOIN c USING (source), l""",
     "p9_found": """
 WITH w AS (SELECT doc_id, p, hash(substring(text, p + 1, 160)) AS h FROM (SELECT doc_id, text, unnest(range(0, length(text) - 159)) AS p FROM documents WHERE length(text) >= 160)),
 s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),

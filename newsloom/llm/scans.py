@@ -56,6 +56,7 @@ _EDGES = ".,;:?!“”\"()[]‘’'«»"
 _PAGE = re.compile(r"^\s*(?P<a>page\s+|pg?\.\s*|[-–—]\s*|\[\s*)?(?P<n>[\dlIO]{1,4})(?P<of>\s+of\s+[\dlIO]{1,4})?(?P<z>\s*[-–—]|\s*\]|\.)?\s*$", re.I)
 _NUMBERED = re.compile(r"^\s*(?:(?P<n1>[\dlIO]{1,4})\s{2,}(?P<h1>\S.*?)|(?P<h2>\S.*?)\s{2,}(?P<n2>[\dlIO]{1,4}))\s*$")
 _BROKEN = re.compile(rf"(\S*[^\W\d_])[{HYPHENS}]\s*$")
+_CUT = re.compile(rf"(\S*[^\W\d_][{HYPHENS}])[^\S\n]*(?:\n\s*(?=(\S+))|\s*\Z)")
 LABELS = ("body", "break", "running_line", "page_number")
 PAGE_MARKS = ("running_line", "page_number")
 
@@ -436,16 +437,15 @@ def bare_word(token: str) -> str:
     return token.strip(_EDGES)
 
 
-def countable(lines: list[str]) -> Iterator[str]:
-    """The words of a text but for those at a line's broken end and what continues them."""
-    cut = False
-    for line in lines:
-        tokens = line.split()
-        if not tokens:
-            continue
-        first = 1 if cut else 0
-        cut = bool(_BROKEN.search(line))
-        yield from (w for w in map(bare_word, tokens[first : len(tokens) - cut]) if w)
+def count_tokens(text: str, total: Counter) -> None:
+    """Counts the tokens of a text but for those at a line's broken end and what continues them."""
+    total.update(text.split())
+    out = {}
+    for m in _CUT.finditer(text):
+        out[m.start(1)] = m[1]
+        if m[2]:
+            out[m.start(2)] = m[2]
+    total.subtract(out.values())
 
 
 def vocabulary(df: DataFrame) -> DataFrame:
@@ -455,18 +455,22 @@ def vocabulary(df: DataFrame) -> DataFrame:
         total: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                total.update(countable(text.split("\n")))
-            if len(total) > 400_000:
-                yield _counts(total)
+                count_tokens(text, total)
+                if len(total) > 400_000:
+                    yield _counts(total)
         yield _counts(total)
 
     return df.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _counts(total: Counter) -> pa.RecordBatch:
-    made = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+    """The words of counted tokens: what stands at a token's edges goes only now, once a token."""
+    words: Counter = Counter()
+    for token, n in total.items():
+        if n and (w := bare_word(token)):
+            words[w] += n
     total.clear()
-    return made
+    return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
 
 def grams(word: str) -> list[str]:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from newsloom.session import shared_dir, staged
+from newsloom.session import own_dir, staged
 
 #: Characters of a gram; a hash of GRAM characters stands for an anchor.
 GRAM = 96
@@ -211,7 +211,7 @@ def sketch_repeats(spark: SparkSession, rows: DataFrame, least: int, ranges: int
 
     parts = rows.mapInPandas(sketch, "part int, of long, cells binary, twice binary")
     merged = parts.repartition("of").sortWithinPartitions("of").mapInPandas(merge, "of long, part int, cells binary").where("of < 0 or length(cells) > 0")
-    uri = f"{shared_dir(spark)}/newsloom/sketch-{uuid.uuid4().hex}"
+    uri = f"{own_dir(spark)}/sketch-{uuid.uuid4().hex}"
     merged.repartition("part").write.partitionBy("part").parquet(uri)
     return uri
 

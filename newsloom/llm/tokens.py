@@ -26,10 +26,10 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.session import shared_dir
+from newsloom.session import own_dir, staged
 
-#: Words the lexicon holds at most; its file stays under about 4 MB.
-LEXICON_WORDS = 65_536
+#: Words the lexicon holds at most; its file stays under about 2 MB.
+LEXICON_WORDS = 32_768
 #: Entries of a task's memo of words, after which it starts anew.
 MEMO_WORDS = 300_000
 #: Longest word that enters the lexicon or the counts, in characters; longer ones are merged exactly.
@@ -163,7 +163,7 @@ class Lexicon:
 def publish(spark: SparkSession, content: bytes, label: str) -> str:
     """Write bytes to the shared folder; returns what ``local_copy`` turns into a path on any executor."""
     jvm = spark.sparkContext._jvm
-    uri = f"{shared_dir(spark)}/newsloom/{label}-{uuid.uuid4().hex}.bin"
+    uri = f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}.bin"
     path = jvm.org.apache.hadoop.fs.Path(uri)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     out = fs.create(path, True)
@@ -208,7 +208,15 @@ def count_words(df: DataFrame, text_col: str) -> DataFrame:
 
 def compile_lexicon(spark: SparkSession, df: DataFrame, text_col: str, vocabulary: str, lexicon_words: int = LEXICON_WORDS) -> str:
     """Counts the corpus' words and publishes the automaton of the most frequent ones."""
-    top = count_words(df, text_col).orderBy(F.desc("n"), "word").limit(lexicon_words).select("word").toPandas()["word"]
+    # A histogram of counts (a few hundred rows) tells how frequent a word must be; only those words are brought here.
+    counts = staged(spark, count_words(df, text_col).withColumn("level", F.floor(F.log2("n") * 16).cast("int")), "words")
+    level, held = None, 0
+    for r in sorted(counts.groupBy("level").count().collect(), reverse=True):
+        held += r["count"]
+        if held > lexicon_words:
+            break
+        level = r["level"]
+    top = counts.where(F.col("level") >= level).select("word").toPandas()["word"] if level is not None else ()
     encoding = load_encoding(vocabulary)
     return publish(spark, Lexicon.build({w: encoding._encode_single_piece(w.encode("utf-8")) for w in top}).to_bytes(), "lexicon")
 
@@ -233,12 +241,14 @@ def encode_corpus(spark: SparkSession, df: DataFrame, id_col: str, text_col: str
     vocabulary = vocabulary or vocabulary_path()
     uri = compile_lexicon(spark, df, text_col, vocabulary, lexicon_words)
     pattern = word_pattern()
+    spark.sparkContext.addFile(vocabulary)  # executors need no vocabulary of their own
+    name = os.path.basename(vocabulary)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(pattern).findall
-        memo = _WordIds(Lexicon.mapped(local_copy(uri)), load_encoding(vocabulary))
+        memo = _WordIds(Lexicon.mapped(local_copy(uri)), load_encoding(SparkFiles.get(name)))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo in range(0, len(texts), 1000):
