@@ -125,6 +125,12 @@ def greedy_stories(spark: SparkSession, items: DataFrame, pos: str, order: Seque
     return out.select("pos", F.coalesce("other", "own", "pos").alias("story"))
 
 
+def shown_of_story(stories: DataFrame, story: str, pos: str, order: Sequence[Column], weak: Column) -> DataFrame:
+    """``story, shown``: the item a story is told by - its first, or the first that isn't weak where its first is."""
+    rank = F.struct(weak.cast("int").alias("w"), *[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(pos).alias("p"))
+    return stories.groupBy(story).agg(F.min_by(pos, rank).alias("shown"))
+
+
 def prefix_length(n: int, jaccard: float) -> int:
     """Words of a set of ``n`` that must be looked at to lose no pair of a similarity."""
     return n - math.ceil(n * jaccard - 1e-9) + 1

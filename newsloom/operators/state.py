@@ -48,3 +48,30 @@ def catch_up_days(last_done: Column, today: Column, most: int = 14) -> Column:
     """The days after the last done one up to today, newest first, the newest ``most`` only."""
     first = F.greatest(F.date_add(last_done, 1), F.date_sub(today, most - 1))
     return F.when(first <= today, F.reverse(F.sequence(first, today, F.expr("interval 1 day")))).otherwise(F.array().cast("array<date>"))
+
+
+def skip_update(last_checked: Column, now: Column, minutes: int = 45) -> Column:
+    """An update that comes too soon after the last check is left out; without a last check none is."""
+    return F.coalesce(F.unix_micros(now) - F.unix_micros(last_checked) < minutes * 60_000_000, F.lit(False))
+
+
+def delivered_items(messages: DataFrame, key: Sequence[str], order: str, ids: str, failed: DataFrame) -> DataFrame:
+    """``key, id`` of the items in a report's messages before its first failed one; the rest stay eligible.
+
+    ``failed``: ``key, order`` of messages that weren't taken. A report without failures is delivered whole.
+    """
+    first = failed.groupBy(*key).agg(F.min(order).alias("_failed"))
+    sent = messages.join(first, list(key), "left").where(F.col("_failed").isNull() | (F.col(order) < F.col("_failed")))
+    return sent.select(*key, F.explode(ids).alias("id"))
+
+
+def next_check(reports: DataFrame, failed: DataFrame, key: Sequence[str], last: Column, now: Column) -> DataFrame:
+    """``key, last_checked``: a report moves its check time on only if all of it was delivered."""
+    broken = failed.select(*key).distinct().withColumn("_broken", F.lit(True))
+    return reports.join(broken, list(key), "left").select(*key, F.when(F.col("_broken"), last).otherwise(now).alias("last_checked"))
+
+
+def title_memory(memory: DataFrame, delivered: DataFrame, now: Column, hours: int = 72) -> DataFrame:
+    """``title, sent``: the titles told within the last hours, with those delivered now."""
+    recent = memory.where(F.col("sent") >= now - F.make_interval(hours=F.lit(hours))).select("title", "sent")
+    return recent.unionByName(delivered.select("title", now.alias("sent"))).groupBy("title").agg(F.max("sent").alias("sent"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import text, urls
-from newsloom.operators import dedupe, entities, joins, ranking, reports, scoring, similarity
+from newsloom.operators import dedupe, entities, joins, ranking, reports, scoring, similarity, state
 from newsloom.plans.catalog import Catalog, rows_as
 from newsloom.session import table
 
@@ -277,18 +277,118 @@ def same_story_antijoin(spark: SparkSession, d: str) -> DataFrame:
     return similarity.unlike_recent(rows.where("item_id % 4 <> 0"), rows.where("item_id % 4 = 0"), "s", least=4, **_RULE).select("item_id")
 
 
-@C.query()
+def _stories(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    ranked = _signed(_feed_scores(spark, d).where("bucket <> 'low'").withColumn("title", F.coalesce("title", F.lit("")))).withColumn("maybe", (F.col("bucket") != "high").cast("int"))
+    return ranked, similarity.greedy_stories(spark, ranked, "item_id", [F.col("maybe"), -F.col("score")], "s", **_RULE)
+
+
+_STORIES = f"""WITH RECURSIVE f AS ({{score}}), {_SIGNED.replace("WITH s AS", "s AS").replace("WHERE title IS NOT NULL", "").replace("lower(title)", "lower(coalesce(title, ''))")},
+o AS (SELECT row_number() OVER (ORDER BY bucket <> 'high', score DESC, item_id) AS i, item_id, s, ms, nums FROM f JOIN s USING (item_id) WHERE bucket <> 'low'),
+n AS (SELECT b.i, list_sort(list(a.i)) AS near FROM o a JOIN o b ON a.i < b.i AND {_SAME} GROUP BY b.i),
+r(i, heads, story) AS (SELECT 1::BIGINT, [1::BIGINT], 1::BIGINT UNION ALL
+ SELECT i + 1, CASE WHEN head IS NULL THEN list_append(heads, i + 1) ELSE heads END, coalesce(head, i + 1) FROM (SELECT r.i, r.heads, list_filter(n.near, lambda x: list_contains(r.heads, x))[1] AS head FROM r LEFT JOIN n ON n.i = r.i + 1 WHERE r.i < (SELECT count(*) FROM o))),
+t AS (SELECT a.item_id AS pos, b.item_id AS story, a.i FROM r JOIN o a ON a.i = r.i JOIN o b ON b.i = r.story)"""
+
+
+@C.query(_STORIES.format(score=_SCORE) + " SELECT pos, story FROM t")
 def story_clusters(spark: SparkSession, d: str) -> DataFrame:
     """All items of the buckets high and maybe, best first, each with the item that began its story."""
-    ranked = _signed(_feed_scores(spark, d).where("bucket <> 'low'").withColumn("title", F.coalesce("title", F.lit("")))).withColumn("maybe", (F.col("bucket") != "high").cast("int"))
-    return similarity.greedy_stories(spark, ranked, "item_id", [F.col("maybe"), -F.col("score")], "s", **_RULE)
+    return _stories(spark, d)[1]
 
 
-@C.query()
+@C.query(_STORIES.format(score=_SCORE) + " SELECT story, arg_min(pos, (coalesce(feed_title LIKE 'News search%', false), t.i)) AS shown, count(*) AS n_items FROM t JOIN feed_items ON item_id = pos GROUP BY story")
+def story_shown(spark: SparkSession, d: str) -> DataFrame:
+    """The item each story is told by: an aggregator's copy gives way to the first direct one."""
+    ranked, stories = _stories(spark, d)
+    items = stories.join(ranked.select(F.col("item_id").alias("pos"), "maybe", "score", F.coalesce(F.col("feed_title").like("News search%"), F.lit(False)).alias("weak")), "pos")
+    shown = similarity.shown_of_story(items, "story", "pos", [F.col("maybe"), -F.col("score")], F.col("weak"))
+    return shown.join(stories.groupBy("story").agg(rows_as("n_items")), "story")
+
+
+#: A report a day: all items of high and maybe, best first, in messages of at most 3,900 characters.
+_LINES = r"""WITH RECURSIVE f AS ({score}), e AS (SELECT item_id, strftime(fetched_at, '%Y-%m-%d') AS digest, trim(regexp_replace(coalesce(title, '(no title)'), '\s+', ' ', 'g')) AS flat, coalesce(link, '') AS link, coalesce(feed_title, '') AS src FROM feed_items),
+c AS (SELECT *, replace(replace(replace(replace(CASE WHEN length(flat) > 350 THEN substring(flat, 1, 349) || '…' ELSE flat END, '|', '·'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS name FROM e),
+w AS (SELECT item_id, digest, '- <' || replace(replace(replace(link, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '|' || name || '> (' || src || ')' AS line, '- ' || name || ' (' || src || ')' AS spare FROM c),
+l AS (SELECT digest, item_id, CASE WHEN length(line) + 10 <= {limit} THEN line ELSE spare END AS line, row_number() OVER (PARTITION BY digest ORDER BY bucket <> 'high', score DESC, item_id) AS i FROM w JOIN f USING (item_id) WHERE bucket <> 'low'),
+p(digest, i, batch, size, item_id) AS (SELECT digest, i, 0::BIGINT, length(line) + 1, item_id FROM l WHERE i = 1 UNION ALL
+ SELECT l.digest, l.i, CASE WHEN p.size + length(l.line) + 1 > {limit} THEN p.batch + 1 ELSE p.batch END, CASE WHEN p.size + length(l.line) + 1 > {limit} THEN 10 + length(l.line) + 1 ELSE p.size + length(l.line) + 1 END, l.item_id FROM p JOIN l ON l.digest = p.digest AND l.i = p.i + 1),
+m AS (SELECT digest, batch, count(*) AS n_lines, CASE WHEN batch > 0 THEN 'continued' || chr(10) ELSE '' END || string_agg(line, chr(10) ORDER BY p.i) AS text, list(p.item_id ORDER BY p.i) AS items FROM p JOIN l USING (digest, i) GROUP BY digest, batch)"""
+
+
+def _digests(spark: SparkSession, d: str, limit: int) -> DataFrame:
+    rows = _feed_scores(spark, d).where("bucket <> 'low'").withColumn("digest", F.date_format("fetched_at", "yyyy-MM-dd"))
+    order = [(F.col("bucket") != "high").cast("int"), F.desc("score"), F.asc("item_id")]
+    return reports.message_batches(rows, "digest", order, "item_id", *reports.message_lines(F.col("title"), F.col("link"), F.col("feed_title")), limit=limit)
+
+
+@C.query(_LINES.format(score=_SCORE, limit=3900) + " SELECT digest, batch, n_lines, text FROM m")
 def digest_batches(spark: SparkSession, d: str) -> DataFrame:
-    line = F.concat(F.lit("- "), F.coalesce("title", F.lit("(no title)")), F.lit(" "), F.coalesce("link", F.lit("")))
-    ranked = ranking.top_k(_feed_scores(spark, d).where("bucket = 'high'").select("feed_title", "item_id", "score", line.alias("line")), [F.desc("score"), F.asc("item_id")], 500)
-    return reports.message_batches(ranked.withColumn("digest", F.lit("daily")), "digest", "item_id", "line")
+    """The messages of each day's report, over all its items."""
+    return _digests(spark, d, 3_900).drop("items")
+
+
+@C.query(_LINES.format(score=_SCORE, limit=300) + ", x AS (SELECT digest, min(batch) AS b FROM m WHERE batch >= 1 AND CAST(substring(digest, 10, 1) AS INTEGER) % 2 = 0 GROUP BY digest) SELECT m.digest, unnest(items) AS id FROM m LEFT JOIN x USING (digest) WHERE b IS NULL OR batch < b")
+def delivery_partial(spark: SparkSession, d: str) -> DataFrame:
+    """Items delivered where, on days that end in an even digit, all messages after the first fail."""
+    messages = _digests(spark, d, 300)
+    failed = messages.where("batch >= 1 and cast(substring(digest, 10, 1) as int) % 2 = 0").select("digest", "batch")
+    return state.delivered_items(messages, ["digest"], "batch", "items", failed)
+
+
+@C.query(_LINES.format(score=_SCORE, limit=300) + ", x AS (SELECT DISTINCT digest FROM m WHERE batch >= 1 AND CAST(substring(digest, 10, 1) AS INTEGER) % 2 = 0) SELECT DISTINCT m.digest, CASE WHEN x.digest IS NULL THEN m.digest ELSE '2020-01-01' END AS last_checked FROM m LEFT JOIN x USING (digest)")
+def delivery_checkpoint(spark: SparkSession, d: str) -> DataFrame:
+    """A report's check time, which stays where it was if one of its messages failed."""
+    messages = _digests(spark, d, 300)
+    failed = messages.where("batch >= 1 and cast(substring(digest, 10, 1) as int) % 2 = 0").select("digest")
+    return state.next_check(messages.select("digest").distinct(), failed, ["digest"], F.lit("2020-01-01"), F.col("digest"))
+
+
+@C.query("""WITH m AS (SELECT title, max(fetched_at) AS sent FROM feed_items WHERE title IS NOT NULL AND item_id % 3 <> 0 AND fetched_at >= TIMESTAMP '2024-06-01' - INTERVAL 72 HOUR GROUP BY title), n AS (SELECT DISTINCT title, TIMESTAMP '2024-06-01' AS sent FROM feed_items WHERE title IS NOT NULL AND item_id % 3 = 0)
+SELECT title, strftime(max(sent), '%Y-%m-%d %H:%M:%S') AS sent FROM (SELECT * FROM m UNION ALL SELECT * FROM n) GROUP BY title""")
+def story_memory(spark: SparkSession, d: str) -> DataFrame:
+    """The titles remembered after a run: those of the last 72 hours and those delivered now."""
+    rows = table(spark, d, "feed_items").where("title is not null").select("item_id", "title", F.col("fetched_at").cast("timestamp").alias("sent"))
+    out = state.title_memory(rows.where("item_id % 3 <> 0"), rows.where("item_id % 3 = 0"), F.lit("2024-06-01").cast("timestamp"))
+    return out.select("title", F.date_format("sent", "yyyy-MM-dd HH:mm:ss").alias("sent"))
+
+
+#: Steps in their order: what comes after a floor still lowers it, a cap is the last word.
+ORDERED = scoring.Rulebook(
+    (
+        scoring.Rule("money", ("deficit", "layoffs", "shortfall"), 4),
+        scoring.Rule("board", ("board", "trustee", "committee"), 2, per_hit=True),
+        scoring.Rule("dispute", ("petition", "complaint"), 3, needs=(("license", "tower", "antenna"),), unless=("dismissed",)),
+        scoring.Rule("rise", (), 2, pattern=r"rose to \$[0-9,.]+ million"),
+        scoring.Rule("merger", ("merger",), 8, kind="floor", unless=("proposed",)),
+        scoring.Rule("routine", ("schedule", "playlist", "podcast"), -3),
+        scoring.Rule("aggregator", (), 4, kind="cap", where=lambda: F.col("feed_title").like("News search%")),
+    )
+)
+_STEPS = rf"""WITH t AS (SELECT item_id, coalesce(feed_title LIKE 'News search%', false) AS agg, coalesce(title,'') || ' ' || coalesce(summary,'') AS t FROM feed_items),
+h AS (SELECT item_id, agg, {_B('deficit', 'layoffs', 'shortfall')} AS h1, CAST({_B('board')} AS INTEGER) + CAST({_B('trustee')} AS INTEGER) + CAST({_B('committee')} AS INTEGER) AS n2, {_B('petition', 'complaint')} AND {_B('license', 'tower', 'antenna')} AND NOT {_B('dismissed')} AS h3,
+ regexp_matches(lower(t), 'rose to \$[0-9,.]+ million') AS h4, {_B('merger')} AND NOT {_B('proposed')} AS h5, {_B('schedule', 'playlist', 'podcast')} AS h6 FROM t),
+a AS (SELECT *, CASE WHEN h1 THEN 4 ELSE 0 END + 2 * n2 + CASE WHEN h3 THEN 3 ELSE 0 END + CASE WHEN h4 THEN 2 ELSE 0 END AS s1 FROM h),
+b AS (SELECT *, CASE WHEN h5 THEN greatest(s1, 8) ELSE s1 END - CASE WHEN h6 THEN 3 ELSE 0 END AS s2 FROM a),
+c AS (SELECT *, CASE WHEN agg THEN least(s2, 4) ELSE s2 END AS s FROM b)
+SELECT item_id, CAST(s AS INTEGER) AS score, array_to_string(list_filter([CASE WHEN h1 THEN 'money' END, CASE WHEN n2 > 0 THEN 'board' END, CASE WHEN h3 THEN 'dispute' END, CASE WHEN h4 THEN 'rise' END, CASE WHEN h5 THEN 'merger' END, CASE WHEN h6 THEN 'routine' END, CASE WHEN agg THEN 'aggregator' END], lambda x: x IS NOT NULL), ',') AS reasons,
+ CASE WHEN s >= 8 THEN 'high' WHEN s >= 5 THEN 'maybe' ELSE 'low' END AS bucket FROM c"""
+
+
+@C.query(_STEPS)
+def feed_score_steps(spark: SparkSession, d: str) -> DataFrame:
+    body = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("summary", F.lit("")))
+    return scoring.score(table(spark, d, "feed_items"), body, ORDERED).select("item_id", "score", F.array_join("reasons", ",").alias("reasons"), "bucket")
+
+
+_MODES = {"balanced": ("merger", "license", "tower", "renewal"), "high": ("merger", "license")}
+
+
+@C.query(" UNION ALL ".join("SELECT '%s' AS mode, item_id FROM public_files_items WHERE coalesce(%s, false) OR (len(coalesce(matched_call_signs, [])) > 0 AND len(list_filter(coalesce(matched_keywords, []), lambda k: lower(k) NOT IN ('translator', 'license'))) > 0)" % (m, " OR ".join(f"contains(lower(title), '{x}')" for x in xs)) for m, xs in _MODES.items()))
+def editorial_relevance(spark: SparkSession, d: str) -> DataFrame:
+    """Both modes of the predicate: a section in the title, or a call sign with a keyword that isn't weak."""
+    rows = table(spark, d, "public_files_items")
+    out = [rows.where(scoring.relevant(F.col("title"), xs, F.col("matched_call_signs"), F.col("matched_keywords"), ("translator", "license"))).select(F.lit(m).alias("mode"), "item_id") for m, xs in _MODES.items()]
+    return out[0].unionByName(out[1])
 
 
 @C.query("""WITH j AS (SELECT item_id, lower(coalesce(title,'')) AS t, regexp_replace(lower(regexp_extract(trim(link), '^[A-Za-z]+://([^/?#:]*)', 1)), '^www\\.', '') AS host FROM feed_items WHERE link IS NOT NULL)
@@ -313,7 +413,7 @@ def docket_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 @C.query("""SELECT item_id FROM public_files_items WHERE (contains(lower(title), 'transmitter') OR contains(lower(title), 'license') OR contains(lower(title), 'tower')) AND NOT contains(lower(title), 'draft')""")
 def public_file_relevance(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "public_files_items").where(scoring.relevant(F.col("title"), ("transmitter", "license", "tower"), ("draft",))).select("item_id")
+    return table(spark, d, "public_files_items").where(scoring.included(F.col("title"), ("transmitter", "license", "tower"), ("draft",))).select("item_id")
 
 
 @C.query("""SELECT DISTINCT 'public_files:' || coalesce(source_call_sign, '') || ':' || coalesce(nullif(trim(document_link), ''), trim(link), CAST(item_id AS VARCHAR)) AS key FROM public_files_items""")
@@ -396,6 +496,32 @@ def risk_rollup(spark: SparkSession, d: str) -> DataFrame:
     return scoring.risk_rollup(_risks(spark, d, "break"), "canonical_station_id", ["doc_id"]).drop("title")
 
 
+#: Twelve ordered patterns, some with what makes a hit boilerplate or worse.
+TWELVE = (
+    scoring.RiskPattern("reserve", "reserve fell below"), scoring.RiskPattern("lapsed", "agreement had lapsed", lead=("neither",)), scoring.RiskPattern("objection", "several members objected", needs=("public radio", "public media", "television")),
+    scoring.RiskPattern("negotiation", "negotiations continued", stock=("routine",)), scoring.RiskPattern("records", "following a records request"), scoring.RiskPattern("layoffs", "layoffs"), scoring.RiskPattern("suspended", "was suspended late"),
+    scoring.RiskPattern("deficit", "deficit", soft=True, stress=("emergency", "legal")), scoring.RiskPattern("debt", "mortgage", soft=True, stress=("overdue", "contested")), scoring.RiskPattern("loan", "refinancing", soft=True, stress=("delayed",)),
+    scoring.RiskPattern("incomplete", "estimate was incomplete", soft=True), scoring.RiskPattern("unaudited", "unaudited", soft=True, stock=("interim",), stress=("restated",)),
+)
+_any = lambda where, xs: "(" + (" OR ".join(f"contains({where}, '{x}')" for x in xs) or "false") + ")"
+_PLAIN = r"trim(regexp_replace(translate({c}, '’‘“”', chr(39) || chr(39) || chr(34) || chr(34)), '\s+', ' ', 'g'))"
+_TWELVE = f"""WITH h AS (SELECT coalesce(nullif(canonical_station_id, ''), station_id) AS g, doc_id, title, lower(content_text) AS c, pos, label, soft, strpos(lower(content_text), pat) AS p FROM docs,
+ (VALUES {", ".join(f"({i},'{p.label}','{p.pattern}',{str(p.soft).lower()})" for i, p in enumerate(TWELVE))}) v(pos,label,pat,soft) WHERE content_text IS NOT NULL),
+x AS (SELECT *, {_PLAIN.format(c="substring(c, greatest(p-320,1), p - greatest(p-320,1) + 420)")} AS ctx, {_PLAIN.format(c="substring(c, greatest(p-160,1), p - greatest(p-160,1))")} AS lead FROM h WHERE p > 0),
+y AS (SELECT g, doc_id, title, label, pos, CASE WHEN CASE pos {" ".join(f"WHEN {i} THEN {_any('ctx', p.stock)} OR {_any('lead', p.lead)} OR {'NOT ' + _any('ctx', p.needs) if p.needs else 'false'}" for i, p in enumerate(TWELVE))} END
+ OR (soft AND NOT CASE pos {" ".join(f"WHEN {i} THEN {_any('ctx', p.stress)}" for i, p in enumerate(TWELVE))} END) THEN 'watchlist' ELSE 'higher' END AS tier FROM x),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g, title, label ORDER BY doc_id) AS rn FROM y) WHERE rn = 1),
+e AS (SELECT g, doc_id, min(CASE WHEN tier = 'higher' THEN pos END) AS stop FROM f GROUP BY g, doc_id)
+SELECT f.g AS station, f.doc_id, f.label, f.tier FROM f JOIN e ON f.g IS NOT DISTINCT FROM e.g AND f.doc_id = e.doc_id WHERE e.stop IS NULL OR f.pos <= e.stop"""
+
+
+@C.query(_TWELVE)
+def risk_scan_all(spark: SparkSession, d: str) -> DataFrame:
+    """Twelve patterns over every document; one whose station is unresolved counts under its folder's."""
+    docs = table(spark, d, "docs").where("content_text is not null").select(F.coalesce(F.nullif("canonical_station_id", F.lit("")), "station_id").alias("station"), "doc_id", "title", "content_text")
+    return scoring.risk_scan(docs, "station", ["doc_id"], "title", "content_text", TWELVE).select("station", "doc_id", "label", "tier")
+
+
 @C.query(r"""SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(regexp_replace(lower(content_text), 'no deficit[^.]*\.', ' ', 'g'), 'deficit') THEN 'Deficit noted' END, CASE WHEN regexp_matches(lower(content_text), 'several members objected') THEN 'Objections noted' END], lambda x: x IS NOT NULL), ',') AS flags FROM docs WHERE content_text IS NOT NULL""")
 def audit_flags_scrubbed(spark: SparkSession, d: str) -> DataFrame:
     flags = (("Deficit noted", "deficit", (r"no deficit[^.]*\.",)), ("Objections noted", "several members objected", ()))

@@ -170,9 +170,53 @@ def test_validation_of_a_configuration(spark):
 
 
 def test_message_batches_stay_under_the_limit(spark):
-    df = spark.createDataFrame([("d", i, "x" * (i * 7 % 50)) for i in range(60)], "g string, pos int, line string")
-    out = reports.message_batches(df, "g", "pos", "line", limit=120).collect()
-    assert all(len(r["text"]) <= 120 for r in out) and sum(r["n_lines"] for r in out) == 60
+    df = spark.createDataFrame([("g", i, f"title {i} & <b>" + "x" * (400 if i == 3 else 5), "http://e.example/" + "y" * (200 if i == 4 else 3)) for i in range(20)] + [("h", 1, None, None)], "g string, pos int, title string, link string")
+    line, spare = reports.message_lines(F.col("title"), F.col("link"), F.lit("e.example"), most=60)
+    out = reports.message_batches(df, "g", [F.col("pos")], "pos", line, spare, limit=160).orderBy("g", "batch").collect()
+    g = [r for r in out if r["g"] == "g"]
+    assert all(len(r["text"]) <= 160 for r in out) and [i for r in g for i in r["items"]] == list(range(20)) and len(g) > 3
+    assert all(r["text"].startswith("continued\n- ") for r in g[1:]) and "&amp; &lt;b&gt;" in g[0]["text"] and "y" * 20 not in "".join(r["text"] for r in g) and "…" in "".join(r["text"] for r in g)
+    assert [r["text"] for r in out if r["g"] == "h"] == ["- <|(no title)> (e.example)"]
+
+
+def test_delivery_stops_at_the_first_failure(spark):
+    messages = spark.createDataFrame([("a", 0, [1, 2]), ("a", 1, [3]), ("a", 2, [4]), ("b", 0, [5])], "g string, batch int, items array<int>")
+    failed = spark.createDataFrame([("a", 1)], "g string, batch int")
+    assert rows(state.delivered_items(messages, ["g"], "batch", "items", failed)) == [("a", 1), ("a", 2), ("b", 5)]
+    assert rows(state.next_check(messages.select("g").distinct(), failed, ["g"], F.lit(1), F.lit(9))) == [("a", 1), ("b", 9)]
+
+
+def test_titles_are_remembered_for_a_while(spark):
+    memory = spark.sql("select 'old' title, timestamp'2024-01-01' sent union all select 'new', timestamp'2024-01-09'")
+    now = F.lit("2024-01-10").cast("timestamp")
+    got = rows(state.title_memory(memory, spark.sql("select 'told' title union all select 'new'"), now).select("title", F.col("sent").cast("string")))
+    assert got == [("new", "2024-01-10 00:00:00"), ("told", "2024-01-10 00:00:00")]
+    skip = lambda last: spark.range(1).select(state.skip_update(F.lit(last).cast("timestamp"), now)).first()[0]
+    assert skip("2024-01-09 23:30:00") and not skip("2024-01-09 23:00:00") and not skip(None)
+
+
+def test_rules_are_steps_in_order(spark):
+    book = scoring.Rulebook((scoring.Rule("floor", ("merger",), 8, kind="floor"), scoring.Rule("routine", ("schedule",), -3), scoring.Rule("cap", kind="cap", weight=4, where=lambda: F.col("src") == "x"), scoring.Rule("both", ("tower",), 2, needs=(("city",),), pattern="never")))
+    df = spark.createDataFrame([("merger schedule", "y"), ("merger", "x"), ("tower of the city", None), ("tower", None), (None, "x")], "t string, src string")
+    got = [(r["score"], r["reasons"]) for r in scoring.score(df, F.col("t"), book).collect()]
+    assert got == [(5, ["floor", "routine"]), (4, ["floor", "cap"]), (2, ["both"]), (0, []), (0, ["cap"])]
+
+
+def test_excerpts_of_a_question(spark):
+    body = "The deficit grew by ten percent. It was noted.\n\nNothing here.\n\nThe deficit grew again.\n\nNote 5 going concern: the deficit continues."
+    df = spark.createDataFrame([("a", "Audit", body, 2020), ("b", None, None, 0), ("c", "x", "", 0)], "id string, title string, t string, y int")
+    got = {r["id"]: r for r in scoring.row_scores(df, "title", "t", F.col("y"), ["deficit", "audit"], ["percent"], ["confidential"], ["going concern"]).collect()}
+    assert [e["score"] for e in got["a"]["excerpts"]] == [12, 6] and got["a"]["excerpts"][0]["excerpt"].startswith("going concern")
+    assert got["a"]["score"] == 2 * 4 + 3 * 12 + 1 + 2 and got["b"]["score"] == got["c"]["score"] == 0
+
+
+def test_risk_context_rules(spark):
+    patterns = (scoring.RiskPattern("concern", "going concern", lead=("if we conclude that",), needs=("substantial doubt", "ability to continue")), scoring.RiskPattern("loan", "line of credit", soft=True, stress=("default",)))
+    texts = ["there is substantial doubt; a going concern", "if we conclude that\n substantial doubt, going concern", "a going concern alone", "line of credit", "line of credit in default"]
+    df = spark.createDataFrame([(str(i), "g", f"t{i}", x) for i, x in enumerate(texts)], "id string, g string, title string, t string")
+    got = {r["id"]: r["tier"] for r in scoring.risk_scan(df, "g", ["id"], "title", "t", patterns).collect()}
+    assert got == {"0": "higher", "1": "watchlist", "2": "watchlist", "3": "watchlist", "4": "higher"}
+
 
 
 def test_csv_with_mark_and_missing_columns(spark, tmp_path):
