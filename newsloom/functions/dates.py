@@ -55,3 +55,10 @@ def fiscal_years(c: Column | str, pivot: int = 69) -> Column:
 def latest_year(*columns: Column | str, pivot: int = 69) -> Column:
     """The greatest year of the first text that states one."""
     return F.coalesce(*[F.array_max(fiscal_years(c, pivot)) for c in columns])
+
+
+def date_argument(c: Column | str) -> Column:
+    """A day given as ``2024-01-31`` or ``01/31/2024``; blanks give null, anything else is an error."""
+    t = F.nullif(F.trim(col(c)), F.lit(""))
+    day = F.coalesce(F.try_to_timestamp(t, F.lit("yyyy-MM-dd")), F.try_to_timestamp(t, F.lit("MM/dd/yyyy"))).cast("date")
+    return F.when(t.isNull(), F.lit(None).cast("date")).when(day.isNotNull(), day).otherwise(F.raise_error(F.concat(F.lit("not a date: "), t)).cast("date"))

@@ -6,17 +6,15 @@ engines differ about ``\\w`` and ``\\b``.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Entities decoded without a table of all of HTML's.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&ndash;", "–"), ("&mdash;", "—"), ("&rsquo;", "’"), ("&lsquo;", "‘"), ("&hellip;", "…"), ("&amp;", "&"))
-
-
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -42,7 +40,22 @@ def slug(c: Column | str, empty: str = "unknown") -> Column:
 
 
 def unescape(c: Column | str) -> Column:
-    return reduce(lambda a, e: F.replace(a, F.lit(e[0]), F.lit(e[1])), ENTITIES, col(c))
+    """Named and numbered entities as characters, once; unknown ones and those without a semicolon stay."""
+    names = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+    table = F.from_json(F.lit(json.dumps(names, ensure_ascii=False)), "map<string,string>")
+    found = lambda s: F.regexp_extract(s, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
+
+    def number(m: Column) -> Column:
+        n = F.when(m.rlike("^#[xX]"), F.conv(F.substring(m, 3, 8), 16, 10).try_cast("int")).when(m.startswith("#"), F.substring(m, 2, 8).try_cast("int"))
+        return F.when(n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).when(n.isNotNull(), F.lit("\ufffd"))
+
+    def piece(s: Column) -> Column:
+        m = found(s)
+        said = F.coalesce(number(m), F.try_element_at(table, m))
+        return F.when((m != "") & said.isNotNull(), F.concat(said, F.substring(s, F.length(m) + 2, F.length(s)))).otherwise(F.concat(F.lit("&"), s))
+
+    parts = F.split(col(c), "&", -1)
+    return F.when(col(c).contains("&"), F.array_join(F.transform(parts, lambda s, i: F.when(i == 0, s).otherwise(piece(s))), "")).otherwise(col(c))
 
 
 def without_tags(c: Column | str) -> Column:
@@ -72,18 +85,19 @@ def curly_quotes(c: Column | str) -> Column:
     return F.array_join(marked, "")
 
 
-def headline_core(c: Column | str) -> Column:
-    """The headline without its last `` - source`` part, in lower case."""
-    return F.lower(F.trim(F.regexp_replace(col(c), r"^(.*) - .*$", "$1")))
+def headline_core(c: Column | str, rewrites: Sequence[tuple[str, str]] = ()) -> Column:
+    """The headline without its last `` - source`` part, in lower case, with some phrases in their short form."""
+    core = F.lower(F.trim(F.regexp_replace(col(c), r"^(.*) - .*$", "$1")))
+    return reduce(lambda a, r: F.replace(a, F.lit(r[0]), F.lit(r[1])), rewrites, core)
 
 
 def tokens(c: Column | str, pattern: str = "[a-z0-9]+") -> Column:
     return F.regexp_extract_all(F.lower(col(c)), F.lit(f"({pattern})"), 1)
 
 
-def fingerprint(c: Column | str, stopwords: Sequence[str], most: int = 12) -> Column:
+def fingerprint(c: Column | str, stopwords: Sequence[str], most: int = 12, rewrites: Sequence[tuple[str, str]] = ()) -> Column:
     """The first words of a headline's core that aren't stop words."""
-    kept = F.filter(tokens(headline_core(c)), lambda w: ~w.isin(*stopwords))
+    kept = F.filter(tokens(headline_core(c, rewrites)), lambda w: ~w.isin(*stopwords))
     return F.array_join(F.slice(kept, 1, most), " ")
 
 
@@ -107,9 +121,10 @@ def term_hits(c: Column | str, terms: Sequence[str]) -> Column:
     return F.filter(F.array(*[F.when(low.contains(t.lower()), F.lit(t)) for t in terms]), lambda x: x.isNotNull()) if terms else F.array().cast("array<string>")
 
 
-def call_signs(c: Column | str) -> Column:
-    """Call signs written in capitals, with their suffix, in order and once each."""
-    return F.array_distinct(F.regexp_extract_all(col(c), F.lit(r"\b([KW][A-Z]{2,4}(?:-(?:FM|TV|AM))?)\b"), 1))
+def call_signs(c: Column | str, never: Sequence[str] = ()) -> Column:
+    """Call signs written in capitals, with their suffix, in order and once each; ``never``: words that only look like one."""
+    found = F.array_distinct(F.regexp_extract_all(col(c), F.lit(r"\b([KW][A-Z]{2,4}(?:-(?:FM|TV|DT|AM|LP|LD|CD))?)\b"), 1))
+    return F.filter(found, lambda x: ~x.isin(*never)) if never else found
 
 
 def call_sign_forms(c: Column | str) -> Column:
@@ -144,6 +159,38 @@ def title_from_filename(c: Column | str) -> Column:
     return collapse(F.regexp_replace(F.regexp_replace(base, r"\.[A-Za-z0-9]{1,5}$", ""), "[-_]+", " "))
 
 
+def safe_filename(c: Column | str, most: int = 120) -> Column:
+    """A name that any file system takes: letters, digits, dots and dashes."""
+    clean = F.regexp_replace(F.regexp_replace(F.trim(col(c)), r"[^A-Za-z0-9._-]+", "-"), r"^[-.]+|[-.]+$", "")
+    return F.coalesce(F.nullif(F.substring(clean, 1, most), F.lit("")), F.lit("document"))
+
+
+def document_title(title: Column | str, url: Column | str) -> Column:
+    """The title; without one the last part of the address's path, else the address."""
+    base = F.element_at(F.split(F.regexp_replace(F.regexp_replace(col(url), "[?#].*$", ""), "^[A-Za-z]+://[^/]*", ""), "/"), -1)
+    return F.coalesce(F.nullif(collapse(title), F.lit("")), F.nullif(base, F.lit("")), col(url))
+
+
+def name_from_stem(c: Column | str) -> Column:
+    """A station's name out of a file's stem: without leading numbers, report marks and years."""
+    marks = "(AFR|AFRS|FSR|FSRS|AFS)"
+    cut = [r"^\d+[-_ ]*", rf"(?i)[_-]{marks}([_-]?\d{{4}})?$", rf"(?i)\b{marks}\b([_ -]?\d{{4}})?$", r"[_-]+\d{4}$"]
+    bare = reduce(lambda a, p: F.regexp_replace(a, p, ""), cut, col(c))
+    return F.coalesce(F.nullif(F.regexp_replace(collapse(F.replace(bare, F.lit("_"), F.lit(" "))), "^[ _-]+|[ _-]+$", ""), F.lit("")), col(c))
+
+
+def without_band(c: Column | str) -> Column:
+    bare = F.regexp_replace(collapse(F.regexp_replace(col(c), r"(?i)\b(FM|AM|TV)$", "")), "^[ _-]+|[ _-]+$", "")
+    return F.coalesce(F.nullif(bare, F.lit("")), col(c))
+
+
+def publisher_hint(c: Column | str, known: dict[str, str]) -> Column:
+    """The domain that a headline's tail names: of a known publisher, or written out."""
+    tail = F.lower(F.trim(F.regexp_extract(col(c), r"^.* - (.*)$", 1)))
+    named = F.coalesce(*[F.when(tail == n, F.lit(domain)) for n, domain in known.items()]) if known else F.lit(None).cast("string")
+    return F.coalesce(named, F.when(tail.rlike(r"^[a-z0-9.-]+\.[a-z]{2,}$"), tail))
+
+
 def is_named_person(c: Column | str) -> Column:
     """At least two capitalised words."""
     return F.regexp_count(col(c), F.lit(r"\b[A-Z][a-z]+(?:[-'][A-Z][a-z]+)?\b")) >= 2

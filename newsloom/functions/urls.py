@@ -54,8 +54,13 @@ def parameter(c: Column | str, name: str) -> Column:
 
 
 def unwrapped(c: Column | str, names: Sequence[str] = ("url", "u", "q", "target")) -> Column:
-    """The address inside a search redirect, else the address itself."""
-    inner = [F.when(F.url_decode(parameter(c, n)).rlike("^https?://"), F.url_decode(parameter(c, n))) for n in names]
+    """The address inside a search redirect - plain, escaped, or in base 64 after ``a1`` - else the address itself."""
+    web = lambda v: F.when(v.rlike("^https?://"), v)
+    inner = []
+    for n in names:
+        raw = F.try_url_decode(parameter(c, n))
+        coded = F.rpad(F.translate(F.substring(raw, 3, 1 << 20), "-_", "+/"), (F.ceil((F.length(raw) - 2) / 4) * 4).cast("int"), "=")
+        inner += [web(raw), F.when(raw.rlike("^a1[A-Za-z0-9+/_-]+=*$"), web(F.try_to_binary(coded, F.lit("base64")).cast("string")))]
     return F.coalesce(*inner, col(c))
 
 

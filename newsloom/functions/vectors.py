@@ -23,6 +23,13 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.coalesce(F.when(usable, dot(a, b) / n), F.lit(0.0))
 
 
+def json_vector(c: Column | str, dim: int) -> Column:
+    """A JSON list of exactly ``dim`` finite numbers, not all zero, as doubles; null for anything else."""
+    v = F.from_json(F.when(col(c).rlike(r"^\s*\[[-+0-9eE.,\s]*\]\s*$"), col(c)), "array<double>")
+    usable = (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    return F.when(usable, v)
+
+
 def jaccard(a: Column | str, b: Column | str) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(col(a), col(b))), F.size(F.array_union(col(a), col(b)))), F.lit(0.0))
 

@@ -15,15 +15,15 @@ from pyspark.sql import functions as F
 from newsloom.functions import text, urls
 from newsloom.operators import dedupe, joins, ranking, retrieval, scoring, similarity, state
 
-#: Words a question is asked with, not about.
+#: Words a question is asked with, not about; a default that callers may replace.
 QUESTION_WORDS = frozenset("a an and are about any as at be by did do does find for from give had has have how in is it its me of on or show story tell that the there these this to was were what when where which who why will with".split())
 
 
 # -- questions ------------------------------------------------------------------------------------
-def question_words(question: str, least: int = 3) -> list[str]:
+def question_words(question: str, least: int = 3, asked: frozenset[str] = QUESTION_WORDS) -> list[str]:
     """The words a question is about, in order."""
     words = re.findall(r"[a-z0-9]+", question.lower())
-    return list(dict.fromkeys(w for w in words if len(w) >= least and w not in QUESTION_WORDS))
+    return list(dict.fromkeys(w for w in words if len(w) >= least and w not in asked))
 
 
 def phrases_of(question: str, most: int = 4) -> list[str]:

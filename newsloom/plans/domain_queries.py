@@ -102,18 +102,10 @@ def top_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return ranking.top_k(per, [F.desc("n"), F.asc("first_item")], 15)
 
 
-@C.query("""WITH t AS (SELECT DISTINCT lower(trim(k)) AS term FROM (SELECT unnest(matched_keywords) AS k FROM ecfs_items) WHERE k NOT LIKE '% %'), w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, string_agg(term, ',' ORDER BY term) AS terms FROM w JOIN t USING (term) GROUP BY doc_id""")
-def dictionary_containment(spark: SparkSession, d: str) -> DataFrame:
-    terms = table(spark, d, "ecfs_items").select(F.explode("matched_keywords").alias("k")).where("k not like '% %'").select(F.lower(F.trim("k")).alias("term"))
-    docs = table(spark, d, "documents").where("text is not null")
-    return joins.token_dictionary(docs, "doc_id", text.tokens("text"), terms, "term").select("doc_id", F.array_join("terms", ",").alias("terms"))
-
-
 @C.query("""WITH t AS (SELECT DISTINCT array_to_string(regexp_extract_all(lower(k), '[a-z0-9]+'), ' ') AS term FROM (SELECT unnest(matched_keywords) AS k FROM ecfs_items)), w AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' AS words FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, string_agg(term, ',' ORDER BY term) AS terms FROM w JOIN t ON term <> '' AND contains(words, ' ' || term || ' ') GROUP BY doc_id""")
-def term_containment(spark: SparkSession, d: str) -> DataFrame:
-    """Terms of one word or several; ``dictionary_containment`` is the part of one word its SQL states."""
+def dictionary_containment(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of one word or several, by an equi-join on the runs of words of their lengths."""
     terms = table(spark, d, "ecfs_items").select(F.explode("matched_keywords").alias("k")).select(text.tokens("k").alias("ws")).distinct().where(F.size("ws") > 0)
     lengths = sorted(r["n"] for r in terms.select(F.size("ws").alias("n")).distinct().collect())
     docs = table(spark, d, "documents").where("text is not null")
@@ -269,6 +261,18 @@ def same_story_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.array_join(ordered[0], " ").alias("story_a"), F.array_join(ordered[1], " ").alias("story_b"), F.round("similarity", 6).alias("similarity"))
 
 
+@C.query(f"""{_SIGNED}, f AS (SELECT DISTINCT s, ms, nums FROM s WHERE len(s) >= 4), d AS (SELECT *, row_number() OVER (ORDER BY s, ms, nums) AS i FROM f),
+l AS (SELECT a.i, count(*) AS n FROM d a JOIN d b ON a.i <> b.i WHERE {_SAME} GROUP BY a.i)
+SELECT item_id, array_to_string(s.s, ' ') AS words, coalesce(n, 0) AS n_links FROM s JOIN d ON s.s = d.s AND s.ms = d.ms AND s.nums = d.nums LEFT JOIN l USING (i)""")
+def story_links(spark: SparkSession, d: str) -> DataFrame:
+    """Each item of four words or more with its class (its word set) and how many other classes tell the same story."""
+    rows = _signed(table(spark, d, "feed_items").where("title is not null")).where(F.size("s") >= 4)
+    pairs = similarity.story_pairs(rows, "s", **_RULE).select("ia", "ib")
+    links = pairs.unionByName(pairs.select(F.col("ib").alias("ia"), F.col("ia").alias("ib"))).groupBy("ia").agg(rows_as("n_links"))
+    keyed = rows.select("item_id", "s", similarity.story_id(["s", "ms", "nums"]).alias("ia"))
+    return keyed.join(links, "ia", "left").select("item_id", F.array_join("s", " ").alias("words"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 @C.query(f"""{_SIGNED}, o AS (SELECT DISTINCT s, ms, nums FROM s WHERE item_id % 4 = 0), n AS (SELECT * FROM s WHERE item_id % 4 <> 0)
 SELECT item_id FROM n WHERE item_id NOT IN (SELECT a.item_id FROM n a JOIN o b ON {_SAME})""")
 def same_story_antijoin(spark: SparkSession, d: str) -> DataFrame:

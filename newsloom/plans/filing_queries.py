@@ -35,14 +35,16 @@ def dynamic_columns(spark: SparkSession, d: str) -> DataFrame:
 _ORG = r"array_to_string(list_filter(string_split(trim(regexp_replace(replace(lower({c}), '&', ' and '), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w NOT IN ('', 'the','inc','llc','corp','of','and','foundation','friends')), ' ')"
 
 
-@C.query(f"""WITH c AS (SELECT DISTINCT alias AS k FROM station_aliases WHERE regexp_matches(alias, '^[KW][A-Z]{{3,4}}$')), n AS (SELECT DISTINCT {_ORG.format(c='station_name')} AS k FROM station_records WHERE station_name IS NOT NULL)
-SELECT filing_id, CASE WHEN c.k IS NOT NULL THEN 'call_sign' WHEN n.k IS NOT NULL THEN 'org_name' END AS matched_by FROM ecfs_items e LEFT JOIN c ON e.matched_call_signs[1] = c.k LEFT JOIN n ON {_ORG.format(c='e.filers[1]')} = n.k""")
+@C.query(f"""WITH c AS (SELECT DISTINCT alias AS k FROM station_aliases WHERE regexp_matches(alias, '^[KW][A-Z]{{3,4}}$')), n AS (SELECT DISTINCT {_ORG.format(c='station_name')} AS k FROM station_records WHERE station_name IS NOT NULL), f AS (SELECT DISTINCT nullif(regexp_replace(proceedings[1], '[^0-9]', '', 'g'), '') AS k FROM ecfs_items WHERE len(matched_call_signs) > 1)
+SELECT filing_id, CASE WHEN c.k IS NOT NULL THEN 'call_sign' WHEN f.k IS NOT NULL THEN 'facility_id' WHEN n.k IS NOT NULL THEN 'org_name' END AS matched_by FROM ecfs_items e LEFT JOIN c ON e.matched_call_signs[1] = c.k LEFT JOIN f ON nullif(regexp_replace(e.proceedings[1], '[^0-9]', '', 'g'), '') = f.k LEFT JOIN n ON {_ORG.format(c='e.filers[1]')} = n.k""")
 def filing_match(spark: SparkSession, d: str) -> DataFrame:
     aliases, roster = table(spark, d, "station_aliases"), table(spark, d, "station_records")
-    rows = table(spark, d, "ecfs_items").select("filing_id", F.get("matched_call_signs", F.lit(0)).alias("call_sign"), F.lit(None).cast("string").alias("facility_id"), text.org_key(F.get("filers", F.lit(0))).alias("org_name"))
+    rows = table(spark, d, "ecfs_items").select("filing_id", F.get("matched_call_signs", F.lit(0)).alias("call_sign"), F.get("proceedings", F.lit(0)).alias("facility_id"), text.org_key(F.get("filers", F.lit(0))).alias("org_name"))
     calls = aliases.where(F.col("alias").rlike("^[KW][A-Z]{3,4}$")).select("alias")
     names = roster.where("station_name is not null").select(text.org_key("station_name").alias("k"))
-    return filings.match_roster(rows, calls, calls.limit(0), names).select("filing_id", "matched_by")
+    # Dockets that concern several stations stand for the facilities a filing may name.
+    dockets = table(spark, d, "ecfs_items").where(F.size("matched_call_signs") > 1).select(text.digits(F.get("proceedings", F.lit(0))).alias("k"))
+    return filings.match_roster(rows, calls, dockets, names).select("filing_id", "matched_by")
 
 
 @C.query("""WITH b AS (SELECT station_id, arg_min(page_url, page_url) AS u FROM audit_documents WHERE page_url IS NOT NULL AND station_id IS NOT NULL GROUP BY 1)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-CORE_MODULES = tuple(f"newsloom.plans.{m}_queries" for m in ("timestamp", "text", "retrieval", "domain", "filing", "state"))
+CORE_MODULES = tuple(f"newsloom.plans.{m}_queries" for m in ("timestamp", "text", "retrieval", "domain", "filing", "state", "search"))
 EXTRA_PACKAGE = "newsloom.llm"
 
 

@@ -67,19 +67,6 @@ def candidate_gated_union(spark: SparkSession, d: str) -> DataFrame:
     return R.gated_union([(R.lexical_branch(a, ["network audit"], 60), None), (R.lexical_branch(a, ["antenna"], 60), 80), (recent, 64)], "id")
 
 
-@C.query(f"""WITH v AS (SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank, 1 AS list_no FROM (SELECT * FROM ({_SCORES}) ORDER BY score DESC, id LIMIT 20)),
-l AS (SELECT CAST(id AS BIGINT) AS id, 0.5 AS score, CAST(row_number() OVER (ORDER BY id) AS INTEGER) AS rank, 0 AS list_no FROM (SELECT vec_id AS id FROM embeddings WHERE label = 3 AND vec_id <> 0 ORDER BY vec_id LIMIT 4)),
-u AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY list_no, rank) AS rn FROM (SELECT id, CAST(score AS DOUBLE) AS score, list_no, rank FROM l UNION ALL SELECT id, score, list_no, rank FROM v))
-SELECT id, score, list_no FROM u WHERE rn = 1 ORDER BY list_no, rank, id LIMIT 16""")
-def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    v = R.threshold_backfill(_scored(spark, d), 20, floor=-1.0, share=-9.0)
-    lexical = _scored(spark, d).where("label = 3").orderBy("id").limit(4)
-    from pyspark.sql import Window as W
-
-    lexical = lexical.withColumn("rank", F.row_number().over(W.orderBy("id"))).withColumn("score", F.lit(0.5))
-    return R.merge_lists([lexical, v], 16).select("id", "score", "list_no")
-
-
 @C.query(r"""WITH RECURSIVE t AS (SELECT doc_id, trim(regexp_replace(text,'\s+',' ','g')) AS c FROM documents WHERE text IS NOT NULL),
 r(doc_id,c,n,idx,s,e) AS (
   SELECT doc_id, c, length(c), 0, 0, CASE WHEN length(c)<=1400 THEN length(c) ELSE (SELECT CASE WHEN p>300 THEN p ELSE 1400 END FROM (SELECT 1400 - strpos(reverse(substring(c,1,1400)),' ') AS p)) END FROM t WHERE length(c)>0

@@ -65,10 +65,20 @@ def monthly_views(spark: SparkSession, d: str) -> DataFrame:
 
 
 # -- failures -------------------------------------------------------------------------------------
-_ERRORS = (("http_404", ("404",)), ("http_403", ("403",)), ("ssl", ("ssl", "certificate")), ("timeout", ("timed out",)), ("reset", ("reset",)))
-_SPARK_ERROR = "element_at(array('HTTP 404 not found', 'HTTP 403 forbidden', 'SSL certificate expired', 'request timed out', 'connection reset', 'other trouble'), cast(event_id % 6 as int) + 1)"
-_DUCK_ERROR = "(['HTTP 404 not found', 'HTTP 403 forbidden', 'SSL certificate expired', 'request timed out', 'connection reset', 'other trouble'])[CAST(event_id % 6 AS INTEGER) + 1]"
-_TYPED = f"SELECT event_id, user_id, ts, {_DUCK_ERROR} AS error, (['http_404','http_403','ssl','timeout','reset','other'])[CAST(event_id % 6 AS INTEGER) + 1] AS kind FROM events WHERE event_type = 'error'"
+#: Error texts as clients report them, and the types they are told apart by, the first that fits.
+_TEXTS = (
+    "HTTP Error 404: Not Found", "HTTP Error 403: Forbidden", "SSL: CERTIFICATE_VERIFY_FAILED unable to get local issuer", "download/archive failed: disk full", "The read operation timed out", "_ssl.c:983: The handshake operation timed out",
+    "[Errno 54] Connection reset by peer", "Remote end closed connection without response", "[Errno 8] nodename nor servname provided, or not known", "HTTP Error 503: Service Unavailable", "Name or service not known", "HTTP Error 404 after download/archive failed, timeout",
+)
+_ERRORS = (
+    ("http_404", ("http error 404",)), ("ssl_certificate", ("certificate_verify_failed",)), ("archive", ("download/archive failed",)), ("timeout", ("timed out", "timeout")), ("connection_reset", ("connection reset", "errno 54")),
+    ("connection_closed", ("remote end closed connection",)), ("dns", ("nodename nor servname", "name or service not known")), ("http_5xx", ("http error 5",)),
+)
+_TRANSIENT = ("timeout", "connection_reset", "connection_closed", "dns", "http_5xx", "other")
+_SPARK_ERROR = "element_at(array(%s), cast(event_id %% %d as int) + 1)" % (", ".join(f"'{t}'" for t in _TEXTS), len(_TEXTS))
+_DUCK_ERROR = "([%s])[CAST(event_id %% %d AS INTEGER) + 1]" % (", ".join(f"'{t}'" for t in _TEXTS), len(_TEXTS))
+_KIND = "CASE " + " ".join("WHEN %s THEN '%s'" % (" OR ".join(f"contains(lower(error), '{x}')" for x in xs), n) for n, xs in _ERRORS) + " ELSE 'other' END"
+_TYPED = f"SELECT *, {_KIND} AS kind FROM (SELECT event_id, user_id, ts, {_DUCK_ERROR} AS error FROM events WHERE event_type = 'error')"
 
 
 def _failures(spark: SparkSession, d: str) -> DataFrame:
@@ -89,16 +99,16 @@ def failure_summary(spark: SparkSession, d: str) -> DataFrame:
     return out.select("user_id", "failures", types.alias("types"), "last_error")
 
 
-@C.query(f"SELECT DISTINCT user_id FROM ({_TYPED}) WHERE kind IN ('timeout','reset')")
+@C.query(f"SELECT DISTINCT user_id FROM ({_TYPED}) WHERE kind IN {_TRANSIENT}")
 def transient_retry_set(spark: SparkSession, d: str) -> DataFrame:
     users = table(spark, d, "events").select("user_id").distinct()
-    return joins.retry_set(_failures(spark, d), users, "user_id", F.col("kind").isin("timeout", "reset"))
+    return joins.retry_set(_failures(spark, d), users, "user_id", F.col("kind").isin(*_TRANSIENT))
 
 
-@C.query(f"WITH f AS ({_TYPED}) SELECT event_id, kind FROM f WHERE user_id NOT IN (SELECT user_id FROM f WHERE kind = 'reset') UNION ALL SELECT event_id, 'retried' FROM f WHERE kind = 'reset'")
+@C.query(f"WITH f AS ({_TYPED}) SELECT event_id, kind FROM f WHERE user_id NOT IN (SELECT user_id FROM f WHERE kind = 'connection_reset') UNION ALL SELECT event_id, 'retried' FROM f WHERE kind = 'connection_reset'")
 def failure_replacement(spark: SparkSession, d: str) -> DataFrame:
     f = _failures(spark, d).select("event_id", "user_id", "kind")
-    fresh = f.where("kind = 'reset'").withColumn("kind", F.lit("retried"))
+    fresh = f.where("kind = 'connection_reset'").withColumn("kind", F.lit("retried"))
     return joins.replace_failures(f, fresh.select("user_id"), fresh, "user_id").select("event_id", "kind")
 
 

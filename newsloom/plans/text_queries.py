@@ -55,9 +55,9 @@ def snippet_first_match(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "docs").select("doc_id", text.around("content_text", "reserve fell", 80, 120).alias("snip")).where("snip is not null")
 
 
-@C.query(r"""SELECT item_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(title, '[KW][A-Z]{3,4}'), lambda x: x))), ',') AS calls FROM public_files_items WHERE regexp_matches(title, '^[KW][A-Z]{3,4}:')""")
+@C.query(r"""SELECT item_id, array_to_string(list_sort(list_distinct(regexp_extract_all(title, '\b([KW][A-Z]{2,4}(?:-(?:FM|TV|DT|AM|LP|LD|CD))?)\b', 1))), ',') AS calls FROM public_files_items WHERE title IS NOT NULL""")
 def call_sign_presence(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "public_files_items").where(F.col("title").rlike("^[KW][A-Z]{3,4}:"))
+    rows = table(spark, d, "public_files_items").where("title is not null")
     return rows.select("item_id", F.array_join(F.array_sort(text.call_signs("title")), ",").alias("calls"))
 
 
@@ -119,10 +119,9 @@ def local_trigger_gate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(gate.alias("gate")).where("gate is not null").groupBy("gate").agg(F.count(F.lit(1)).alias("n"))
 
 
-@C.query(r"""SELECT doc_id, regexp_extract(text, '(\d{4}-\d{2}-\d{2}|(?:January|February|March|April|May|June|July|August|September|October|November|December) \d{1,2}, \d{4})', 1) AS hint FROM documents
- WHERE NOT regexp_matches(text, '\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}') AND regexp_matches(text, '(January|February|March|April|May|June|July|August|September|October|November|December) \d{1,2}, \d{4}')""")
+@C.query(r"""SELECT * FROM (SELECT doc_id, coalesce(nullif(regexp_extract(text, '(\d{4}-\d{2}-\d{2})', 1), ''), nullif(regexp_extract(text, '((?:January|February|March|April|May|June|July|August|September|October|November|December) \d{1,2}, \d{4})', 1), ''), nullif(regexp_extract(text, '(\d{1,2}/\d{1,2}/\d{4})', 1), '')) AS hint FROM documents) WHERE hint IS NOT NULL""")
 def date_hints(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").where(~F.col("text").rlike(r"\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}"))
+    rows = table(spark, d, "documents")
     return rows.select("doc_id", dates.date_hint("text").alias("hint")).where("hint is not null")
 
 
@@ -155,9 +154,16 @@ def biweekly_anchor(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", F.date_format("a", "yyyy-MM-dd HH:mm:ss").alias("anchor"))
 
 
-@C.query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '[\s\x{00A0}]+', ' ', 'g')) AS body FROM documents WHERE contains(text, '<') AND NOT contains(text, '&')""")
+_ENTITIES = "trim(regexp_replace({c}, '[\\s\\x{{00A0}}]+', ' ', 'g'))"
+_DECODED = "regexp_replace(text, '<[^>]*>', ' ', 'g')"
+for _name, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&ndash;", "–"), ("&mdash;", "—"), ("&rsquo;", "’"), ("&lsquo;", "‘"), ("&hellip;", "…"), ("&amp;", "&")):
+    _DECODED = f"replace({_DECODED}, '{_name}', '{_char}')"
+
+
+@C.query(f"SELECT doc_id, {_ENTITIES.format(c=_DECODED)} AS body FROM documents WHERE contains(text, '<')")
 def html_text(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").where(F.col("text").contains("<") & ~F.col("text").contains("&"))
+    """Texts with mark-up; the SQL decodes the entities these texts use, the query all of them."""
+    rows = table(spark, d, "documents").where(F.col("text").contains("<"))
     return rows.select("doc_id", text.stripped_html("text").alias("body"))
 
 
