@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import alias_forms, name_tokens
+from newsloom.functions.text import alias_forms, has_any_term, name_tokens, tokens
 from newsloom.functions.urls import page_key
+from newsloom.operators.joins import word_grams
 
 
 def canonical_rank(name: Column, penalties: Sequence[str]) -> Column:
@@ -68,5 +70,32 @@ def validate_config(df: DataFrame, id_col: str, url_col: str, enabled: Column) -
     return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
+def config_issues(df: DataFrame, id_col: str, name_col: str, url_col: str, enabled: Column) -> DataFrame:
+    """``issue, id, name, url``: the entries behind the counters - duplicate ids, bad addresses, switched off with one, on without."""
+    has = F.length(F.trim(F.coalesce(url_col, F.lit("")))) > 0
+    good = F.coalesce(F.lower(F.trim(url_col)).rlike(r"^https?://[^/\s]+"), F.lit(False))
+    shown = lambda rows, issue: rows.select(F.lit(issue).alias("issue"), F.col(id_col).alias("id"), F.col(name_col).alias("name"), F.col(url_col).alias("url"))
+    twice = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("duplicate_id").alias("issue"), F.col(id_col).alias("id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("url"))
+    parts = [shown(df.where(has & ~good), "malformed_url"), shown(df.where(~enabled & has), "disabled_with_url"), shown(df.where(enabled & ~has), "enabled_without_url")]
+    return reduce(DataFrame.unionByName, parts, twice)
+
+
+def headline_names(roster: DataFrame, name_col: str, core: Sequence[str]) -> DataFrame:
+    """``name, is_call``: what headlines may call the stations of a roster - call signs without band, or names with a core term."""
+    name = F.trim(F.col(name_col))
+    call = F.regexp_extract(name, "^([KW][A-Z]{2,4})(?:-(?:FM|TV|DT|AM|LP))?$", 1)
+    named = roster.select(F.when(call != "", call).when(has_any_term(name, core), F.lower(name)).alias("name"), (call != "").alias("is_call"))
+    return named.where("name is not null").distinct()
+
+
+def in_headlines(df: DataFrame, id_col: str, text: str, names: DataFrame) -> DataFrame:
+    """The ids of texts that name a station: a call sign in capitals, or a whole name in any case, by equi-joins on runs of words."""
+    calls = df.select(id_col, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"\b([KW][A-Z]{2,4})\b"), 1))).alias("name")).join(names.where("is_call").select("name"), "name", "left_semi")
+    keys = names.where("not is_call").select(F.array_join(tokens("name"), " ").alias("term"), F.size(tokens("name")).alias("n")).where("n > 0").distinct()
+    lengths = sorted(r["n"] for r in keys.select("n").distinct().collect())  # as many as names have words
+    said = df.select(id_col, F.explode(word_grams(tokens(text), lengths)).alias("term")).join(keys.select("term"), "term", "left_semi")
+    return calls.select(id_col).unionByName(said.select(id_col)).distinct()
+
+
 def skip_reason(enabled: Column, url: Column) -> Column:
     return F.when(~enabled, "disabled entry").when(F.length(F.trim(F.coalesce(url, F.lit("")))) == 0, "enabled without page_url")

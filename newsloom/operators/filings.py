@@ -15,7 +15,8 @@ from newsloom.sources.tables import row_text, synonym
 
 #: Under which names sources write a column.
 SYNONYMS = {
-    "file_number": ("File Number", "File No", "FileNumber"),
+    "file_number": ("File Number", "File No", "FileNumber", "File #", "FileNum", "Lead File Number", "Member File Number", "Lead/Member File Number"),
+    "application_id": ("Application ID", "Application Id", "ApplicationID", "App ID"),
     "call_sign": ("Call Sign", "Callsign", "CallSign"),
     "facility_id": ("Facility ID", "Facility Id", "FacilityID"),
     "applicant": ("Applicant", "Applicant Name", "Licensee"),

@@ -47,3 +47,10 @@ def alternating_index(df: DataFrame, group: str, order: Sequence[Column], flag:
     """How many flagged rows of the group came before, by turns 0 and 1."""
     before = F.coalesce(F.sum(flag.cast("int")).over(W.partitionBy(group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return df.withColumn("side", F.when(flag, before % 2))
+
+
+def document_order(kinds: Sequence[str], levels: Sequence[str] = ("high", "medium", "low")) -> list[Column]:
+    """Documents by importance: the latest of a station first, then kind, newest year, confidence, station and title."""
+    place = lambda c, names: F.coalesce(*[F.when(F.lower(c) == n, i) for i, n in enumerate(names)], F.lit(len(names)))
+    latest = F.when(F.coalesce("latest", F.lit(False)), 0).otherwise(1)
+    return [latest.asc(), place("kind", kinds).asc(), F.desc(F.coalesce("year", F.lit(0))), place("confidence", levels).asc(), F.asc(F.coalesce("station_name", F.lit(""))), F.asc(F.coalesce("title", F.lit("")))]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text, urls
 from newsloom.operators import dedupe, joins, ranking, retrieval, scoring, similarity, state
+from newsloom.session import staged
 
 #: Words a question is asked with, not about; a default that callers may replace.
 QUESTION_WORDS = frozenset("a an and are about any as at be by did do does find for from give had has have how in is it its me of on or show story tell that the there these this to was were what when where which who why will with".split())
@@ -106,10 +107,10 @@ def stories_to_send(ranked: DataFrame, told: DataFrame, stopwords: Sequence[str]
     ``groups``: milestone words; titles of different milestones tell different stories.
     """
     sign = {"words": similarity.word_set("title", stopwords), "marks": similarity.milestones("title", groups) if groups else F.array().cast("array<int>"), "nums": similarity.amounts("title")}
-    rows = ranked.where("bucket <> 'low'").select("item_id", "title", "link", "best_score").withColumns(sign)
+    rows = staged(ranked.sparkSession, ranked.where("bucket <> 'low'").select("item_id", "title", "link", "best_score").withColumns(sign), "ranked")
     memory = told.where("title is not null").select("title").withColumns(sign).drop("title")
     rule = {"jaccard": 0.55, "shared": 4, "many": 5, "contained": 0.85, "extra": ["marks"], "apart": ["nums"]}
-    fresh = ranking.top_k(similarity.unlike_recent(rows, memory, "words", least=4, **rule), [F.desc("best_score"), F.asc("item_id")], k)
+    fresh = staged(ranked.sparkSession, ranking.top_k(similarity.unlike_recent(rows, memory, "words", least=4, **rule), [F.desc("best_score"), F.asc("item_id")], k), "fresh")
     heads = similarity.greedy_stories(ranked.sparkSession, fresh, "item_id", [-F.col("best_score")], "words", **rule).where("pos = story").select(F.col("pos").alias("item_id"))
     return fresh.join(heads, "item_id", "left_semi").drop(*sign)
 

@@ -543,7 +543,10 @@ def question_rank(spark: SparkSession, d: str) -> DataFrame:
     return ranking.capped_ranking(rows, "report_year", [F.desc("score"), F.asc("doc_id")], 2, 12)
 
 
-@C.query()
+@C.query(rf"""WITH p AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(trim(content_text), '\s+', ' ', 'g'), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)) AS ss FROM docs WHERE content_text IS NOT NULL),
+s AS (SELECT doc_id, generate_subscripts(ss, 1) AS i, unnest(ss) AS t FROM p),
+h AS (SELECT *, {" + ".join(f"CAST(contains(lower(t), '{w}') AS INTEGER)" for w in _QW)} - 2 * CAST(contains(lower(t), 'routine') AS INTEGER) AS hits FROM s WHERE length(t) >= 25),
+b AS (SELECT doc_id, arg_min(t, (-hits, i)) AS t, max(hits) AS hits FROM h GROUP BY doc_id) SELECT doc_id, substring(t, 1, 320) AS sentence, hits FROM b WHERE hits > 0""")
 def best_sentence(spark: SparkSession, d: str) -> DataFrame:
     return scoring.best_sentences(table(spark, d, "docs").where("content_text is not null"), "doc_id", "content_text", _QW, ("routine",))
 

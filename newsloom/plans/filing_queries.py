@@ -113,4 +113,37 @@ def meeting_recency(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "public_files_items").where(day.isNull() | (day >= F.lit("2024-06-01").cast("date"))).select("item_id")
 
 
+_HAS = "length(trim(coalesce(page_url,''))) > 0"
+
+
+@C.query(f"""SELECT 'duplicate_id' AS issue, station_id AS id, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS url FROM station_records GROUP BY station_id HAVING count(*) > 1
+UNION ALL SELECT 'malformed_url', station_id, station_name, page_url FROM station_records WHERE {_HAS} AND NOT coalesce(regexp_matches(lower(trim(page_url)), '^https?://[^/\\s]+'), false)
+UNION ALL SELECT 'disabled_with_url', station_id, station_name, page_url FROM station_records WHERE NOT enabled AND {_HAS} UNION ALL SELECT 'enabled_without_url', station_id, station_name, page_url FROM station_records WHERE enabled AND NOT {_HAS}""")
+def config_issues(spark: SparkSession, d: str) -> DataFrame:
+    return entities.config_issues(table(spark, d, "station_records"), "station_id", "station_name", "page_url", F.col("enabled"))
+
+
+@C.query(r"""WITH n AS (SELECT DISTINCT CASE WHEN regexp_matches(trim(alias), '^[KW][A-Z]{2,4}(-(FM|TV|DT|AM|LP))?$') THEN regexp_extract(trim(alias), '^([KW][A-Z]{2,4})', 1) WHEN regexp_matches(lower(trim(alias)), '(^|[^a-z0-9])(public radio|community radio|public media)($|[^a-z0-9])') THEN lower(trim(alias)) END AS name, regexp_matches(trim(alias), '^[KW][A-Z]{2,4}(-(FM|TV|DT|AM|LP))?$') AS is_call FROM station_aliases),
+k AS (SELECT DISTINCT array_to_string(regexp_extract_all(name, '[a-z0-9]+'), ' ') AS term FROM n WHERE NOT is_call AND name IS NOT NULL),
+t AS (SELECT item_id, title, ' ' || array_to_string(regexp_extract_all(lower(title), '[a-z0-9]+'), ' ') || ' ' AS w FROM feed_items)
+SELECT DISTINCT item_id FROM (SELECT item_id FROM (SELECT item_id, unnest(regexp_extract_all(title, '\b([KW][A-Z]{2,4})\b', 1)) AS name FROM t) JOIN n USING (name) WHERE is_call UNION ALL SELECT item_id FROM t JOIN k ON term <> '' AND contains(w, ' ' || term || ' '))""")
+def headline_stations(spark: SparkSession, d: str) -> DataFrame:
+    """Feed items whose headline names a station of the roster."""
+    names = entities.headline_names(table(spark, d, "station_aliases"), "alias", ("public radio", "community radio", "public media"))
+    return entities.in_headlines(table(spark, d, "feed_items"), "item_id", "title", names)
+
+
+@C.query("""WITH r AS (SELECT record_no, lower(coalesce(confidence, '')) AS c, coalesce(try_cast(regexp_extract(title, '(20[0-9][0-9])', 1) AS INTEGER), 0) AS y, coalesce(station_name, '') AS s, coalesce(title, '') AS t, CASE WHEN contains(lower(title), 'audit') THEN 0 WHEN contains(lower(title), 'report') THEN 1 ELSE 2 END AS k FROM audit_documents)
+SELECT record_no FROM r ORDER BY k, y DESC, CASE c WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, s, t, record_no LIMIT 60""")
+def document_priority(spark: SparkSession, d: str) -> DataFrame:
+    """The 60 most important documents found (none is marked latest here)."""
+    rows = table(spark, d, "audit_documents").select("record_no", "confidence", "station_name", "title", F.lit(False).alias("latest"), F.regexp_extract("title", "(20[0-9][0-9])", 1).try_cast("int").alias("year"), F.when(F.lower("title").contains("audit"), "audit").when(F.lower("title").contains("report"), "report").alias("kind"))
+    return ranking.top_k(rows, [*ranking.document_order(("audit", "report")), F.asc("record_no")], 60).select("record_no")
+
+
+@C.query(r"""SELECT doc_id, coalesce(nullif(trim(regexp_replace(coalesce(title, ''), '[\s\x{00A0}]+', ' ', 'g')), ''), nullif(regexp_extract(regexp_replace(file_path, '[?#].*$', ''), '([^/]*)$', 1), ''), file_path) AS shown FROM docs WHERE file_path IS NOT NULL""")
+def document_titles(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "docs").where("file_path is not null").select("doc_id", text.document_title(F.coalesce("title", F.lit("")), "file_path").alias("shown"))
+
+
 QUERIES, ORACLES = C.queries, C.oracles

@@ -161,13 +161,18 @@ def fts_phrase(spark: SparkSession, d: str) -> DataFrame:
     return R.match_phrase(_index(spark, d), ["fiscal", "year", "closed"])
 
 
-@C.query()
+@C.query(r"""WITH p AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS ps FROM documents WHERE text IS NOT NULL),
+h AS (SELECT doc_id, ps, list_transform(ps, lambda w: regexp_matches(lower(w), '(^|[^a-z0-9])antenna($|[^a-z0-9])|(^|[^a-z0-9])deficit($|[^a-z0-9])')) AS hs FROM p),
+a AS (SELECT *, list_position(hs, true) AS pos, greatest(1, list_position(hs, true) - 10) AS b FROM h WHERE list_contains(hs, true))
+SELECT doc_id, CASE WHEN b > 1 THEN '… ' ELSE '' END || array_to_string(list_transform(range(b, least(b + 20, len(ps) + 1)), lambda i: CASE WHEN hs[i] THEN '[' || ps[i] || ']' ELSE ps[i] END), ' ') AS snip FROM a""")
 def fts_snippet(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("doc_id", R.snippet(F.col("text"), ["antenna", "deficit"]).alias("snip"))
     return rows.where("snip is not null")
 
 
-@C.query()
+@C.query(r"""WITH t AS (SELECT doc_id, trim(regexp_replace(content_text, '[\s\x{00A0}]+', ' ', 'g')) AS t FROM docs WHERE content_text <> ''),
+h AS (SELECT doc_id, coalesce(nullif(regexp_extract(t, '(?i)(reserve fell[^.]{0,220}\.)', 1), ''), nullif(regexp_extract(t, '(?i)(going concern[^.]{0,220}\.)', 1), ''), nullif(regexp_extract(t, '(?i)(shortfall[^.]{0,220}\.)', 1), ''), nullif(regexp_extract(t, '^(.{24,259}?[.!?])(?: |$)', 1), ''), substring(t, 1, 260)) AS h FROM t)
+SELECT doc_id, CASE WHEN length(h) > 260 THEN substring(h, 1, 257) || '...' ELSE h END AS highlight FROM h""")
 def highlights(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "docs").where("content_text is not null and content_text <> ''")
     return rows.select("doc_id", highlight("content_text", ["reserve fell", "going concern", "shortfall"]).alias("highlight"))

@@ -167,7 +167,17 @@ def html_text(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", text.stripped_html("text").alias("body"))
 
 
-@C.query()
+@C.query(r"""WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?is)<a\s[^>]*href\s*=\s*["''][^"'']+["''][^>]*>.*?</a>')) AS x FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, trim(regexp_extract(x, '(?is)href\s*=\s*["'']([^"'']+)["'']', 1)) AS href, count(*) AS n FROM a GROUP BY ALL""")
+def page_links(spark: SparkSession, d: str) -> DataFrame:
+    """The distinct links of each text with how often they stand there."""
+    from newsloom.sources.markup import parse_documents
+
+    return parse_documents(table(spark, d, "documents"), "doc_id", "text", "anchors").groupBy("doc_id", "href").agg(F.count(F.lit(1)).alias("n"))
+
+
+@C.query(r"""WITH a AS (SELECT doc_id, generate_subscripts(xs, 1) AS i, unnest(xs) AS x FROM (SELECT doc_id, regexp_extract_all(text, '(?is)<a\s[^>]*href\s*=\s*["''][^"'']+["''][^>]*>.*?</a>') AS xs FROM documents WHERE text IS NOT NULL))
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, trim(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '[\s\x{00A0}]+', ' ', 'g')) AS text, trim(regexp_extract(x, '(?is)href\s*=\s*["'']([^"'']+)["'']', 1)) AS href FROM a""")
 def html_anchors(spark: SparkSession, d: str) -> DataFrame:
     from newsloom.sources.markup import parse_documents
 

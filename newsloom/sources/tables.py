@@ -19,6 +19,25 @@ def read_csv(spark: SparkSession, path: str, required: Sequence[str] = ()) -> Da
     return df.select(*[F.trim(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c) for c in names])
 
 
+def rows_of_csv(df: DataFrame, text_col: str, columns: Sequence[str]) -> DataFrame:
+    """One row a line of CSV texts (without headers of their own), its named columns trimmed; blank lines give none, a cell holds no line break."""
+    lines = df.select(*[c for c in df.columns if c != text_col], F.posexplode(F.split(F.regexp_replace(text_col, "^\ufeff", ""), r"\r?\n")).alias("line_no", "_line")).where(F.length(F.trim("_line")) > 0)
+    parsed = F.from_csv("_line", ", ".join(f"`{c}` string" for c in columns), {"ignoreLeadingWhiteSpace": "true"})
+    return lines.select(*[c for c in lines.columns if c != "_line"], *[F.trim(F.coalesce(parsed[c], F.lit(""))).alias(c) for c in columns])
+
+
+def config_errors(df: DataFrame, required: Sequence[str] = ("station_id", "station_name")) -> DataFrame:
+    """``line_no, error`` of configuration rows (numbered from 2, after the header) that lack something."""
+    lacks = F.array_compact(F.array(*[F.when(F.length(F.trim(F.coalesce(F.col(c), F.lit("")))) == 0, F.lit(c)) for c in required]))
+    return df.where(F.size(lacks) > 0).select("line_no", F.concat(F.lit("missing "), F.array_join(lacks, ", ")).alias("error"))
+
+
+def keyed(df: DataFrame, key: str, order: str) -> DataFrame:
+    """One row a key, the last in the order; rows without a key are left out."""
+    last = df.where(F.length(F.trim(F.col(key))) > 0).groupBy(F.trim(key).alias("_key")).agg(F.max_by(F.struct(*df.columns), F.col(order)).alias("x"))
+    return last.select("x.*")
+
+
 def is_enabled(c: Column) -> Column:
     """Blank means enabled; 0, false, no and n mean not."""
     return ~F.lower(F.trim(F.coalesce(c, F.lit("")))).isin("0", "false", "no", "n")
