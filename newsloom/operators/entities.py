@@ -93,7 +93,7 @@ def in_headlines(df: DataFrame, id_col: str, text: str, names: DataFrame) -> Dat
     calls = df.select(id_col, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"\b([KW][A-Z]{2,4})\b"), 1))).alias("name")).join(names.where("is_call").select("name"), "name", "left_semi")
     keys = names.where("not is_call").select(F.array_join(tokens("name"), " ").alias("term"), F.size(tokens("name")).alias("n")).where("n > 0").distinct()
     lengths = sorted(r["n"] for r in keys.select("n").distinct().collect())  # as many as names have words
-    said = df.select(id_col, F.explode(word_grams(tokens(text), lengths)).alias("term")).join(keys.select("term"), "term", "left_semi")
+    said = df.select(id_col, tokens(text).alias("_w")).select(id_col, F.explode(word_grams(F.col("_w"), lengths)).alias("term")).join(keys.select("term"), "term", "left_semi")
     return calls.select(id_col).unionByName(said.select(id_col)).distinct()
 
 

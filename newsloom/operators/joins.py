@@ -46,15 +46,20 @@ def alias_cascade(df: DataFrame, id_col: str, keys: Column, aliases: DataFrame,
 
 
 def word_grams(words: Column, lengths: Sequence[int]) -> Column:
-    """The runs of words of some lengths, each joined by blanks."""
-    last = lambda n: F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    run = lambda n: F.transform(last(n), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
-    return F.array_distinct(F.concat(F.array().cast("array<string>"), *[words if n == 1 else run(n) for n in lengths]))
-
-
-def token_dictionary(df: DataFrame, id_col: str, tokens: Column, terms: DataFrame, term_col: str) -> DataFrame:
-    """``id, terms``: the dictionary's single words in each text, by an equi-join on distinct tokens."""
-    words = df.select(F.col(id_col), F.explode(F.array_distinct(tokens)).alias("_t"))
+    """The runs of words of some lengths, each joined by blanks; a run grows word by word over the whole list at once."""
+    made, run = [F.array().cast("array<string>")], words
+    for n in range(1, max(lengths, default=0) + 1):
+        if n > 1:
+            # Beyond the end there is no word, and a run with none is none.
+            run = F.zip_with(run, F.slice(words, F.lit(n), F.greatest(F.size(words), F.lit(0))), lambda r, w: F.concat(r, F.lit(" "), w))
+        if n in lengths:
+            made.append(F.array_compact(run))
+    return F.array_distinct(F.concat(*made))
+
+
+def token_dictionary(df: DataFrame, id_col: str, tokens: Column, terms: DataFrame, term_col: str, lengths: Sequence[int] = (1,)) -> DataFrame:
+    """``id, terms``: the dictionary's terms of some numbers of words in each text, by an equi-join on its distinct runs of words."""
+    words = df.select(F.col(id_col), tokens.alias("_w")).select(F.col(id_col), F.explode(word_grams(F.col("_w"), lengths)).alias("_t"))
     return words.join(terms.select(F.col(term_col).alias("_t")).distinct(), "_t").groupBy(id_col).agg(F.array_sort(F.collect_set("_t")).alias("terms"))
 
 

@@ -34,7 +34,7 @@ def window_spans(length: int, blanks: Sequence[int], size: int, overlap: int, le
 def window_chunks(df: DataFrame, id_col: str, text_col: str, size: int = 1_400, overlap: int = 220, least: int = 300) -> DataFrame:
     """``id, chunk_index, content``: overlapping windows over texts with their white space collapsed.
 
-    White space is collapsed in the JVM; Python only finds the spans. Null, empty and blank texts have no
+    Null, empty and blank texts have no
     chunks; a chunk that is blank has no row. ``overlap`` must be under ``least``, or windows would not advance.
     """
     if not 0 <= overlap < least < size:
@@ -44,6 +44,7 @@ def window_chunks(df: DataFrame, id_col: str, text_col: str, size: int = 1_400,
         for pdf in batches:
             owner, place, content = [], [], []
             for i, text in zip(pdf[id_col], pdf["_text"]):
+                text = " ".join(text.split())
                 blanks = [m.start() for m in re.finditer(" ", text)] if len(text) > size else ()
                 pieces = [c for c in (text[a:b].strip(" ") for a, b in window_spans(len(text), blanks, size, overlap, least)) if c]
                 owner += [i] * len(pieces)
@@ -51,7 +52,7 @@ def window_chunks(df: DataFrame, id_col: str, text_col: str, size: int = 1_400,
                 content += pieces
             yield pd.DataFrame({id_col: pd.Series(owner, dtype=pdf[id_col].dtype), "chunk_index": np.array(place, np.int32), "content": pd.Series(content, dtype=object)})
 
-    rows = df.where(F.col(text_col).isNotNull()).select(id_col, collapse(text_col).alias("_text"))
+    rows = df.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("_text"))
     return rows.mapInPandas(cut, f"{id_col} {dict(df.dtypes)[id_col]}, chunk_index int, content string")
 
 

@@ -109,7 +109,7 @@ def dictionary_containment(spark: SparkSession, d: str) -> DataFrame:
     terms = table(spark, d, "ecfs_items").select(F.explode("matched_keywords").alias("k")).select(text.tokens("k").alias("ws")).distinct().where(F.size("ws") > 0)
     lengths = sorted(r["n"] for r in terms.select(F.size("ws").alias("n")).distinct().collect())
     docs = table(spark, d, "documents").where("text is not null")
-    return joins.token_dictionary(docs, "doc_id", joins.word_grams(text.tokens("text"), lengths), terms.select(F.array_join("ws", " ").alias("term")), "term").select("doc_id", F.array_join("terms", ",").alias("terms"))
+    return joins.token_dictionary(docs, "doc_id", text.tokens("text"), terms.select(F.array_join("ws", " ").alias("term")), "term", lengths).select("doc_id", F.array_join("terms", ",").alias("terms"))
 
 
 _PH = ("fiscal year closed", "second reading", "records request", "community radio")

@@ -12,7 +12,7 @@ from newsloom.operators import fulltext, retrieval, scoring
 from newsloom.plans import commands
 from newsloom.plans.catalog import Catalog
 from newsloom.plans.domain_queries import _KINDS, BOOK
-from newsloom.session import own_dir, table
+from newsloom.session import own_dir, staged, table
 
 C = Catalog()
 
@@ -69,7 +69,7 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks").select("id", "article_id", json_vector("embedding_json", 64).alias("e")).where("e is not null")
     first = chunks.orderBy("id").select("e").limit(1).first()
     scored = retrieval.score_vectors(chunks, F.col("e"), first["e"] if first else [0.0] * 64)
-    best = scored.groupBy(F.col("article_id").alias("id")).agg(F.max("score").alias("score"))
+    best = staged(spark, scored.groupBy(F.col("article_id").alias("id")).agg(F.max("score").alias("score")), "best")
     near = retrieval.threshold_backfill(best, 16)
     articles = table(spark, d, "articles").join(best.select("id"), "id", "left_semi")
     rescue = retrieval.lexical_rescue(articles, ["network audit"], ["antenna", "deficit"], 0.0, 16).withColumn("score", F.round(F.col("score") + near.agg(F.max("score")).scalar(), 6))

@@ -21,13 +21,15 @@ TIMESTAMP_COLUMNS = (
 
 def p6_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every value of the four columns with its instant, format, posterior and ambiguity mark."""
-    zones = table(spark, sf_dir, "source_zones")
+    key = lambda name, source: F.concat(name, F.lit("|"), source)
     parts = []
     for name, row_id, value, source in TIMESTAMP_COLUMNS:
-        rows = table(spark, sf_dir, name).select(F.col(row_id).alias("_id"), F.col(value).alias("_value"), F.expr(source).alias("_source"))
-        own = zones.where(F.col("source_table") == name).select(F.col("source_key").alias("source"), "zone")
-        parts.append(normalize_timestamps(rows, "_id", "_value", "_source", own).select(F.lit(name).alias("source_table"), "*"))
-    return reduce(DataFrame.unionByName, parts)
+        of = F.struct(F.lit(name).alias("t"), F.col(row_id).cast("long").alias("i"))
+        parts.append(table(spark, sf_dir, name).select(of.alias("_id"), F.col(value).alias("_value"), key(F.lit(name), F.expr(source)).alias("_source")))
+    # All columns go through at once: a source is a table's.
+    zones = table(spark, sf_dir, "source_zones").select(key(F.col("source_table"), F.col("source_key")).alias("source"), "zone")
+    out = normalize_timestamps(reduce(DataFrame.unionByName, parts), "_id", "_value", "_source", zones)
+    return out.select(F.col("row_id.t").alias("source_table"), F.col("row_id.i").alias("row_id"), *[c for c in out.columns if c != "row_id"])
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
