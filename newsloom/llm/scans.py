@@ -220,7 +220,7 @@ class LineModel:
         self.weights, self.pairs = weights, pairs
 
     @classmethod
-    def train(cls, texts: list[tuple[list[str], dict[int, str]]], rounds: int = 60, ridge: float = 0.3) -> LineModel:
+    def train(cls, texts: list[tuple[list[str], dict[int, str]]], rounds: int = 30, ridge: float = 0.3) -> LineModel:
         """Greatest likelihood of whole labellings: forward-backward expectations, steps of limited-memory quasi-Newton."""
         lines = Lines(["\n".join(x) for x, _ in texts])
         y = np.array([LABELS.index(texts[d][1].get(i, "body")) for d, i in zip(lines.doc.tolist(), lines.no.tolist())], np.int64)
