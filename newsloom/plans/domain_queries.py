@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import text, urls
@@ -466,17 +466,22 @@ PATTERNS = (
     scoring.RiskPattern("deficit", "deficit", soft=True),
     scoring.RiskPattern("incomplete", "estimate was incomplete", soft=True),
 )
-_HITS = """WITH h AS (SELECT canonical_station_id AS g, doc_id, title, lower(content_text) AS c, pos, label, soft, strpos(lower(content_text), pat) AS p FROM docs,
- (VALUES (0,'reserve','reserve fell below',false),(1,'lapsed','agreement had lapsed',false),(2,'deficit','deficit',true),(3,'incomplete','estimate was incomplete',true)) v(pos,label,pat,soft) WHERE content_text IS NOT NULL AND canonical_station_id <> ''),
+_HITS = """WITH h AS (SELECT coalesce(nullif(canonical_station_id, ''), station_id) AS g, doc_id, title, lower(content_text) AS c, pos, label, soft, strpos(lower(content_text), pat) AS p FROM docs,
+ (VALUES (0,'reserve','reserve fell below',false),(1,'lapsed','agreement had lapsed',false),(2,'deficit','deficit',true),(3,'incomplete','estimate was incomplete',true)) v(pos,label,pat,soft) WHERE content_text IS NOT NULL),
 x AS (SELECT *, substring(c, greatest(p-320,1), p - greatest(p-320,1) + 420) AS ctx FROM h WHERE p > 0),
 y AS (SELECT g, doc_id, title, label, pos, CASE WHEN contains(ctx, 'routine') OR (soft AND NOT contains(ctx, 'layoffs') AND NOT contains(ctx, 'emergency')) THEN 'watchlist' ELSE 'higher' END AS tier FROM x),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g, title, label ORDER BY doc_id) AS rn FROM y) WHERE rn = 1),
 e AS (SELECT g, doc_id, min(CASE WHEN {stop} THEN pos END) AS stop FROM f GROUP BY g, doc_id),
-r AS (SELECT f.g AS canonical_station_id, f.doc_id, f.title, f.label, f.tier, f.pos FROM f JOIN e ON f.g = e.g AND f.doc_id = e.doc_id WHERE e.stop IS NULL OR f.pos <= e.stop)"""
+r AS (SELECT f.g AS canonical_station_id, f.doc_id, f.title, f.label, f.tier, f.pos FROM f JOIN e ON f.g IS NOT DISTINCT FROM e.g AND f.doc_id = e.doc_id WHERE e.stop IS NULL OR f.pos <= e.stop)"""
+
+
+def _station() -> Column:
+    """The station a document counts under: its own, or while that is unresolved its folder's."""
+    return F.coalesce(F.nullif("canonical_station_id", F.lit("")), "station_id")
 
 
 def _risks(spark: SparkSession, d: str, mode: str, strict: bool = False) -> DataFrame:
-    docs = table(spark, d, "docs").where("content_text is not null and canonical_station_id <> ''").select("canonical_station_id", "doc_id", "title", "content_text")
+    docs = table(spark, d, "docs").where("content_text is not null").select(_station().alias("canonical_station_id"), "doc_id", "title", "content_text")
     return scoring.risk_scan(docs, "canonical_station_id", ["doc_id"], "title", "content_text", PATTERNS, ("routine",), ("layoffs", "emergency"), mode, strict)
 
 
@@ -522,7 +527,7 @@ SELECT f.g AS station, f.doc_id, f.label, f.tier FROM f JOIN e ON f.g IS NOT DIS
 @C.query(_TWELVE)
 def risk_scan_all(spark: SparkSession, d: str) -> DataFrame:
     """Twelve patterns over every document; one whose station is unresolved counts under its folder's."""
-    docs = table(spark, d, "docs").where("content_text is not null").select(F.coalesce(F.nullif("canonical_station_id", F.lit("")), "station_id").alias("station"), "doc_id", "title", "content_text")
+    docs = table(spark, d, "docs").where("content_text is not null").select(_station().alias("station"), "doc_id", "title", "content_text")
     return scoring.risk_scan(docs, "station", ["doc_id"], "title", "content_text", TWELVE).select("station", "doc_id", "label", "tier")
 
 
@@ -551,23 +556,23 @@ def best_sentence(spark: SparkSession, d: str) -> DataFrame:
     return scoring.best_sentences(table(spark, d, "docs").where("content_text is not null"), "doc_id", "content_text", _QW, ("routine",))
 
 
-@C.query("""SELECT canonical_station_id, array_to_string(list_sort(list(DISTINCT report_year)), ',') AS years FROM docs WHERE report_year > 0 AND canonical_station_id <> '' GROUP BY 1""")
+@C.query("""SELECT coalesce(nullif(canonical_station_id, ''), station_id) AS station, array_to_string(list_sort(list(DISTINCT report_year)), ',') AS years FROM docs WHERE report_year > 0 GROUP BY 1""")
 def year_coverage(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "docs").where("report_year > 0 and canonical_station_id <> ''")
-    return rows.groupBy("canonical_station_id").agg(F.array_join(F.array_sort(F.collect_set("report_year")), ",").alias("years"))
+    rows = table(spark, d, "docs").where("report_year > 0")
+    return rows.groupBy(_station().alias("station")).agg(F.array_join(F.array_sort(F.collect_set("report_year")), ",").alias("years"))
 
 
-@C.query("""SELECT canonical_station_id, report_year, count(*) AS n, round(max(file_mtime), 3) AS newest, arg_min(doc_id, (file_mtime, doc_id)) AS first_doc FROM docs WHERE canonical_station_id <> '' AND file_mtime IS NOT NULL GROUP BY 1, 2""")
+@C.query("""SELECT coalesce(nullif(canonical_station_id, ''), station_id) AS station, report_year, count(*) AS n, round(max(file_mtime), 3) AS newest, arg_min(doc_id, (file_mtime, doc_id)) AS first_doc FROM docs WHERE file_mtime IS NOT NULL GROUP BY 1, 2""")
 def timeline(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "docs").where("canonical_station_id <> '' and file_mtime is not null")
-    return rows.groupBy("canonical_station_id", "report_year").agg(rows_as("n"), F.round(F.max("file_mtime"), 3).alias("newest"), F.min_by("doc_id", F.struct("file_mtime", "doc_id")).alias("first_doc"))
+    rows = table(spark, d, "docs").where("file_mtime is not null")
+    return rows.groupBy(_station().alias("station"), "report_year").agg(rows_as("n"), F.round(F.max("file_mtime"), 3).alias("newest"), F.min_by("doc_id", F.struct("file_mtime", "doc_id")).alias("first_doc"))
 
 
-@C.query("""WITH l AS (SELECT canonical_station_id AS s, title, doc_id, row_number() OVER (PARTITION BY canonical_station_id ORDER BY doc_id) AS i FROM docs WHERE canonical_station_id <> '')
-SELECT s AS canonical_station_id, string_agg('[S' || i || '] ' || coalesce(title, ''), chr(10) ORDER BY i) AS context FROM l WHERE i <= 5 GROUP BY s""")
+@C.query("""WITH l AS (SELECT coalesce(nullif(canonical_station_id, ''), station_id) AS s, title, doc_id, row_number() OVER (PARTITION BY coalesce(nullif(canonical_station_id, ''), station_id) ORDER BY doc_id) AS i FROM docs)
+SELECT s AS station, string_agg('[S' || i || '] ' || coalesce(title, ''), chr(10) ORDER BY i) AS context FROM l WHERE i <= 5 GROUP BY s""")
 def context_builder(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "docs").where("canonical_station_id <> ''")
-    return reports.context_lines(rows, "canonical_station_id", ["doc_id"], F.coalesce("title", F.lit("")), 5)
+    rows = table(spark, d, "docs").withColumn("station", _station())
+    return reports.context_lines(rows, "station", ["doc_id"], F.coalesce("title", F.lit("")), 5)
 
 
 @C.query("""SELECT doc_id FROM docs WHERE contains(file_path, '/semipublic/')""")

@@ -44,24 +44,38 @@ def run_to_end(out: DataFrame, spark: SparkSession, name: str, mode: str, checkp
 
 
 class SeenStore:
-    """Seen ids as a table, one version a committed batch; a batch number that was committed isn't delivered again."""
+    """Seen ids as a table, one version a commit; a batch that was delivered whole isn't delivered again.
+
+    A version's folder is named by its number, its batch and whether that was delivered ``whole`` or in ``part``.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, key: str, most: int = 8_000):
         self.spark, self.folder, self.key, self.most = spark, folder, key, most
-        self._fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def versions(self) -> list[int]:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        if not self._fs.exists(path(self.folder)):
+    def commits(self) -> list[tuple[int, int, str]]:
+        """Version, batch and extent of each finished commit, in order."""
+        if not self._fs.exists(self._path(self.folder)):
             return []
-        names = [s.getPath() for s in self._fs.listStatus(path(self.folder))]
-        return sorted(int(p.getName()[1:]) for p in names if p.getName().startswith("v") and self._fs.exists(path(p, "_SUCCESS")))
+        names = [f.getPath() for f in self._fs.listStatus(self._path(self.folder))]
+        found = [p.getName().split("-") for p in names if p.getName().count("-") == 2 and self._fs.exists(self._path(p, "_SUCCESS"))]
+        return sorted((int(v), int(b), extent) for v, b, extent in found)
+
+    def versions(self) -> list[int]:
+        return sorted(b for _, b, extent in self.commits() if extent == "whole")
 
     def load(self) -> DataFrame:
-        found = self.versions()
+        found = self.commits()
         if not found:
             return self.spark.createDataFrame([], f"{self.key} string, seq long")
-        return self.spark.read.parquet(f"{self.folder}/v{found[-1]}")
+        version, batch, extent = found[-1]
+        return self.spark.read.parquet(f"{self.folder}/{version:08d}-{batch}-{extent}")
+
+    def _commit(self, rows: DataFrame, batch_id: int, seq: str, extent: str) -> None:
+        told = rows.select(F.col(self.key).cast("string").alias(self.key), F.col(seq).cast("long").alias("seq"))
+        version = max((v for v, _, _ in self.commits()), default=-1) + 1
+        remember(self.load(), told, self.key, "seq", self.most).write.mode("overwrite").parquet(f"{self.folder}/{version:08d}-{batch_id}-{extent}")
 
     def deliver(self, batch: DataFrame, batch_id: int, sink: Callable[[DataFrame], bool], seq: str, dry_run: bool = False) -> bool:
         """Unseen rows go to the sink; only if it takes them are they remembered, and never in a dry run."""
@@ -70,10 +84,32 @@ class SeenStore:
         fresh = unseen(batch, self.load(), self.key)
         if not sink(fresh) or dry_run:
             return False
-        state = remember(self.load(), fresh.withColumn("seq", F.col(seq).cast("long")).withColumn(self.key, F.col(self.key).cast("string")), self.key, "seq", self.most)
-        state.write.mode("overwrite").parquet(f"{self.folder}/v{batch_id}")
+        self._commit(fresh, batch_id, seq, "whole")
         return True
 
+    def deliver_messages(self, batch: DataFrame, batch_id: int, compose: Callable[[DataFrame], DataFrame], sink: Callable[[str], bool], seq: str, dry_run: bool = False) -> bool:
+        """Unseen rows go out as messages (``compose``: ``batch, text, items``), one after another until one isn't taken.
+
+        What was taken is remembered even then; the batch counts as delivered only if all of it was, so a repeated
+        run sends the rest. Rows that no message holds (an overflow) stay eligible. Messages are few; they pass the driver.
+        """
+        if batch_id in self.versions():
+            return False
+        fresh = unseen(batch, self.load(), self.key)
+        messages = compose(fresh).orderBy("batch")
+        told, whole = [], True
+        if not dry_run:
+            for m in messages.toLocalIterator():
+                if not sink(m["text"]):
+                    whole = False
+                    break
+                told += [(str(i),) for i in m["items"]]
+        if dry_run or (not told and not whole):
+            return False
+        ids = self.spark.createDataFrame(told, "_told string")
+        self._commit(fresh.join(ids, F.col(self.key).cast("string") == F.col("_told"), "left_semi"), batch_id, seq, "whole" if whole else "part")
+        return whole
+
 
 def deliver_stream(events: DataFrame, store: SeenStore, sink: Callable[[DataFrame], bool], seq: str, checkpoint: str) -> None:
     """``foreachBatch`` with commit after delivery, over all data there is."""

@@ -275,6 +275,38 @@ def test_commit_only_after_delivery(spark, tmp_path):
     assert [sorted(x) for x in sent] == [["a", "b"], ["a", "b"], ["c"]]
 
 
+def test_what_a_broken_delivery_took_is_remembered(spark, tmp_path):
+    from newsloom.streaming.pipelines import SeenStore
+
+    store, sent, broken = SeenStore(spark, str(tmp_path / "seen"), "id"), [], [True]
+    batch = spark.createDataFrame([(x, i) for i, x in enumerate("abcde")], "id string, n long")
+
+    def compose(df):
+        """One item a message, of the first four only: the fifth overflows."""
+        return reports.message_batches(df.where("n < 4").withColumn("g", F.lit(1)), "g", [F.col("n")], "id", F.col("id"), F.col("id"), limit=12)
+
+    def sink(text):
+        if broken[0] and "c" in text.replace("continued", ""):
+            return False
+        sent.append(text)
+        return True
+
+    assert not store.deliver_messages(batch, 7, compose, sink, "n", dry_run=True) and store.load().count() == 0
+    assert not store.deliver_messages(batch, 7, compose, sink, "n") and rows(store.load(), "id") != []
+    first = {r[0] for r in rows(store.load(), "id")}
+    broken[0] = False
+    assert store.deliver_messages(batch, 7, compose, sink, "n") and not store.deliver_messages(batch, 7, compose, sink, "n")
+    assert first < {"a", "b", "c", "d"} and rows(store.load(), "id") == [("a",), ("b",), ("c",), ("d",)] and store.versions() == [7]
+    assert sorted("".join(sent).replace("continued", "").replace("\n", "")) == list("abcd")
+
+
+def test_json_keys_are_sorted_at_every_level(spark, tmp_path):
+    df = spark.sql("select named_struct('z', 1, 'a', named_struct('y', 2, 'b', 3)) as s, array(named_struct('q', 1, 'c', 2)) as l, map('k', 1, 'd', 2) as m, cast(null as struct<b: int, a: int>) as n")
+    reports.write_json(df, str(tmp_path / "j"))
+    text = spark.read.text(str(tmp_path / "j")).first()["value"]
+    assert text == json.dumps(json.loads(text), sort_keys=True, separators=(",", ":")) and json.loads(text)["s"]["a"] == {"y": 2, "b": 3}
+
+
 def test_reports_write_and_read_back(spark, tmp_path):
     df = spark.createDataFrame([(1, "x")], "b int, a string")
     reports.write_json(df, str(tmp_path / "j"))
