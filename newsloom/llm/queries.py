@@ -138,4 +138,11 @@ s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
 m AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM w SEMI JOIN s USING (h)),
 g AS (SELECT doc_id, p, sum(CASE WHEN q IS NULL OR p > q + 160 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM m)
 SELECT doc_id, CAST(min(p) AS INTEGER) AS start_pos, CAST(max(p) + 160 AS INTEGER) AS end_pos FROM g GROUP BY doc_id, run""",
+    "p9_shared": """
+WITH w AS (SELECT doc_id, p, hash(substring(text, p + 1, 160)) AS h FROM (SELECT doc_id, text, unnest(range(0, length(text) - 159)) AS p FROM documents WHERE length(text) >= 160)),
+s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+m AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM w SEMI JOIN s USING (h)),
+g AS (SELECT doc_id, p, sum(CASE WHEN q IS NULL OR p > q + 160 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM m),
+r AS (SELECT doc_id, run, max(p) + 160 - min(p) AS n FROM g GROUP BY doc_id, run), t AS (SELECT doc_id, count(*) AS n, CAST(sum(n) AS BIGINT) AS c FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(t.n, 0) AS n_spans, coalesce(t.c, 0) AS shared_chars, CASE WHEN length(d.text) > 0 THEN coalesce(t.c, 0) / length(d.text) ELSE 0.0 END AS shared_part FROM documents d LEFT JOIN t USING (doc_id)""",
 }

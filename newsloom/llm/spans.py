@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -240,6 +241,20 @@ def _repeated(place: np.ndarray, told: np.ndarray) -> np.ndarray:
     return told[np.minimum(np.searchsorted(told, place), len(told) - 1)] == place
 
 
+@contextmanager
+def same_splits(spark: SparkSession) -> Iterator[None]:
+    """Files are cut alike while this lasts, whatever executors come or go (else their cores have a say)."""
+    key = "spark.sql.files.minPartitionNum"
+    free = spark.conf.get(key, None) is None
+    if free:
+        spark.conf.set(key, str(max(1, spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        if free:
+            spark.conf.unset(key)
+
+
 def steady(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """``rows`` in partitions that are the same at each reading: a scan's are, others are written once."""
     plan = rows._jdf.queryExecution().executedPlan().toString()
@@ -269,7 +284,6 @@ def shared_spans(spark: SparkSession, df: DataFrame, id_col: str, text_col: str,
     rows = steady(spark, rows)
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     ranges, bits = sketch_shape(chars, least)
-    uri = sketch_repeats(spark, rows, least, ranges, bits)
 
     def occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         (told, sign), met = told_repeats(uri, TaskContext.get().partitionId()), 0
@@ -288,10 +302,12 @@ def shared_spans(spark: SparkSession, df: DataFrame, id_col: str, text_col: str,
                 around = gram_range(mix(points.astype(np.uint64) + np.uint64(1)), begin + starts[owner], end + starts[owner])
                 around = mix(around ^ (pos - begin).astype(np.uint64))
                 yield pd.DataFrame({"h": h.view(np.int64), "ctx": around.view(np.int64), "doc_id": own[owner], "pos": pos.astype(np.int32), "before": (pos - begin).astype(np.int16), "after": (end - pos).astype(np.int16)})
-        if met != sign:
+        if met != max(sign, 0):
             raise RuntimeError("the texts changed between two readings; pass a table that has been written")
 
-    found = staged(spark, rows.mapInPandas(occurrences, "h long, ctx long, doc_id long, pos int, before short, after short"), "occurrences")
+    with same_splits(spark):
+        uri = sketch_repeats(spark, rows, least, ranges, bits)
+        found = staged(spark, rows.mapInPandas(occurrences, "h long, ctx long, doc_id long, pos int, before short, after short"), "occurrences")
     # One row for each anchor with the same surroundings; combined in the map tasks, whatever their number.
     kinds = staged(spark, found.groupBy("h", "ctx").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("pos").alias("pos")), "kinds")
     whole = kinds.where("lo < hi")

@@ -81,6 +81,13 @@ def test_texts_that_change_between_readings_are_noticed(spark, monkeypatch):
         shared_spans(spark, df, "doc_id", "text").collect()
 
 
+def test_files_are_cut_alike_in_both_readings(spark):
+    key = "spark.sql.files.minPartitionNum"
+    with spans.same_splits(spark):
+        assert int(spark.conf.get(key)) >= 1
+    assert spark.conf.get(key, None) is None
+
+
 def test_every_shared_stretch_has_a_common_anchor():
     rng = random.Random(4)
     core = "".join(rng.choice("abcdefgh ") for _ in range(160))
