@@ -31,7 +31,7 @@ ABBREVIATIONS = frozenset(
     "inc co corp ltd llc dept univ assn bros mfg intl natl div est ext fig figs no nos vol vols pp pg ch sec art ed eds cf vs viz al approx "
     "ave blvd rd ln hwy ft mt pt sta tel sra srta dra lic ud uds etc núm art pág av mlle mm m me".split()
 )
-_PARAGRAPH_GAP = re.compile(r"(?:\r\n?|\n)(?:[^\S\r\n]*(?:\r\n?|\n))+")
+_PARAGRAPH_GAP = re.compile(r"(?:\r\n|\n|\r(?!\n))(?:[^\S\r\n]*(?:\r\n|\n|\r(?!\n)))+")
 _STOP = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s|$)")
 _WORD_BEFORE = re.compile(r"(\S+)$")
 #: Characters of the rolling hash's window.

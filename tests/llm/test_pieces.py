@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -56,3 +57,9 @@ def test_table_with_nulls_repeats_and_clashing_columns(spark):
     out = split_oversized(spark.createDataFrame(rows, "id long, text string, piece string"), "id", "text").collect()
     assert {r["item_id"] for r in out} == {4} and {r["cut_level"] for r in out} == {"none"} and len(out) % 2 == 0
     assert split_oversized(spark.createDataFrame([], "id long, text string"), "id", "text").count() == 0
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+def test_one_line_end_is_no_paragraph(end):
+    text = f"one{end}two{end}{end}three{end} \t{end}four{end}five"
+    assert [text[a:b].split() for a, b in paragraphs(text)] == [["one", "two"], ["three"], ["four", "five"]]
