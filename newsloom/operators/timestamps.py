@@ -200,7 +200,7 @@ def normalize_timestamps(df: DataFrame, id_col: str, value_col: str, source_col:
     return out.select(
         "row_id",
         taken["us"].alias("epoch_us"),
-        F.element_at(F.array(*[F.lit(f) for f in FORMATS]), taken["f"] + 1).alias("format"),
+        F.when(F.col("_b") >= 0, F.get(F.array(*[F.lit(f) for f in FORMATS]), F.get("_r", F.col("_b"))["f"])).alias("format"),
         "posterior",
         (taken.isNotNull() & ((F.col("posterior") < min_posterior) | F.col("_naive"))).alias("ambiguous"),
     )
