@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,6 +52,14 @@ def open_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def kept_index(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The index stored at ``path``; it is built and written only where none is."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        write_index(build(), path)
+    return open_index(spark, path)
+
+
 _LEX = re.compile(r'\s*(?:(NEAR)\s*\(|([()])|([\w]+)\s*:(?=\s*["\w])|"([^"]*)"(\*?)|,\s*(\d+)|([^\s()",:*]+)(\*?))')
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import collapse, highlight
 from newsloom.operators import dedupe, retrieval as R
+from newsloom.operators.fulltext import kept_index
 from newsloom.operators.ranking import top_k_per_group
 from newsloom.plans.catalog import Catalog
-from newsloom.session import table
+from newsloom.session import own_dir, table
 
 C = Catalog()
 _ART = "lower(coalesce(title,''))"
@@ -133,7 +136,9 @@ _TOK = "(SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text,'')), '[a-z
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
-    return R.inverted_index(table(spark, d, "documents"), "doc_id", "text")
+    """The index of all texts, written once a session and folder and sorted by token; queries read their words' postings."""
+    path = f"{own_dir(spark)}/documents-index-{hashlib.sha256(d.encode()).hexdigest()[:16]}"
+    return kept_index(spark, path, lambda: R.inverted_index(table(spark, d, "documents"), "doc_id", "text"))
 
 
 @C.query(f"SELECT id FROM {_TOK} WHERE list_contains(ts, 'antenna') AND list_contains(ts, 'deficit')")

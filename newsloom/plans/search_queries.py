@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,21 +32,24 @@ _FTS_SQL = {
 }
 
 
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    """The index of titles and texts, written once a session and folder."""
+    path = f"{own_dir(spark)}/articles-index-{hashlib.sha256(d.encode()).hexdigest()[:16]}"
+    return fulltext.kept_index(spark, path, lambda: fulltext.token_index(table(spark, d, "articles"), "id", ["title", "text"]))
+
+
 @C.query(f"WITH t AS MATERIALIZED ({_TOKS}) " + " UNION ALL ".join(f"SELECT '{n}' AS query, id FROM t WHERE {cond}" for n, cond in _FTS_SQL.items()))
 def fts_match(spark: SparkSession, d: str) -> DataFrame:
     """Five queries against one stored index of titles and texts."""
-    path = f"{own_dir(spark)}/fts-{abs(hash(d))}"
-    fulltext.write_index(fulltext.token_index(table(spark, d, "articles"), "id", ["title", "text"]), path)
-    index = fulltext.open_index(spark, path)
+    index = _index(spark, d)
     return reduce(DataFrame.unionByName, [fulltext.search(index, q).select(F.lit(n).alias("query"), "id") for n, q in _FTS.items()])
 
 
 @C.query(f"SELECT a.id, a.title FROM articles a JOIN ({_TOKS}) t USING (id) WHERE {_FTS_SQL['all words']} ORDER BY id LIMIT 20")
 def fts_rows(spark: SparkSession, d: str) -> DataFrame:
     """The rows of a search, by id, at most 20."""
-    articles = table(spark, d, "articles")
-    hits = fulltext.search(fulltext.token_index(articles, "id", ["title", "text"]), _FTS["all words"])
-    return fulltext.first_rows(articles, "id", hits, 20).select("id", "title")
+    hits = fulltext.search(_index(spark, d), _FTS["all words"])
+    return fulltext.first_rows(table(spark, d, "articles"), "id", hits, 20).select("id", "title")
 
 
 # -- hybrid search --------------------------------------------------------------------------------
