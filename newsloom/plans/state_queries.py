@@ -193,8 +193,8 @@ def stream_tumbling_counts(spark: SparkSession, d: str) -> DataFrame:
 @C.query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_session_users(spark: SparkSession, d: str) -> DataFrame:
-    out = _stream(spark, d, lambda e: pipelines.session_counts(e, "ts", "user_id"), "complete")
-    return out.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+    out = _stream(spark, d, lambda e: pipelines.session_counts(e, "ts", "user_id").select("user_id", "session_window.start", "n"), "complete")
+    return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
 @C.query("SELECT DISTINCT user_id, event_type FROM events")

@@ -9,8 +9,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from newsloom.operators.state import remember, unseen
+from newsloom.session import own_dir
 
 
 def event_stream(spark: SparkSession, path: str, ts: str = "ts", files_per_trigger: int | None = None) -> DataFrame:
@@ -36,11 +38,35 @@ def first_seen(events: DataFrame, ts: str, keys: list[str], within: str = "72 ho
     return events.withWatermark(ts, within).dropDuplicatesWithinWatermark(keys)
 
 
+#: State is kept on the executors' disks, with so many MB of memory an executor, as a heap holds only so many keys.
+_STATE = {"providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "rocksdb.boundedMemoryUsage": "true", "rocksdb.maxMemoryUsageMB": "200", "rocksdb.compression": "zstd"}
+
+
+def _start(writer: DataStreamWriter, spark: SparkSession) -> StreamingQuery:
+    """Starts the stream with ``_STATE``; a stream copies the session's settings as it starts, so they are put back at once."""
+    new = {f"spark.sql.streaming.stateStore.{k}": v for k, v in _STATE.items()}
+    old = {k: spark.conf.get(k, None) for k in new}
+    try:
+        for k, v in new.items():
+            spark.conf.set(k, v)
+        return writer.start()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def run_to_end(out: DataFrame, spark: SparkSession, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """All data there is, then stop; the result as a table in memory (tests and small reports)."""
-    q = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """All data there is, then stop; the result as a table under the shared folder, whose rows don't pass the driver."""
+    path = f"{own_dir(spark)}/{name}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
+
+    def keep(batch: DataFrame, number: int) -> None:  # a complete result takes the place of the one before; a batch that is repeated, of itself
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/{number:08d}")
+
+    q = _start(out.writeStream.foreachBatch(keep).queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True), spark)
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(out.schema).option("recursiveFileLookup", True).parquet(path)
 
 
 class SeenStore:

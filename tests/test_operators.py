@@ -1,9 +1,11 @@
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from newsloom.operators import dedupe, entities, joins, ranking, reports, retrieval, scoring, similarity, state
+from newsloom.plans.state_queries import ORACLES
 from newsloom.sources import markup, tables
 
 
@@ -300,6 +302,48 @@ def test_what_a_broken_delivery_took_is_remembered(spark, tmp_path):
     assert [x for s in sent for x in s.split("\n") if x != "continued"] == ["aaaa", "bbbb", "cccc", "dddd"]
 
 
+SESSIONS = """
+import sys; sys.path.insert(0, {repo!r})
+import __spark_entry__ as entry
+from newsloom.session import build_session
+spark = build_session(cpus=2, shuffle=4)
+before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+entry.queries()["stream_session_users"](spark, "/root/testdata/sf0.1").write.parquet({out!r})
+assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+"""
+
+
+def test_sessions_of_a_stream_do_not_pass_the_driver(tmp_path):
+    """About 10 MB of rows, while the driver takes at most 1 MB of results."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = SESSIONS.format(repo=str(Path(__file__).resolve().parents[1]), out=str(tmp_path / "out"))
+    env = os.environ | {"PYSPARK_SUBMIT_ARGS": "--conf spark.driver.maxResultSize=1m pyspark-shell"}
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert run.returncode == 0, run.stderr[-2000:]
+    con = duckdb.connect()
+    con.execute("CREATE VIEW events AS SELECT * FROM '/root/testdata/sf0.1/events.parquet'")
+    sql, got = ORACLES["stream_session_users"], f"SELECT user_id, start, n FROM '{tmp_path}/out/*.parquet'"
+    assert con.execute(f"SELECT count(*) FROM ({got})").fetchall() == con.execute(f"SELECT count(*) FROM ({sql})").fetchall()
+    assert con.execute(f"({got} EXCEPT ALL ({sql}))").fetchall() == []
+
+
+def test_a_stream_in_several_batches_is_one_table(spark, tmp_path):
+    from newsloom.streaming import pipelines
+
+    events = spark.sql("select user, timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, at) as ts from values ('a', 0), ('a', 20), ('b', 0), ('a', 40), ('b', 100), ('c', 5) as t(user, at)")
+    for i in range(3):  # each a batch, and one session of a goes over all of them
+        events.orderBy("user", "ts").offset(2 * i).limit(2).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+    stream = pipelines.event_stream(spark, str(tmp_path / "events"), files_per_trigger=1)
+    sessions = pipelines.run_to_end(pipelines.session_counts(stream, "ts", "user"), spark, "batches_complete", "complete", str(tmp_path / "c1"))
+    assert rows(sessions, "user", "n") == [("a", 3), ("b", 1), ("b", 1), ("c", 1)]
+    first = pipelines.run_to_end(pipelines.first_seen(stream, "ts", ["user"], "3650 days").select("user"), spark, "batches_append", "append", str(tmp_path / "c2"))
+    assert rows(first, "user") == [("a",), ("b",), ("c",)]
+
+
 def test_json_keys_are_sorted_at_every_level(spark, tmp_path):
     df = spark.sql("select named_struct('z', 1, 'a', named_struct('y', 2, 'b', 3)) as s, array(named_struct('q', 1, 'c', 2)) as l, map('k', 1, 'd', 2) as m, cast(null as struct<b: int, a: int>) as n")
     reports.write_json(df, str(tmp_path / "j"))
